@@ -34,61 +34,63 @@ UNDO = str.maketrans("013457@$!", "oieastasi")
 _TRIM = re.compile(r"^[^a-z0-9@$!]+|[^a-z0-9@$!]+$")
 _SIGNS = re.compile(r"[^a-z]")
 _DRAWN = re.compile(r"(.)\1+")
+_TRIPLE = re.compile(r"(.)\1\1")
+_CAPITALS = re.compile(r"[A-Z]")
+SHORTENED = frozenset(_DRAWN.sub(r"\1", w) for w in LEXICON)
 NAMES = (
     "fixed_density", "fixed_count", "learned_density", "learned_weight", "near_second", "obfuscated", "second_rate", "capital_rate",
     "shout_rate", "bang_rate", "punctuation_rate", "sign_within_rate", "log_words", "mean_word", "most_weight", "lexicon_count",
 )
 
 
+def _plain(core: str, learned: dict[str, float]) -> bool:
+    """Whether a word with signs, digits or drawn-out letters stands for a word of a lexicon."""
+    for word in (_SIGNS.sub("", core.translate(UNDO)), _SIGNS.sub("", core)):
+        if len(word) > 3 and (word in LEXICON or learned.get(word, 0) > 2 or _DRAWN.sub(r"\1", word) in SHORTENED):
+            return True
+    return False
+
+
 def features(text: str, learned: dict[str, float]) -> list[float]:
     """The features of one text."""
     raw = text.split()
-    n = len(raw)
-    fixed = obfuscated = near = within = shout = second = 0
+    fixed = hits = learned_hits = obfuscated = near = within = second = 0
     weight = most = 0.0
-    hits = learned_hits = 0
     last_hit = last_second = -99
-    letters = 0
-    drawn = {_DRAWN.sub(r"\1", w): w for w in LEXICON}
-    for i, w in enumerate(raw):
-        low = w.lower()
-        core = low if low.isalpha() else _TRIM.sub("", low)
-        letters += len(w)
+    for i, w in enumerate(text.lower().split()):
+        core = w
+        if not w.isalpha():
+            core = _TRIM.sub("", w)
+            if not core:
+                continue
         hit = core in LEXICON
         fixed += hit
-        v = learned.get(core)
-        if v is not None:
+        if core in learned:
             learned_hits += 1
-            weight += v
-            most = max(most, v)
-            hit = hit or v > 2
-        elif not hit and core and not core.isalpha():
-            plain = _SIGNS.sub("", core.translate(UNDO))
-            bare = _SIGNS.sub("", core)
-            if len(plain) > 3 and (plain in LEXICON or bare in LEXICON or learned.get(plain, 0) > 2 or _DRAWN.sub(r"\1", plain) in drawn):
-                obfuscated += 1
-                hit = True
-            within += 1
-        elif not hit and len(core) > 4 and _DRAWN.sub(r"\1", core) in drawn and core not in LEXICON:
-            obfuscated += 1
-            hit = True
-        if core in SECOND:
+            weight += learned[core]
+            most = max(most, learned[core])
+            hit = hit or learned[core] > 2
+        elif core in SECOND:
             second += 1
             near += i - last_hit <= 4
             last_second = i
+        elif not hit and (not core.isalpha() or _TRIPLE.search(core)):
+            within += not core.isalpha()
+            hit = _plain(core, learned)
+            obfuscated += hit
         if hit:
             hits += 1
             near += i - last_second <= 4
             last_hit = i
-        shout += len(w) > 3 and w.isupper()
-    size = max(1, len(text))
+    n, size = len(raw), max(1, len(text))
     m = max(1, n)
-    capitals = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    capitals = len(_CAPITALS.findall(text))
+    shout = sum(map(str.isupper, raw))
     bangs = text.count("!") + text.count("?")
-    signs = sum(map(text.count, ".,;:!?\"'()*&%$#@"))
+    signs = bangs + sum(map(text.count, ".,;:\"'()*&%$#@"))
     return [
         fixed / m, fixed, learned_hits / m, weight / m, near / m, obfuscated, second / m, capitals / size,
-        shout / m, bangs / size, signs / size, within / m, float(np.log1p(n)), letters / m, most, hits,
+        shout / m, bangs / size, signs / size, within / m, float(np.log1p(n)), len(text) / m, most, hits,
     ]
 
 
@@ -218,7 +220,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     terms = there.select("y", F.explode(F.array_distinct(words(F.regexp_replace(ascii_lower(F.col("text")), r"[^\p{L}\p{N}]+", " ")))).alias("w"))
     terms = terms.groupBy("w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).where("t >= 3")
     odds = F.log((F.col("t") + 0.5) / (pos + 1.0)) - F.log((F.col("c") + 0.5) / (neg + 1.0))
-    top = terms.select("w", odds.alias("odds")).where("odds > 1.2").orderBy(F.desc("odds"), "w").limit(LEARNED).collect()
+    # Two deviations below the estimate, so that a few copies of one text don't make words of the lexicon.
+    odds = odds - 2 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
+    top = terms.select("w", odds.alias("odds")).where("odds > 1").orderBy(F.desc("odds"), "w").limit(LEARNED).collect()
     learned = {r.w: round(r.odds, 4) for r in top}
     got = there.mapInArrow(feature_rows("y", learned), "doc_id long, x array<double>, y int").select("doc_id", "y", "x").toArrow()  # bounded rows
     x = np.array(got.column("x").to_pylist(), dtype=np.float64).reshape(-1, len(NAMES))
