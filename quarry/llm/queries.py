@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, minhash, mixing, secrets, sharding, topk, toxicity
+from . import decontamination, language, minhash, mixing, secrets, sharding, substring, suffixes, topk, toxicity
 from .common import table
 
 
@@ -14,6 +14,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), n_shards=24)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
@@ -48,7 +56,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op4_exact_top_k, op5_minhash_near_dedup, op6_toxicity, op7_secret_scan, op8_mixing, op9_decontamination, op10_language_id)}
+    return {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op3_suffix_array_dedup, op4_exact_top_k, op5_minhash_near_dedup, op6_toxicity, op7_secret_scan, op8_mixing, op9_decontamination, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
