@@ -5,10 +5,13 @@ sequence as one). The hash of a shingle picks a bin by its leading bits, the sma
 and an empty bin borrows the value of a bin drawn by a hash of its own number until that bin has one. Bands of
 four of 128 bins make 32 bucket keys: a pair at the limit of 0.75 shares none with a chance of about 5e-6.
 
-Documents with equal sets are one class and only its smallest id goes on. In each bucket the smallest id is the
-hub and all others are compared with it, so a bucket of m costs m - 1 pairs; members that no hub of the bucket
-matched choose the next hub, which is compared with the whole bucket, until none is left. Pairs are confirmed on
-the full sets. Components come from alternating large and small stars.
+Documents with equal sets are one class and only its smallest id goes on. In each bucket the member that shares
+most buckets with others is the hub and all others are compared with it, so a bucket of m costs m - 1 pairs, which
+are confirmed on the full sets. Components come from alternating large and small stars. Then only buckets that hold
+several components are open: those of at most ``SMALL`` members compare all pairs between components; in larger
+ones another member of the largest component, drawn by a hash, is the hub for the members of all other components.
+Turns follow until none confirms a link. Large buckets that are still open (texts that share a common passage and
+little else) are refined: members that also share a second open bucket meet in a bucket of their own.
 
 Nulls: a null text has an empty set and no links; a null id takes no part (its component is null, and it is kept).
 Rows that share an id are one document whose sets may each give links. An empty table gives no rows.
@@ -20,14 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
 from .textnum import U, column_bytes, mixed, rolled, row_of, slices, tokens, word_hashes
 
 BINS, ROWS = 128, 4
+#: In buckets of so many members all pairs between components are compared.
+SMALL = 8
 SHINGLE = 5
 
 
@@ -129,6 +133,47 @@ def components(links: DataFrame) -> DataFrame:
         state = new
 
 
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, linked for candidate pairs, on their full sets."""
+    a, b = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    found = pairs.join(b, "b").join(a, "a").select("a", "b", (100 * both >= percent * (F.size("sa") + F.size("sb") - both)).alias("linked"))
+    return staged(found.groupBy("a", "b").agg(F.max("linked").alias("linked")), "mh-checked")
+
+
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _central_stars(buckets: DataFrame) -> DataFrame:
+    """Pairs of each bucket's members with the one that shares most buckets with others."""
+    central = buckets.groupBy("rep").agg(F.sum("n").alias("shares"))
+    hubs = buckets.join(central, "rep").groupBy("key").agg(F.max_by("rep", F.struct("shares", -F.col("rep"))).alias("hub"))
+    return buckets.join(hubs, "key").where("rep <> hub").select(*_ordered("hub", "rep")).distinct()
+
+
+def _open_pairs(buckets: DataFrame, comps: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs between components of buckets, and the large buckets that hold several components."""
+    labelled = buckets.join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    labelled = staged(labelled, "mh-labelled")
+    drawn = F.xxhash64("rep", "key", F.lit(turn))
+    by_comp = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min_by("rep", drawn).alias("rep"))
+    by_key = by_comp.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("size"), F.max_by(F.struct("rep", "comp"), F.struct("n", F.xxhash64("comp", "key", F.lit(turn)))).alias("hub"))
+    open_ = staged(labelled.join(by_key.where("comps > 1"), "key"), "mh-open")
+    small, large = open_.where(F.col("size") <= SMALL), open_.where(F.col("size") > SMALL)
+    other = small.select("key", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"))
+    pairs = small.join(other, "key").where("rep < rep2 and comp <> comp2").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+    pairs = pairs.unionByName(large.where("comp <> hub.comp").select(*_ordered("hub.rep", "rep")))
+    return pairs.distinct(), large.select("key", "rep")
+
+
+def _refined(large: DataFrame) -> DataFrame:
+    """Buckets of members that share two large open buckets."""
+    mine = large.groupBy("rep").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # at most one key a band
+    two = F.transform(F.col("keys"), lambda x, i: F.transform(F.slice("keys", i + 2, F.lit(BINS)), lambda y: F.xxhash64(x, y)))
+    return mine.select("rep", F.explode(F.flatten(two)).alias("key")).select("key", "rep")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -137,35 +182,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     sets_of = sig.where("n_shingles > 0 and doc_id is not null").groupBy(*key)
     classes = staged(sets_of.agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "mh-classes")
     members = classes.select("rep", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    buckets = staged(members.join(shared, "key").select("key", "rep", "hub"), "mh-buckets")  # buckets of two and more
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = staged(members.join(shared, "key").select("key", "rep", "n"), "mh-buckets")  # buckets of two and more
     nodes = buckets.select(F.col("rep").alias("doc_id")).distinct()
     sets = staged(texts.join(nodes, "doc_id", "left_semi").mapInArrow(_set_rows, "id long, set array<long>"), "mh-sets")
 
-    everyone = buckets.select("key", "rep")
-    open_ = buckets.where("rep <> hub")  # members whose match with the bucket's hubs isn't known
-    pairs = open_.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    checked, turn = None, 0
+    checked = _confirmed(_central_stars(buckets), sets, percent)
+    comps, turn, refined = components(checked.where("linked").select("a", "b")), 0, False
     while True:
-        a, b = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        found = pairs.join(b, "b").join(a, "a").select("a", "b", (100 * both >= percent * (F.size("sa") + F.size("sb") - both)).alias("linked"))
-        found = staged(found.groupBy("a", "b").agg(F.max("linked").alias("linked")), "mh-checked")
-        checked = found if checked is None else staged(checked.unionByName(found), "mh-checked")
-        links = checked.where("linked").select("a", "b")
-        matched = links.select(F.col("a").alias("hub"), F.col("b").alias("rep")).unionByName(links.select(F.col("b").alias("hub"), F.col("a").alias("rep")))
-        open_ = open_.join(matched, ["hub", "rep"], "left_anti").select("key", "rep").distinct()
-        # Open members choose the next hubs of their bucket: one, then four times as many each turn.
         turn += 1
-        order = F.row_number().over(W.partitionBy("key").orderBy("rep"))
-        chosen = staged(open_.withColumn("hub_here", order <= 4 ** (turn - 1)), "mh-open")
-        hubs = chosen.where("hub_here").select("key", F.col("rep").alias("hub"))
-        if hubs.isEmpty():
-            break
-        pairs = everyone.join(hubs, "key").where("rep <> hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+        pairs, large = _open_pairs(buckets, comps, turn)
         pairs = staged(pairs.join(checked, ["a", "b"], "left_anti"), "mh-pairs")
-        open_ = chosen.where("not hub_here").select("key", "rep").join(hubs, "key")
-    comps = components(checked.where("linked").select("a", "b"))
+        found = _confirmed(pairs, sets, percent)
+        checked = staged(checked.unionByName(found), "mh-checked")
+        if not found.where("linked").isEmpty():
+            comps = components(checked.where("linked").select("a", "b"))
+        elif refined or large.isEmpty():
+            break
+        else:
+            refined, buckets = True, staged(_refined(large), "mh-refined")
     comps = classes.select(*key, "rep").join(comps, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component"))
     out = sig.select("doc_id", *key).join(comps, key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
