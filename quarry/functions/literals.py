@@ -12,6 +12,9 @@ from datetime import date, datetime, timedelta, timezone
 from typing import Any
 from zoneinfo import ZoneInfo
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: What numeric texts and instants look like.
 NUMERIC = re.compile(r"\s*(?:[+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?|Infinity)|0[xX][0-9a-fA-F]+|0[oO][0-7]+|0[bB][01]+)?\s*")
 INSTANT = re.compile(r"(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?\s?(Z|[+-]\d{2}:?\d{2})?)?")
@@ -123,6 +126,13 @@ def like_pattern(pattern: str) -> str:
     return "".join(out)
 
 
+def column(value: Any) -> Column:
+    """A Spark literal. Times go as text, which no zone of the session or the machine can shift."""
+    if isinstance(value, datetime):
+        return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.lit(value)
+
+
 def truthy(value: Any) -> bool:
     """How a constant reads in a boolean column."""
     return value not in ("false", "0") and bool(value) and not (isinstance(value, float) and math.isnan(value))

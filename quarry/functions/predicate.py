@@ -135,7 +135,7 @@ def js_number(text: Column) -> Column:
 
 def epoch_millis(at: Column) -> Column:
     """Milliseconds since 1970 of a UTC wall clock."""
-    return F.timestamp_diff("MICROSECOND", F.lit(lt.EPOCH).cast("timestamp_ntz"), at) / F.lit(1000)
+    return F.timestamp_diff("MICROSECOND", lt.column(lt.EPOCH), at) / F.lit(1000)
 
 
 def same_kind(ref: Ref, value: Any) -> bool:
@@ -177,7 +177,7 @@ def compare(ref: Ref, operator: str, value: Any, tz: str) -> Column:
     if ref.kind in INSTANTS:
         at = lt.instant(value, tz)
         if at is not None:
-            return applied(ref.expr, operator, F.lit(at).cast("timestamp_ntz"))
+            return applied(ref.expr, operator, lt.column(at))
         n = lt.number(value)
         return constant(ref, is_unequal(operator)) if math.isnan(n) else applied(epoch_millis(ref.expr), operator, F.lit(n))
     if ref.kind == "boolean":
@@ -232,8 +232,7 @@ def among(ref: Ref, values: tuple, tz: str) -> Column:
             others.append(compare(ref, "=", v, tz))
     hits = list(others)
     if plain:
-        cast = (lambda x: F.lit(x).cast("timestamp_ntz")) if ref.kind in INSTANTS else F.lit
-        hits.append(ref.expr.isin(*[cast(x) for x in dict.fromkeys(plain)]))
+        hits.append(ref.expr.isin(*[lt.column(x) for x in dict.fromkeys(plain)]))
     hit = reduce(lambda a, b: a | b, hits) if hits else F.lit(False)
     if hits and None not in values and ref.kind not in ("variant", "json"):
         return hit  # unknown for null by itself, and pushed down
@@ -296,7 +295,7 @@ def day(ref: Ref, operator: str, value: Any, tz: str) -> Column:
         return constant(ref, False) if _instants_only(ref) or ref.kind == "string" else unknown()
     local = at.replace(tzinfo=lt.zone("UTC")).astimezone(lt.zone(tz))
     midnight = datetime(local.year, local.month, local.day)
-    begin, end = (F.lit(lt.to_utc(d, tz)).cast("timestamp_ntz") for d in (midnight, midnight + timedelta(days=1)))
+    begin, end = (lt.column(lt.to_utc(d, tz)) for d in (midnight, midnight + timedelta(days=1)))
     c = ref.expr
     match operator:
         case "=":

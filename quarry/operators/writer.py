@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import ir
 from ..exceptions import SchemaException, UniqueConstraintViolationException
-from ..functions import names, predicate
+from ..functions import literals, names, predicate
 from ..plans.compile import HIDDEN
 from ..schema import enforcer
 
@@ -281,7 +281,7 @@ class Writer:
         own = self._own_columns(values, schema)
         stored = enforcer.changes(own, schema, self.connection.timezone, self.connection.strict)
         types = {f.name: f.dataType for f in enforcer.struct(schema).fields}
-        return self._rewrite(entry, schema, {c: F.lit(v).cast(types[c]) for c, v in stored.items()})
+        return self._rewrite(entry, schema, {c: literals.column(v).cast(types[c]) for c, v in stored.items()})
 
     def step(self, column: str, amount: Any, extra: dict[str, Any]) -> int:
         if isinstance(amount, bool) or not isinstance(amount, (int, float)) or not math.isfinite(amount):
@@ -294,7 +294,7 @@ class Writer:
         c = schema.column(target)
         stored = enforcer.changes(own, schema, self.connection.timezone, self.connection.strict)
         types = {f.name: f.dataType for f in enforcer.struct(schema).fields}
-        sets = {k: F.lit(v).cast(types[k]) for k, v in stored.items()}
+        sets = {k: literals.column(v).cast(types[k]) for k, v in stored.items()}
         if target not in sets:
             old = F.col(names.quoted(target))
             if c.type in ("integer", "decimal"):
@@ -314,7 +314,7 @@ class Writer:
         if not entry["segments"] or not sets:
             return 0
         if schema.timestamps and "updated_at" not in sets:
-            sets = {**sets, "updated_at": F.lit(enforcer.now()).cast("timestamp_ntz")}
+            sets = {**sets, "updated_at": literals.column(enforcer.now())}
         frame = self.connection._store.frame(entry)
         there, hit = self._split(schema, frame)
         marked = there.withColumn("__changed", hit)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..database.manager import DatabaseManager
 from ..database.migrations import Migration
+from ..functions import literals
 from ..operators.builder import Builder
 from ..schema.schema import SchemaBuilder
 from ..sources.external import gappy_orders, opened
@@ -38,7 +39,7 @@ def query(name: str, sql: str | None, *tables: str, timezone: str = "UTC") -> Ca
 
 def one(spark_like: Any, **values: Any) -> DataFrame:
     """A row of results that terminals gave."""
-    row = [F.lit(v).alias(k) for k, v in values.items()]
+    row = [literals.column(v).alias(k) for k, v in values.items()]
     return spark_like.spark.range(1).select(*row)
 
 
@@ -73,8 +74,8 @@ query("where_not_between", f"SELECT {ORDER} FROM orders WHERE NOT (o_totalprice
     lambda c: orders(c).where_not_between("o_totalprice", [5000, 450000]).or_where_between("o_orderkey", [3, 6])
 )
 query("where_between_reversed", f"SELECT {ORDER} FROM orders WHERE o_orderkey <= 9", "orders")(lambda c: orders(c).where_between("o_totalprice", [9, 1]).or_where("o_orderkey", "<=", 9))
-query("where_like", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%A_1%'", "part")(lambda c: c.table("part").select("p_partkey", "p_name").where_like("p_name", "%%A_1%"))
-query("where_like_case", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'part 1%' OR p_name LIKE 'Part 2%'", "part")(lambda c: c.table("part").select("p_partkey", "p_name").where_like("p_name", "part 1%", True).or_where_like("p_name", "Part 2%", True))
+query("where_like", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE 'R_D%G%T'", "part")(lambda c: c.table("part").select("p_partkey", "p_name").where_like("p_name", "r_D%%G%t"))
+query("where_like_case", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'red%' OR p_name LIKE 'Blue%'", "part")(lambda c: c.table("part").select("p_partkey", "p_name").where_like("p_name", "red%", True).or_where_like("p_name", "Blue%", True))
 query("where_not_like", "SELECT c_custkey, c_name FROM customer WHERE c_name NOT ILIKE '%0%' OR c_custkey = 1", "customer")(lambda c: c.table("customer").select("c_custkey", "c_name").where_not_like("c_name", "%0%").or_where("c_custkey", 1))
 query("where_like_escape", r"SELECT c_custkey FROM customer WHERE c_name LIKE '%\_%' ESCAPE '\' OR c_custkey < 3", "customer")(lambda c: c.table("customer").select("c_custkey").where_like("c_name", "%\\_%").or_where("c_custkey", "<", 3))
 query("where_like_operator", "SELECT c_custkey FROM customer WHERE c_mktsegment ILIKE 'b%' AND c_name NOT ILIKE '%9'", "customer")(lambda c: c.table("customer").select("c_custkey").where("c_mktsegment", "like", "B%").where("c_name", "not like", "%9"))
@@ -177,7 +178,7 @@ def _min(c: Any) -> DataFrame:
 
 @query("max", "SELECT max(o_orderkey) AS m, max(o_orderdate) AS d FROM orders", "orders")
 def _max(c: Any) -> DataFrame:
-    return one(c, m=c.table("orders").max("o_orderkey"), d=c.table("orders").max("o_orderdate")).select(F.col("m").cast("long").alias("m"), F.col("d").cast("timestamp_ntz").alias("d"))
+    return one(c, m=c.table("orders").max("o_orderkey"), d=c.table("orders").max("o_orderdate")).select(F.col("m").cast("long").alias("m"), F.col("d"))
 
 
 @query("exists", "SELECT true AS some, true AS none", "orders")
@@ -233,13 +234,17 @@ def chain(c: Any) -> Builder:
     return t.join("nation", "customer.c_nationkey", "nation.n_nationkey").join("region", "nation.n_regionkey", "region.r_regionkey")
 
 
+def big_orders(c: Any) -> Any:
+    return c.register("orders", c.table("orders").where("o_totalprice", ">", 300000).to_df(), "o_orderkey")
+
+
 FIVE = ("lineitem", "orders", "customer", "nation", "region")
 query("join_multi", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, n_name, r_name {_CHAIN} WHERE r_name = 'ASIA' AND l_quantity > 45", *FIVE)(
     lambda c: chain(c).where("r_name", "ASIA").where("l_quantity", ">", 45).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "n_name", "r_name")
 )
 query("join_group", f"SELECT n_name, count(*) AS n, CAST(sum(l_quantity) AS DOUBLE) AS qty {_CHAIN} GROUP BY 1", *FIVE)(lambda c: chain(c).group_by("nation.n_name").aggregate({"n": {"count": "*"}, "qty": {"sum": "l_quantity"}}))
-query("anti_join_idiom", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", "orders", "customer")(
-    lambda c: c.table("customer").left_join("orders", "orders.o_custkey", "customer.c_custkey").where_null("orders.o_orderkey").select("c_custkey")
+query("anti_join_idiom", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)", "orders", "customer")(
+    lambda c: big_orders(c).table("customer").left_join("orders", "orders.o_custkey", "customer.c_custkey").where_null("orders.o_orderkey").select("c_custkey")
 )
 query("join_distinct", "SELECT DISTINCT c_mktsegment, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey", "orders", "customer")(
     lambda c: c.table("orders").join("customer", "orders.o_custkey", "customer.c_custkey").select("c_mktsegment", "o_orderstatus").distinct()

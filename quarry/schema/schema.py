@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import ir
 from ..exceptions import ReservedTableException, SchemaException, TableNotFoundException, UniqueConstraintViolationException
-from ..functions import names
+from ..functions import literals, names
 from ..operators.writer import entries, rules
 from ..sources.store import schema_from_json, schema_to_json
 from . import enforcer
@@ -97,7 +97,7 @@ class SchemaBuilder:
             before = plan.changed.get(c.name)
             new = c.name in plan.added or before is not None
             if new and c.has_default and (not c.nullable or c.name in plan.added and source not in df.columns):
-                value = F.coalesce(held, F.lit(enforcer.coerced(c.default, c, schema.table, self.connection.timezone, True)).cast(types[c.name]))
+                value = F.coalesce(held, literals.column(enforcer.coerced(c.default, c, schema.table, self.connection.timezone, True)).cast(types[c.name]))
                 same = False
             elif new and not c.nullable and (before is None or before.nullable):
                 lacking.append((c.name, held.isNull()))
@@ -175,7 +175,7 @@ class SchemaBuilder:
                 bad.append(~fits)
                 sets[c.name] = F.when(fits, held)
             elif c.type in ("date", "datetime"):
-                sets[c.name] = F.date_trunc("millisecond", held).cast("timestamp_ntz")
+                sets[c.name] = F.timestamp_add("MICROSECOND", -F.pmod(F.timestamp_diff("MICROSECOND", literals.column(literals.EPOCH), held), F.lit(1000)), held)
             elif c.type == "float":
                 fits = held.isNull() | (~F.isnan(held) & (F.abs(held) < float("inf")))
                 bad.append(~fits)
