@@ -48,15 +48,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _counts(strings: list[str]) -> np.ndarray:
+def _logs(strings: list[str]) -> np.ndarray:
+    """Log-probabilities of characters after characters (last row: at the start), drawn towards those of characters alone."""
     n = len(ALPHABET)
-    out = np.full((n + 1, n), 0.5)
+    pairs = np.zeros((n + 1, n))
     for s in strings:
         last = n
         for c in s:
-            out[last, _INDEX[c]] += 1
+            pairs[last, _INDEX[c]] += 1
             last = _INDEX[c]
-    return np.log(out / out.sum(axis=1, keepdims=True))
+    alone = pairs.sum(axis=0) + 0.5
+    alone /= alone.sum()
+    return np.log((pairs + 5 * alone) / (pairs.sum(axis=1, keepdims=True) + 5))
 
 
 def train(positives: list[str], negatives: list[str]) -> np.ndarray:
@@ -64,7 +67,7 @@ def train(positives: list[str], negatives: list[str]) -> np.ndarray:
     rule = random.Random(7)
     shapes = ("0123456789abcdef", "0123456789ABCDEF", ALPHABET[:62], ALPHABET[:64])
     drawn = ["".join(rule.choice(shapes[i % 4]) for _ in range(rule.randint(20, 48))) for i in range(2000)]
-    return _counts(positives + drawn) - _counts(negatives)
+    return _logs(positives + drawn) - _logs(negatives)
 
 
 def train_on(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> np.ndarray:
