@@ -43,7 +43,22 @@ def ascii_lower(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The words of a text as an array; empty for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE))
+
+
+#: Rows of keys that are broadcast at most.
+BROADCAST_KEYS = 500_000
+
+
+def without(docs: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs`` whose key is not among ``keys`` (one long column). Null keys stay.
+
+    Few keys are broadcast, which moves no texts; more are joined by a shuffle.
+    """
+    dropped = staged(keys.toDF("__dropped").distinct(), name)
+    few = dropped.count() <= BROADCAST_KEYS
+    return docs.join(F.broadcast(dropped) if few else dropped, key == dropped["__dropped"], "left_anti")
 
 
 def ranked(df: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, int]:

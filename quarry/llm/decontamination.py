@@ -1,13 +1,14 @@
 """Benchmark decontamination by spaced-seed hashing, with DataFrame functions only.
 
-Test items and documents are compared as words (A to Z lower-cased). A document leaks an item if 13 consecutive
-words of it, laid along 13 consecutive words of the item, agree in 11 places or more. Six masks over 13 places
-each keep two of four parts and ignore the others, so at least one mask of every such pair sees no substitution:
-joining the hashes of the kept words finds them all, and each hit is verified word by word. Items of 8 to 12 words
-must appear whole and unchanged; shorter ones are no evidence and are left out.
+Test items and documents are compared as words, lower-cased. A document leaks an item if 13 consecutive
+words of it, laid along 13 consecutive words of the item, agree in 11 places or more. The seed's mask keeps the first
+of every three of ten places and ignores the others. At three consecutive shifts it keeps three disjoint sets of
+words of such a run, and two substitutions spoil two of them at most: so joining the hashes of the kept words of all
+places of documents and items finds every leak. Each hit is verified word by word over the runs around it. Items of
+10 to 12 words must appear whole and unchanged; shorter ones are no evidence and are left out.
 
 The items' hashes are broadcast while they number at most ``broadcast_rows``; beyond that both sides are shuffled
-by hash and the verified hits are found by joins.
+by hash, and only documents with a hit bring their words.
 
 Nulls: null texts have no words. Repeated items count once (``item_id`` is the smallest id, ``item_ids`` has all).
 Rows that share a document id are reported under it together. Empty tables give no rows.
@@ -18,56 +19,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, staged, words
+from .common import staged, words
 
-SPAN, AGREE, SHORTEST = 13, 11, 8
-#: Four parts of the 13 places; a mask keeps two of them.
-PARTS = ((0, 1, 2, 3), (4, 5, 6), (7, 8, 9), (10, 11, 12))
-MASKS = tuple(PARTS[i] + PARTS[j] for i in range(4) for j in range(i + 1, 4))
+SPAN, AGREE, SHORTEST = 13, 11, 10
+MASK = (0, 3, 6, 9)
+#: Runs of 13 words that hold a seed begin at its place or up to three words before.
+BEFORE = SPAN - 10
 BROADCAST_ROWS = 500_000
 
 
 def _hashed(text: Column) -> Column:
-    return F.transform(words(ascii_lower(text)), lambda w: F.xxhash64(w))
+    return F.transform(words(F.lower(text)), lambda w: F.xxhash64(w))
 
 
-def _at(h: Column, p: Column, i: int) -> Column:
-    return F.get(h, p + i)
+def _seed(h: Column, p: Column) -> Column:
+    return F.xxhash64(*[F.get(h, p + i) for i in MASK])
 
 
-def _seeds(h: Column, p: Column, short: list[int], of_length: Column | None = None) -> Column:
-    """All (hash, length of the compared run) at place ``p``; null where the run passes the end."""
-    n = F.size(h)
-    seeds = [F.when(p + SPAN <= n, F.xxhash64(F.lit(k), *[_at(h, p, i) for i in mask])) for k, mask in enumerate(MASKS)]
-    seeds += [F.when((p + m <= n) & (F.lit(True) if of_length is None else of_length == m), F.xxhash64(F.lit(-m), *[_at(h, p, i) for i in range(m)])) for m in short]
-    return F.array(*seeds)
+def _around(h: Column, p: Column) -> Column:
+    """The words of all runs that hold the seed at ``p``; null beyond the ends."""
+    return F.transform(F.sequence(F.lit(-BEFORE), F.lit(SPAN - 1)), lambda i: F.get(h, (p + i).cast("int")))
+
+
+def _agreement(a: Column, b: Column) -> Column:
+    """The most words in which a run of 13 agrees."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0)))
+    sums = F.transform(F.sequence(F.lit(1), F.lit(BEFORE + 1)), lambda s: F.aggregate(F.slice(same, s, F.lit(SPAN)), F.lit(0), lambda t, v: t + v))
+    return F.array_max(sums)
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, item_id, item_ids, n_windows (places that agree) and best (most words that agree in one), for each leak."""
+    """doc_id, item_id, item_ids, n_hits (verified places) and best (most words that agree in a run), for each leak."""
     tests = items.select(F.col(item_col).cast("long").alias("item"), _hashed(F.col(item_text_col)).alias("g")).where(F.size("g") >= SHORTEST)
     tests = staged(tests.groupBy("g").agg(F.min("item").alias("item_id"), F.sort_array(F.collect_set("item")).alias("item_ids")), "decon-items")
-    # Lengths under 13 take at most five values.
-    short = sorted(r[0] for r in tests.where(F.size("g") < SPAN).select(F.size("g")).distinct().collect())
-    at = tests.select("g", "item_id", F.explode(F.sequence(F.lit(0), F.size("g") - 1)).alias("q"))
-    at = at.where((F.col("q") + SPAN <= F.size("g")) | ((F.size("g") < SPAN) & (F.col("q") == 0)))
-    seeds = at.select(F.explode(_seeds(F.col("g"), F.col("q"), short, F.size("g"))).alias("seed"), "g", "item_id", "q").where("seed is not null")
-    # What lies under a seed: the words of the item from there on.
-    seeds = seeds.select("seed", "item_id", "q", F.slice("g", F.col("q") + 1, SPAN).alias("run")).distinct()
-    seeds = staged(seeds, "decon-seeds")
-
-    ids = F.col(id_col).cast("long").alias("doc_id")
-    h = docs.select(ids, _hashed(F.col(text_col)).alias("h")).where(F.size("h") >= SHORTEST)
-    places = h.select("doc_id", "h", F.explode(F.sequence(F.lit(0), F.size("h") - SHORTEST)).alias("p"))
-    hits = places.select("doc_id", "h", "p", F.explode(_seeds(F.col("h"), F.col("p"), short)).alias("seed"))
-    same = sum(((F.get("run", F.lit(i)) == _at(F.col("h"), F.col("p"), i)).cast("int") if i < SHORTEST else F.coalesce((F.get("run", F.lit(i)) == _at(F.col("h"), F.col("p"), i)).cast("int"), F.lit(0)) for i in range(SPAN)), F.lit(0))
+    places = F.explode(F.sequence(F.lit(0), F.size("g") - SHORTEST))
+    seeds = tests.select("item_id", "g", places.alias("q")).where((F.size("g") >= SPAN) | (F.col("q") == 0))
+    # Of items under 13 words, the whole is what must agree.
+    need = F.when(F.size("g") >= SPAN, F.lit(AGREE)).otherwise(F.size("g"))
+    seeds = staged(seeds.select(_seed(F.col("g"), F.col("q")).alias("seed"), "item_id", "q", need.alias("need"), _around(F.col("g"), F.col("q")).alias("run")), "decon-seeds")
+
+    h = docs.select(F.col(id_col).cast("long").alias("doc_id"), _hashed(F.col(text_col)).alias("h"))
+    # No filter on the length, which would hash all words once more to push itself down.
+    places = F.when(F.size("h") >= SHORTEST, F.sequence(F.lit(0), F.size("h") - SHORTEST)).otherwise(F.array().cast("array<int>"))
+    hits = h.select("doc_id", "h", F.explode(places).alias("p")).withColumn("seed", _seed(F.col("h"), F.col("p")))
     if seeds.count() <= broadcast_rows:
         found = hits.join(F.broadcast(seeds), "seed")
     else:
-        # Shuffle hashes only; the words are then needed just for documents with a hit.
-        narrow = hits.where("seed is not null").select("doc_id", "p", "seed").join(seeds.drop("run"), "seed")
-        narrow = narrow.select("doc_id", "p", "item_id", "q", "seed").distinct()
+        narrow = hits.select("doc_id", "p", "seed").join(seeds.select("seed", "item_id", "q"), "seed").distinct()
         found = narrow.join(h, "doc_id").join(seeds, ["seed", "item_id", "q"])
-    found = found.withColumn("same", same).where(F.when(F.size("run") < SPAN, F.col("same") == F.size("run")).otherwise(F.col("same") >= AGREE))
-    found = found.groupBy("doc_id", "item_id").agg(F.countDistinct("p").alias("n_windows"), F.max("same").cast("long").alias("best"))
-    return found.join(tests.select("item_id", "item_ids"), "item_id").select("doc_id", "item_id", "item_ids", "n_windows", "best")
+    # As a generator: a filter would move into the join's condition and take the join out of generated code.
+    same = _agreement(_around(F.col("h"), F.col("p")), F.col("run"))
+    found = found.select("doc_id", "item_id", "p", "need", F.explode(F.array(same)).alias("same")).where("same >= need")
+    found = found.groupBy("doc_id", "item_id").agg(F.countDistinct("p").alias("n_hits"), F.max("same").cast("long").alias("best"))
+    return found.join(tests.select("item_id", "item_ids"), "item_id").select("doc_id", "item_id", "item_ids", "n_hits", "best")
