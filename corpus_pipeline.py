@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontamination, language, minhash, mixing, sharding
-from quarry.llm.common import staged, table
+from quarry.llm.common import staged, table, without
 
 #: A document whose best language has less than this share of the evidence is rejected.
 SURE = 0.5
@@ -18,32 +18,37 @@ SURE = 0.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents without a language: null or letterless texts, and those whose evidence favours none."""
+    row = F.xxhash64(docs["doc_id"], docs["text"])
     model = language.train(docs)
-    found = language.identify(docs, model, "doc_id", "text", host_col="source", declared_col="lang")
-    sure = found.where((F.col("confidence") >= SURE) & (F.col("n_trigrams") > 0) & F.col("lang").isNotNull())
-    return docs.join(sure.select(F.col("row_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(docs.columns)
+    found = language.identify(docs.withColumn("__row", row), model, "__row", "text", host_col="source", declared_col="lang")
+    unsure = found.where((F.col("confidence") < SURE) | (F.col("n_trigrams") == 0) | F.col("lang").isNull())
+    return without(docs, row, unsure.select("row_id"), "pipeline-unsure")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates: the one of the smallest id."""
+    """Keep one document of each group of near-duplicates, the one of the smallest id, and one row of each id."""
     found = minhash.near_duplicates(docs)
-    others = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    kept = without(docs, docs["doc_id"], found.where(~F.col("kept")).select("doc_id"), "pipeline-copies")
+    repeated = staged(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeated")
+    if repeated.isEmpty():
+        return kept
+    ids = repeated.withColumnRenamed("doc_id", "__id")
+    of_these = kept.join(ids, kept["doc_id"] == ids["__id"], "left_semi").dropDuplicates(["doc_id"])
+    return without(kept, kept["doc_id"], repeated, "pipeline-repeated").unionByName(of_these)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a passage of the benchmark."""
     found = decontamination.leaks(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return without(docs, docs["doc_id"], found.select("doc_id"), "pipeline-leaks")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each document as often as the mix says: not at all, once or twice."""
-    key = F.xxhash64("doc_id", "text")
-    taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id", "text_hash").agg(F.max("copies").alias("copies"))
-    taken = taken.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash")
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]) & (key == taken["_hash"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    taken = mixing.mix(docs).groupBy("doc_id", "text_hash").agg(F.max("copies").alias("__copies"))
+    taken = taken.where("__copies > 0").toDF("__id", "__hash", "__copies")
+    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]) & (F.xxhash64(docs["doc_id"], docs["text"]) == taken["__hash"]))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
 
 
 def shard_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
