@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, minhash, mixing, secrets, sharding, substring, suffixes, topk, toxicity
+from . import decontamination, language, minhash, mixing, oracles, secrets, sharding, substring, suffixes, topk, toxicity
 from .common import table
 
 
@@ -60,4 +60,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express a query: random keys, trained models and checksums it can't."""
+    return {"op2_substring_dedup": oracles.SUBSTRING_DEDUP, "op4_exact_top_k": oracles.TOP_K, "op5_minhash_near_dedup": oracles.NEAR_DUPLICATES}

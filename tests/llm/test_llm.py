@@ -137,9 +137,10 @@ def test_substring_dedup(docs, monkeypatch, chunk):
     assert all(hashlib.sha256(t.encode()).hexdigest() == h for h, t in kept.values())
 
 
-@pytest.mark.parametrize("chunk", [3000, 2 << 20])
-def test_suffix_dedup(docs, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "crowded"), [(3000, 4096), (3000, 2), (2 << 20, 4096), (2 << 20, 2)])
+def test_suffix_dedup(docs, monkeypatch, chunk, crowded):
     monkeypatch.setattr(packed, "CHUNK", chunk)
+    monkeypatch.setattr(suffixes, "CROWDED", crowded)
     rows, df = docs
     want = removed_bytes([r[:2] for r in rows])
     assert sum(x[1] for x in want.values()) > 2000
