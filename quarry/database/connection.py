@@ -13,8 +13,8 @@ from typing import TYPE_CHECKING, Any
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import ir
-from ..events import SeederEnded, SeederStarted, SeedingEnded, SeedingStarted, TransactionBeginning, TransactionCommitted, TransactionRolledBack
-from ..exceptions import SchemaException, TableNotFoundException, TransactionClosedException
+from ..events import DatabaseBlocked, DatabaseVersionChanged, SeederEnded, SeederStarted, SeedingEnded, SeedingStarted, TransactionBeginning, TransactionCommitted, TransactionRolledBack
+from ..exceptions import DatabaseBlockedException, SchemaException, TableNotFoundException, TransactionClosedException
 from ..functions import literals
 from ..operators.builder import Builder
 from ..plans.compile import Source, schema_of
@@ -79,10 +79,20 @@ class Connection:
     def _catalog(self) -> dict[str, Any]:
         if self._working is not None:
             return self._working
-        if self._current is None or self._current["version"] != self._store.version():
+        version = self._store.version()
+        if self._current is None or self._current["version"] != version:
+            if self._current is not None:
+                self._dispatch(DatabaseVersionChanged(self.database, version or None))
             self._current = self._store.load()
         return self._current
 
+    def _commit(self, catalog: dict[str, Any]) -> dict[str, Any]:
+        try:
+            return self._store.commit(catalog)
+        except DatabaseBlockedException:
+            self._dispatch(DatabaseBlocked(self.database))
+            raise
+
     def _open(self) -> None:
         """Pending migrations run before the first use."""
         if not self._opened and not self._migrating:
@@ -107,7 +117,7 @@ class Connection:
             catalog["tables"].pop(table, None)
         else:
             catalog["tables"][table] = entry
-        self._current = self._store.commit(catalog)
+        self._current = self._commit(catalog)
 
     def _record(self, migration: str) -> None:
         assert self._working is not None
@@ -210,7 +220,7 @@ class Connection:
             yield
             done, self._working, self._scope = self._working, None, None
             if done != before:
-                self._current = self._store.commit(done)
+                self._current = self._commit(done)
         finally:
             self._working = self._scope = None
 
@@ -223,6 +233,12 @@ class Connection:
         finally:
             self._migrating = False
 
+    def compact(self, table: str) -> None:
+        """Rewrite a table that many inserts left in many segments as one."""
+        entry, _ = self._stored(table)
+        if len(entry["segments"]) > 1:
+            self._change(table, {**entry, "segments": [self._store.write(table, self._store.frame(entry))]})
+
     def estimate(self) -> dict[str, int | None]:
         """The bytes that the database takes; the store sets no quota."""
         return {"usage": self._store.size(), "quota": None}

@@ -122,6 +122,9 @@ def test_writes(db):
         t().where("id", 2).update({"email": "a@x"})
     with pytest.raises(exceptions.SchemaException):
         t().update({"id": 7})
+    rows = t().get()
+    db.connection().compact("users")
+    assert t().get() == rows
     before = t().find(2)["updated_at"]
     assert t().order_by("age", "desc").limit(1).update({"role": "old"}) == 1 and t().where("role", "old").pluck("name") == ["Carol"]
     assert t().increment("age", 2) == 4 and t().order_by("id").pluck("age") == [32, 27, 37, None]
@@ -176,10 +179,13 @@ def test_transactions(db):
         db.transaction(lambda tx: tx.table("posts").get(), tables=["users"])
     assert events == ["transaction-beginning", "transaction-rolled-back", "transaction-beginning", "transaction-committed", "transaction-beginning", "transaction-rolled-back"]
     other = DatabaseManager().configure({"connections": {"app": {"path": db.connection()._root, "database": db.connection().database}}}).connection()
-    stale = other._catalog()
+    stale, seen = other._catalog(), []
+    other.manager.listen("database-blocked", lambda e: seen.append(e.key))
+    other.manager.listen("database-version-changed", lambda e: seen.append(e.key))
     db.table("posts").where("id", 1).delete()
     with pytest.raises(exceptions.DatabaseBlockedException):
-        other._store.commit(stale)
+        other._commit(stale)
+    assert other.table("posts").count() == 3 and seen == ["database-blocked", "database-version-changed"]
 
 
 def test_migrations(db):
