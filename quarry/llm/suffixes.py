@@ -10,7 +10,8 @@ can repeat are found first, so that only these are sorted:
 3. The open runs' texts meet by anchor and their suffixes are sorted by a mergesort. Two suffixes are compared by
    binary search for their longest common extension over prefix polynomial hashes, so in a logarithmic number of
    steps. Neighbours that agree over 50 bytes are verified byte by byte; a false match sorts anew under another hash.
-   Each class of equal strings then knows its smallest id.
+   Each class of equal strings then knows its smallest id. An anchor with over ``CROWDED`` kinds of runs (the edge of
+   a passage that a third of all rows share) is too much for one task: its strings are dealt by hashes of 96 bits.
 
 Null texts are empty. A null id comes before all others; rows that share an id are one document. An empty table
 gives no rows.
@@ -118,6 +119,53 @@ class Kinds:
             self.opens[1:] = (self.gram[1:] != self.gram[:-1]) | (self.a[1:] != self.a[:-1]) | (self.b[1:] != self.b[:-1])
         self.group = np.cumsum(self.opens) - 1
         self.first_id = self.ids[self.opens]
+        new = np.concatenate(([True], self.gram[1:] != self.gram[:-1])) if n else np.zeros(0, bool)
+        self.gram_first = np.flatnonzero(new)
+        self.grams = self.gram[self.gram_first]
+        self.gram_group = np.cumsum(new) - 1
+        self.kinds_here = np.add.reduceat(self.opens.astype(np.int64), self.gram_first) if n else np.zeros(0, np.int64)
+
+    def by_kind(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return _dealt((self.a[self.opens] % U(buckets)).astype(np.int64))
+
+    def by_gram(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return _dealt((self.grams % U(buckets)).astype(np.int64))
+
+
+class Open:
+    """The runs that are still open: those whose strings are sorted, and the strings of those in a crowd."""
+
+    def __init__(self, c: pk.Chunk, runs: Runs, k: Kinds, answers: dict, buckets: int):
+        self.earlier = _read(k.by_kind(buckets), answers, 2, np.uint8)
+        gram = _read(k.by_gram(buckets), answers, 2, np.uint8, buckets)
+        open_ = k.opens & (self.earlier[k.group] == 0) if len(k.at) else np.zeros(0, bool)
+        of_gram = gram[k.gram_group] if len(k.at) else np.zeros(0, np.uint8)
+        self.some, crowd = np.flatnonzero(open_ & (of_gram == SEVERAL)), np.flatnonzero(open_ & (of_gram == CROWD))
+        self.all = np.concatenate((self.some, crowd))
+        self.dealt = _dealt((k.gram[self.some] % U(buckets)).astype(np.int64))
+        lo, n = runs.lo[k.at[crowd]], runs.hi[k.at[crowd]] - runs.lo[k.at[crowd]] + 1
+        self.run = np.repeat(np.arange(len(crowd)), n)
+        self.within = np.arange(len(self.run)) - np.repeat(np.cumsum(n) - n, n)
+        start, lens = np.repeat(lo, n) + self.within, np.full(len(self.run), WINDOW)
+        hashes = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+        for i in range(0, len(start), 1 << 15):
+            data = c.data[(start[i : i + (1 << 15), None] + np.arange(WINDOW)).reshape(-1)]
+            hashes = [np.concatenate((h, _sum_hashes(data, lens[i : i + (1 << 15)], m))) for m, h in enumerate(hashes)]
+        a, b, ids = hashes[0], (hashes[1] >> U(32)).astype(np.uint32), k.ids[crowd][self.run] if len(crowd) else np.zeros(0, np.int64)
+        self.order = np.lexsort((ids, b, a))
+        a, b, ids = a[self.order], b[self.order], ids[self.order]
+        first = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
+        self.a, self.b, self.ids, self.string = a[first], b[first], ids[first], np.cumsum(first) - 1
+        self.later_here = ids > self.ids[self.string] if len(a) else first
+        self.strings_dealt = _dealt((self.a % U(buckets)).astype(np.int64))
+
+    def bits(self, answers: dict, buckets: int) -> np.ndarray:
+        """A bit for each string of the open runs, in the order of ``all``."""
+        sorted_ = _read(self.dealt, answers, 3, np.uint32)
+        later = self.later_here | (_read(self.strings_dealt, answers, 3, np.uint8, buckets)[self.string] > 0) if len(self.run) else self.later_here
+        crowd = np.zeros(len(self.all) - len(self.some), np.uint32)
+        np.bitwise_or.at(crowd, self.run[self.order], later.astype(np.uint32) << self.within[self.order].astype(np.uint32))
+        return np.concatenate((sorted_, crowd))
 
 
 def _shared(rows: list[dict]) -> tuple[list[int], np.ndarray]:
@@ -127,20 +175,26 @@ def _shared(rows: list[dict]) -> tuple[list[int], np.ndarray]:
     return [len(x) for x in marks], ((count > 1) | several)[which]
 
 
-def _kinds_asked(c: pk.Chunk, kinds: Kinds, buckets: int) -> pa.RecordBatch:
-    """Rows for the chunk's kinds, dealt by gram, with all hashes and the smallest id here."""
-    o = kinds.opens
-    order, which, ends = _by_gram(kinds, buckets)
-    columns = {"gram": kinds.gram[o], "a": kinds.a[o], "b": (kinds.b[o] >> U(32)).astype(np.uint32), "ids": kinds.first_id}
-    arrays = [pa.array(which.astype(np.int32)), pa.array(np.full(len(which), c.number, np.int64))]
-    for v in columns.values():
-        v = v[order]
-        arrays.append(pa.array([v[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary()))
-    return pa.RecordBatch.from_arrays(arrays, ["bucket", "chunk", *columns])
+def _kinds_asked(c: pk.Chunk, k: Kinds, buckets: int) -> pa.RecordBatch:
+    """Two questions: kinds, dealt by their hashes, with the smallest id here; and grams, with one of their kinds and
+    how many this chunk has. So an anchor that is everywhere costs a few bytes a chunk, and its kinds spread."""
+    arrays: list[list] = [[], [], [], []]
+    o = k.opens
+    for dealt, base, columns in (
+        (k.by_kind(buckets), 0, (k.a[o], (k.b[o] >> U(32)).astype(np.uint32), k.first_id)),
+        (k.by_gram(buckets), buckets, (pk.fingerprint(k.grams, buckets), (k.a[k.gram_first] >> U(32)).astype(np.uint32), np.minimum(k.kinds_here, 65535).astype(np.uint16))),
+    ):
+        order, which, ends = dealt
+        arrays[0] += (which + base).tolist()
+        for out, v in zip(arrays[1:], columns, strict=True):
+            v = v[order]
+            out += [v[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
+    return _asked(c.number, arrays, ["a", "b", "ids"])
 
 
-def _by_gram(kinds: Kinds, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return _dealt((kinds.gram[kinds.opens] % U(buckets)).astype(np.int64))
+def _asked(chunk: int, arrays: list[list], names: list[str]) -> pa.RecordBatch:
+    n = len(arrays[0])
+    return pa.RecordBatch.from_arrays([pa.array(arrays[0], pa.int32()), pa.array([chunk] * n, pa.int64()), *[pa.array(x, pa.binary()) for x in arrays[1:]]], ["bucket", "chunk", *names])
 
 
 def _dealt(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,34 +204,52 @@ def _dealt(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, s[first], np.append(first, len(s))
 
 
-def _read(dealt: tuple[np.ndarray, np.ndarray, np.ndarray], answers: dict, step: int, kind: type) -> np.ndarray:
+def _read(dealt: tuple[np.ndarray, np.ndarray, np.ndarray], answers: dict, step: int, kind: type, base: int = 0) -> np.ndarray:
     order, which, ends = dealt
     out = np.zeros(len(order), kind)
     for b, i, j in zip(which.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-        out[order[i:j]] = np.frombuffer(answers[step, b], kind)
+        out[order[i:j]] = np.frombuffer(answers[step, b + base], kind)
     return out
 
 
-#: Answers about a kind: another document before the chunk's first has it; its anchor has other kinds.
-EARLIER, OPEN = 1, 2
+#: Answers about a gram: all its runs are of one kind; there are several kinds; more than one task should sort.
+ONE, SEVERAL, CROWD = 0, 1, 2
+#: From so many kinds on, the strings of a gram's open runs are told apart by their hashes, wherever these deal them.
+CROWDED = 4096
 
 
-def _kinds_decided(rows: list[dict]) -> tuple[list[int], np.ndarray]:
-    gram = [np.frombuffer(r["gram"], np.uint64) for r in rows]
-    lengths = [len(x) for x in gram]
-    gram = np.concatenate(gram)
-    a, b, ids = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in (("a", np.uint64), ("b", np.uint32), ("ids", np.int64)))
-    order = np.lexsort((ids, b, a, gram))
-    gram, a, b, ids = gram[order], a[order], b[order], ids[order]
-    new_gram = np.concatenate(([True], gram[1:] != gram[:-1]))
-    opens = new_gram | np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    least = ids[opens][np.cumsum(opens) - 1]
-    kinds_of_gram = np.bincount(np.cumsum(new_gram) - 1, opens)[np.cumsum(new_gram) - 1]
-    out = np.zeros(len(ids), np.uint8)
-    out[order] = np.where(ids > least, EARLIER, 0) | np.where((ids == least) & (kinds_of_gram > 1), OPEN, 0)
+def _earlier(rows: list[dict]) -> tuple[list[int], np.ndarray]:
+    """For hashes with the smallest id of a chunk: whether another chunk has a smaller one."""
+    a = [np.frombuffer(r["a"], np.uint64) for r in rows]
+    lengths = [len(x) for x in a]
+    a = np.concatenate(a)
+    b, ids = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in (("b", np.uint32), ("ids", np.int64)))
+    order = np.lexsort((ids, b, a))
+    opens = np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))
+    out = np.zeros(len(a), np.uint8)
+    out[order] = ids[order] > ids[order][opens][np.cumsum(opens) - 1]
     return lengths, out
 
 
+def _kinds_decided(buckets: int):
+    def decide(rows: list[dict]) -> tuple[list[int], np.ndarray]:
+        if rows[0]["bucket"] < buckets:
+            return _earlier(rows)
+        marks = [np.frombuffer(r["a"], np.uint32) for r in rows]
+        kind = np.concatenate([np.frombuffer(r["b"], np.uint32) for r in rows])
+        here = np.concatenate([np.frombuffer(r["ids"], np.uint16) for r in rows]).astype(np.int64)
+        _, which = np.unique(np.concatenate(marks), return_inverse=True)
+        n = int(which.max(initial=-1)) + 1
+        least, most = np.full(n, 1 << 32), np.full(n, -1)
+        np.minimum.at(least, which, kind)
+        np.maximum.at(most, which, kind)
+        several = (least != most) | (np.bincount(which, here > 1, n) > 0)
+        crowd = several & (np.bincount(which, here, n) > CROWDED)
+        return [len(x) for x in marks], np.where(crowd, CROWD, np.where(several, SEVERAL, ONE)).astype(np.uint8)[which]
+
+    return decide
+
+
 # --- the suffix sort ---------------------------------------------------------------------------------------------
 
 
@@ -264,7 +336,9 @@ def equal_strings(text: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[
 
 
 def _open_decided(rows: list[dict]) -> tuple[list[int], np.ndarray]:
-    """For each open run a bit a string: whether it also starts in an earlier document."""
+    """For each open run a bit a string: whether it also starts in an earlier document. For single strings a byte."""
+    if rows[0]["text"] is None:
+        return _earlier([{"a": r["gram"], "b": r["lens"], "ids": r["ids"]} for r in rows])
     text = np.concatenate([np.frombuffer(r["text"], np.uint8) for r in rows])
     gram, lens, place, ids = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in (("gram", np.uint64), ("lens", np.uint8), ("place", np.uint8), ("ids", np.int64)))
     lengths = [len(r["lens"]) for r in rows]
@@ -302,41 +376,42 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def kinds(c: pk.Chunk, answers: dict) -> pa.RecordBatch:
         return _kinds_asked(c, Kinds(c, Runs(c), answers, buckets), buckets)
 
-    def open_runs(c: pk.Chunk, k: Kinds, answers: dict) -> tuple[np.ndarray, np.ndarray]:
-        """What is known of each kind, and the places (in the kinds' order) of the runs that are still open."""
-        known = _read(_by_gram(k, buckets), answers, 2, np.uint8)
-        return known, np.flatnonzero(k.opens & (known[k.group] == OPEN)) if len(k.at) else np.zeros(0, np.int64)
-
     def texts(c: pk.Chunk, answers: dict) -> pa.RecordBatch:
         runs = Runs(c)
         k = Kinds(c, runs, answers, buckets)
-        _, some = open_runs(c, k, answers)
-        order, which, ends = _dealt((k.gram[some] % U(buckets)).astype(np.int64))
-        some = some[order]
+        o = Open(c, runs, k, answers, buckets)
+        order, which, ends = o.dealt
+        some = o.some[order]
         at = k.at[some]
         data, lens = runs.texts(c, at)
         cut = np.concatenate(([0], np.cumsum(lens)))
-        raw, out = data.tobytes(), [[], [], [], [], []]
-        place = (runs.anchor - runs.lo)[at]
+        raw, place = data.tobytes(), (runs.anchor - runs.lo)[at]
+        out: list[list] = [which.tolist(), [], [], [], [], []]
         for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            for column, v in zip(out, (k.gram[some[i:j]], lens[i:j].astype(np.uint8), place[i:j].astype(np.uint8), k.ids[some[i:j]]), strict=False):
+            for column, v in zip(out[1:], (k.gram[some[i:j]], lens[i:j].astype(np.uint8), place[i:j].astype(np.uint8), k.ids[some[i:j]]), strict=False):
                 column.append(v.tobytes())
-            out[4].append(raw[cut[i] : cut[j]])
-        return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(np.full(len(which), c.number, np.int64)), *[pa.array(x, pa.binary()) for x in out]], ["bucket", "chunk", "gram", "lens", "place", "ids", "text"])
+            out[5].append(raw[cut[i] : cut[j]])
+        order, which, ends = o.strings_dealt
+        out[0] += (which + buckets).tolist()
+        for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            at = order[i:j]
+            for column, v in zip(out[1:], (o.a[at].tobytes(), o.b[at].tobytes(), None, o.ids[at].tobytes(), None), strict=True):
+                column.append(v)
+        return _asked(c.number, out, ["gram", "lens", "place", "ids", "text"])
 
     def remove(c: pk.Chunk, answers: dict) -> pa.RecordBatch:
         runs = Runs(c)
         k = Kinds(c, runs, answers, buckets)
         gone = np.zeros(len(c.data) + 1, np.int32)
         if len(k.at):
-            known, some = open_runs(c, k, answers)
-            whole = k.at[(k.ids > k.first_id[k.group]) | (known[k.group] & EARLIER > 0)]
+            o = Open(c, runs, k, answers, buckets)
+            whole = k.at[(k.ids > k.first_id[k.group]) | (o.earlier[k.group] > 0)]
             np.add.at(gone, runs.lo[whole], 1)
             np.subtract.at(gone, runs.hi[whole] + WINDOW, 1)
-            bits = _read(_dealt((k.gram[some] % U(buckets)).astype(np.int64)), answers, 3, np.uint32)
+            bits = o.bits(answers, buckets)
             # Other runs of the first id share what its run found.
             bits_of = np.zeros(int(k.group[-1]) + 1, np.uint32)
-            bits_of[k.group[some]] = bits
+            bits_of[k.group[o.all]] = bits
             mine = np.flatnonzero((k.ids == k.first_id[k.group]) & (bits_of[k.group] > 0))
             for n in range(WITHIN):
                 lo = runs.lo[k.at[mine[(bits_of[k.group[mine]] >> np.uint32(n)) & np.uint32(1) > 0]]] + n
@@ -359,7 +434,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.RecordBatch.from_arrays(columns, names)
 
     shared = pk.meet(pk.ask(packed, None, anchors, "bucket int, chunk long, hash binary, flags binary"), 1, _shared)
-    known = pk.meet(pk.ask(packed, shared, kinds, "bucket int, chunk long, gram binary, a binary, b binary, ids binary"), 2, _kinds_decided)
+    known = pk.meet(pk.ask(packed, shared, kinds, "bucket int, chunk long, a binary, b binary, ids binary"), 2, _kinds_decided(buckets))
     both = shared.unionByName(known)
     found = pk.meet(pk.ask(packed, both, texts, "bucket int, chunk long, gram binary, lens binary, place binary, ids binary, text binary"), 3, _open_decided)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_bytes
