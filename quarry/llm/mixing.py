@@ -22,16 +22,18 @@ from pyspark.sql import functions as F
 from .common import ranked, staged, words
 
 BINS = 4096
+#: Sources whose rows (a few numbers each) are broadcast at most; more are joined by a shuffle.
+BROADCAST_SOURCES = 200_000
 
 
-def targets(sizes: DataFrame, weights: list[float], share: float, cap: float) -> DataFrame:
-    """Add ``target`` to (source, source_size): shares by weight, in the order of sources, capped at ``cap`` sizes.
+def targets(sizes: DataFrame, weights: list[float], share: float, cap: float) -> tuple[DataFrame, int]:
+    """Add ``target`` to (source, source_size), and count the sources: shares by weight, in the order of sources, capped at ``cap`` sizes.
 
     The excess over a cap goes to the sources below theirs by weight, until none is above: all uncapped sources
     end with the same target a weight, which rounds of one aggregate each find.
     """
     order = [F.col("source").isNull(), F.encode(F.coalesce("source", F.lit("")), "utf-8")]
-    numbered, _ = ranked(sizes, order, "mix-sources")
+    numbered, n = ranked(sizes, order, "mix-sources")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("global_row") % len(weights) + 1).cast("int"))
     s = staged(numbered.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(cap))).alias("most")), "mix-weights")
     total = s.agg(F.sum("source_size")).first()[0] or 0
@@ -45,7 +47,7 @@ def targets(sizes: DataFrame, weights: list[float], share: float, cap: float) ->
         if new <= level * (1 + 1e-12):
             break
         level = new
-    return s.withColumn("target", F.least(F.col("most"), F.col("weight") * F.lit(float(level))))
+    return s.withColumn("target", F.least(F.col("most"), F.col("weight") * F.lit(float(level)))), n
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 8, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -55,14 +57,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         F.xxhash64(F.col(id_col), F.col(text_col)).alias("text_hash"),
     )
     rows = staged(rows, "mix-rows")
-    by_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), list(weights), share, cap)
+    by_source, n_sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), list(weights), share, cap)
+    some = F.broadcast if n_sources <= BROADCAST_SOURCES else (lambda df: df)
     # u lies strictly between 0 and 1; p is the same for all documents of a source.
     u = (F.pmod(F.xxhash64("text_hash", "doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     by_source = by_source.select(
         F.col("source").alias("_source"), "source_size", "target", F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) + 1e-12).alias("whole"),
     ).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
     by_source = by_source.withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0))
-    with_p = rows.join(by_source, rows["source"].eqNullSafe(by_source["_source"])).drop("_source")
+    with_p = rows.join(some(by_source), rows["source"].eqNullSafe(by_source["_source"])).drop("_source")
     odds = (F.col("u") / (1 - F.col("u"))) / (F.greatest("p", F.lit(1e-15)) / (1 - F.least("p", F.lit(1 - 1e-15))))
     with_q = with_p.withColumn("u", u).withColumn("q", odds).withColumn("bin", F.floor(F.col("u") * BINS).cast("int"))
     with_q = staged(with_q.drop("u"), "mix-odds")
@@ -71,7 +74,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     cuts = sums.withColumn("upto", F.sum("words").over(order)).withColumn("before", F.col("upto") - F.col("words"))
     cuts = cuts.where((F.col("before") < F.col("rest")) & (F.col("upto") >= F.col("rest"))).groupBy("source").agg(F.min_by("bin", "bin").alias("cut"), F.min_by("before", "bin").alias("before"))
     cuts = cuts.withColumnRenamed("source", "_source")
-    at = with_q.join(cuts, with_q["source"].eqNullSafe(cuts["_source"]), "left").drop("_source")
+    at = with_q.join(some(cuts), with_q["source"].eqNullSafe(cuts["_source"]), "left").drop("_source")
     inside = at.where(F.col("bin") == F.col("cut"))
     in_order = W.partitionBy("source", "bin").orderBy("q", "text_hash", "doc_id")
     # A document whose middle lies before the cut is in: the margin is half a document.
