@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import sampled, staged
 from .textnum import column_bytes, slices
 
 #: Most labelled rows that models are trained on, and most languages.
@@ -64,10 +64,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([rows[x] for x in total]), pa.array([total[x].astype(np.float32).tobytes() for x in total])], ["lang", "rows", "counts"])
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict:
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict:
     """Languages and their log-probabilities over trigram buckets, from ``sample`` rows picked by a hash."""
-    rows = labelled.select(F.col(text_col).alias("text"), F.lower(F.col(lang_col)).alias("lang")).where("text is not null and lang is not null")
-    picked = rows.orderBy(F.xxhash64("text", "lang")).limit(sample)
+    rows = labelled.select(F.col(text_col).alias("text"), F.lower(F.col(lang_col)).alias("lang"), F.col(id_col).alias("id")).where("text is not null and lang is not null")
+    picked = sampled(rows, sample, "id", "lang")
     found = picked.mapInArrow(_counts, "lang string, rows long, counts binary").collect()  # of a bounded sample
     by: dict[str, tuple[int, np.ndarray]] = {}
     for r in found:

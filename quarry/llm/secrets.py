@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sampled
+
 #: Rows that the models are trained on, picked by a hash, and characters of each.
 SAMPLE = 500
 MARGIN = 0.5
@@ -70,7 +72,7 @@ def train(positives: list[str], negatives: list[str]) -> np.ndarray:
     return _logs(positives + drawn) - _logs(negatives)
 
 
-def train_on(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> np.ndarray:
+def train_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> np.ndarray:
     """Train on a bounded sample of rows; only their words and secrets reach the driver."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,8 +86,8 @@ def train_on(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> n
                 ordinary = IDENTIFIER.findall(rest)[:400]
                 yield pa.RecordBatch.from_arrays([pa.array([secrets], pa.list_(pa.string())), pa.array([ordinary], pa.list_(pa.string()))], ["secrets", "ordinary"])
 
-    texts = docs.select(F.col(text_col).alias("text")).where("text is not null")
-    rows = texts.orderBy(F.xxhash64("text")).limit(sample).mapInArrow(gather, "secrets array<string>, ordinary array<string>").collect()
+    texts = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id")).where("text is not null")
+    rows = sampled(texts, sample, "id").mapInArrow(gather, "secrets array<string>, ordinary array<string>").collect()
     return train([s for r in rows for s in r.secrets], [s for r in rows for s in r.ordinary])
 
 

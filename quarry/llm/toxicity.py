@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, staged, words
+from .common import ascii_lower, sampled, staged, words
 
 #: Most labelled rows that are learned from, and most learned words.
 SAMPLE, LEARNED = 20_000, 200
@@ -211,7 +211,7 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> dict:
     """Learn the lexicon and the model from at most ``sample`` labelled rows that aren't held out."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null").where(~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id")).limit(sample)
+    known = sampled(known.groupBy("doc_id").agg(F.max("y").alias("y")), sample, "doc_id")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # At most ``sample`` pairs of numbers are broadcast.
     there = staged(texts.join(F.broadcast(staged(known, "toxic-labels")), "doc_id"), "toxic-sample")
