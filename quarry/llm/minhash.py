@@ -32,6 +32,8 @@ from .textnum import U, column_bytes, mixed, rolled, row_of, slices, tokens, wor
 BINS, ROWS = 128, 4
 #: In buckets of so many members all pairs between components are compared.
 SMALL = 8
+#: Large open buckets are refined by those of so many bands after theirs. A pair at the limit shares ten bands.
+NEAR = 3
 SHINGLE = 5
 
 
@@ -154,7 +156,7 @@ def _central_stars(buckets: DataFrame) -> DataFrame:
 
 def _open_pairs(buckets: DataFrame, comps: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     """Pairs between components of buckets, and the large buckets that hold several components."""
-    labelled = buckets.join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    labelled = buckets.join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", "band", F.coalesce("component", "rep").alias("comp"))
     labelled = staged(labelled, "mh-labelled")
     drawn = F.xxhash64("rep", "key", F.lit(turn))
     by_comp = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min_by("rep", drawn).alias("rep"))
@@ -164,14 +166,15 @@ def _open_pairs(buckets: DataFrame, comps: DataFrame, turn: int) -> tuple[DataFr
     other = small.select("key", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"))
     pairs = small.join(other, "key").where("rep < rep2 and comp <> comp2").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
     pairs = pairs.unionByName(large.where("comp <> hub.comp").select(*_ordered("hub.rep", "rep")))
-    return pairs.distinct(), large.select("key", "rep")
+    return pairs.distinct(), large.select("key", "rep", "band")
 
 
 def _refined(large: DataFrame) -> DataFrame:
-    """Buckets of members that share two large open buckets."""
-    mine = large.groupBy("rep").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # at most one key a band
-    two = F.transform(F.col("keys"), lambda x, i: F.transform(F.slice("keys", i + 2, F.lit(BINS)), lambda y: F.xxhash64(x, y)))
-    return mine.select("rep", F.explode(F.flatten(two)).alias("key")).select("key", "rep")
+    """Buckets of members that share two large open buckets whose bands are near one another."""
+    mine = large.groupBy("rep").agg(F.collect_set(F.struct("band", "key")).alias("keys"))  # at most one key a band
+    near = lambda x: F.filter("keys", lambda y: F.pmod(y["band"] - x["band"], F.lit(BINS // ROWS)).between(1, NEAR))
+    two = F.transform("keys", lambda x: F.transform(near(x), lambda y: F.struct(x["band"].alias("band"), F.xxhash64(x["key"], y["key"]).alias("key"))))
+    return mine.select("rep", F.explode(F.flatten(two)).alias("two")).select("two.key", "rep", "two.band")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,9 +184,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     key = ["n_shingles", "k1", "k2"]
     sets_of = sig.where("n_shingles > 0 and doc_id is not null").groupBy(*key)
     classes = staged(sets_of.agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "mh-classes")
-    members = classes.select("rep", F.explode("bands").alias("key"))
+    members = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = staged(members.join(shared, "key").select("key", "rep", "n"), "mh-buckets")  # buckets of two and more
+    buckets = staged(members.join(shared, "key").select("key", "rep", "band", "n"), "mh-buckets")  # buckets of two and more
     nodes = buckets.select(F.col("rep").alias("doc_id")).distinct()
     sets = staged(texts.join(nodes, "doc_id", "left_semi").mapInArrow(_set_rows, "id long, set array<long>"), "mh-sets")
 
