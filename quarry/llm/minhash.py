@@ -10,8 +10,10 @@ most buckets with others is the hub and all others are compared with it, so a bu
 are confirmed on the full sets. Components come from alternating large and small stars. Then only buckets that hold
 several components are open: those of at most ``SMALL`` members compare all pairs between components; in larger
 ones another member of the largest component, drawn by a hash, is the hub for the members of all other components.
-Turns follow until none confirms a link. Large buckets that are still open (texts that share a common passage and
-little else) are refined: members that also share a second open bucket meet in a bucket of their own.
+Turns follow until none confirms a link. The members of large buckets that are still open (texts that share a common
+passage and little else) are then compared exactly, by a prefix filter that loses no link: with the shingles of each
+set in one order, rare ones first, two linked sets share a shingle so early that enough of both is left after it. All
+pairs between components that do are confirmed, in blocks where many share one shingle, so no bucket stays open.
 
 Nulls: a null text has an empty set and no links; a null id takes no part (its component is null, and it is kept).
 Rows that share an id are one document whose sets may each give links. An empty table gives no rows.
@@ -32,8 +34,10 @@ from .textnum import U, column_bytes, mixed, rolled, row_of, slices, tokens, wor
 BINS, ROWS = 128, 4
 #: In buckets of so many members all pairs between components are compared.
 SMALL = 8
-#: Large open buckets are refined by those of so many bands after theirs. A pair at the limit shares ten bands.
-NEAR = 3
+#: Counters of the sketch that orders shingles, rare ones first. Any order is exact; a good one gives few pairs.
+COUNTERS = 1 << 18
+#: Members of one shingle that meet another so many in one task.
+BLOCK = 2048
 SHINGLE = 5
 
 
@@ -155,8 +159,8 @@ def _central_stars(buckets: DataFrame) -> DataFrame:
 
 
 def _open_pairs(buckets: DataFrame, comps: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs between components of buckets, and the large buckets that hold several components."""
-    labelled = buckets.join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", "band", F.coalesce("component", "rep").alias("comp"))
+    """Pairs between components of buckets, and the members of large buckets that hold several components."""
+    labelled = buckets.join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     labelled = staged(labelled, "mh-labelled")
     drawn = F.xxhash64("rep", "key", F.lit(turn))
     by_comp = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min_by("rep", drawn).alias("rep"))
@@ -166,15 +170,90 @@ def _open_pairs(buckets: DataFrame, comps: DataFrame, turn: int) -> tuple[DataFr
     other = small.select("key", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"))
     pairs = small.join(other, "key").where("rep < rep2 and comp <> comp2").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
     pairs = pairs.unionByName(large.where("comp <> hub.comp").select(*_ordered("hub.rep", "rep")))
-    return pairs.distinct(), large.select("key", "rep", "band")
+    return pairs.distinct(), large.select("rep", "comp").distinct()
 
 
-def _refined(large: DataFrame) -> DataFrame:
-    """Buckets of members that share two large open buckets whose bands are near one another."""
-    mine = large.groupBy("rep").agg(F.collect_set(F.struct("band", "key")).alias("keys"))  # at most one key a band
-    near = lambda x: F.filter("keys", lambda y: F.pmod(y["band"] - x["band"], F.lit(BINS // ROWS)).between(1, NEAR))
-    two = F.transform("keys", lambda x: F.transform(near(x), lambda y: F.struct(x["band"].alias("band"), F.xxhash64(x["key"], y["key"]).alias("key"))))
-    return mine.select("rep", F.explode(F.flatten(two)).alias("two")).select("two.key", "rep", "two.band")
+def _size_classes() -> np.ndarray:
+    """The least size of each class of set sizes, which grow by a tenth."""
+    least = [0, 1]
+    while least[-1] < 1 << 40:
+        least.append(max(least[-1] + 1, least[-1] * 11 // 10))
+    return np.array(least, np.int64)
+
+
+CLASSES = _size_classes()
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and values of a column of lists without nulls."""
+    return np.diff(column.offsets.to_numpy()).astype(np.int64), column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def _counter(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & U(COUNTERS - 1)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        counts += np.bincount(_counter(_lists(batch.column("set"))[1]), minlength=COUNTERS)
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["counter", "n"])
+
+
+def _prefix_rows(counts: np.ndarray, percent: int, sizes: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """row, shingle, low, high, side and place of the shingles by which sets can meet linked sets of each size class.
+
+    Two sets of n and m shingles are linked if they share percent * (n + m) / (100 + percent) or more. What they share
+    lies at or after the first shared shingle in both, so in both that many are left there, itself included.
+    """
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    often = counts[_counter(hashes)]
+    order = np.lexsort((hashes, often, row))
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(len(row)) - first[row]
+    size = sizes[row]
+    least = -(-percent * size // 100)  # of a linked set
+    # A counter of one is a shingle of one set only.
+    at = np.flatnonzero((often[order] > 1) & ((100 + percent) * (size - place) >= percent * (size + least)))
+    row, place, size, least, shingle = row[at], place[at], size[at], least[at], hashes[order][at]
+    mine = np.searchsorted(CLASSES, size, "right") - 1
+    for sign in (1, -1):
+        for d in range(0 if sign > 0 else 1, len(CLASSES)):
+            other = np.clip(mine + sign * d, 0, len(CLASSES) - 2)
+            low, high = np.minimum(mine, other), np.maximum(mine, other)
+            near = (other == mine + sign * d) & (100 * (CLASSES[low + 1] - 1) >= percent * CLASSES[high])
+            if not near.any():
+                break
+            on = np.flatnonzero(near & ((100 + percent) * (size - place) >= percent * (size + np.maximum(least, CLASSES[other]))))
+            yield row[on], shingle[on], low[on], high[on], np.full(len(on), sign * min(d, 1)), place[on]
+
+
+def _exact_pairs(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs between components of the members (rep, comp) of large buckets: all that can be linked."""
+    mine = staged(sets.join(large, F.col("id") == F.col("rep")).select("rep", "comp", "set"), "mh-open-sets")
+    counts = np.zeros(COUNTERS, np.int64)  # the one thing that reaches the driver: a sketch of fixed size
+    for r in mine.select("set").mapInArrow(_counted, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r.counter] = r.n
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, hashes = _lists(batch.column("set"))
+            for row, shingle, low, high, side, place in _prefix_rows(counts, percent, sizes, hashes):
+                at = pa.array(row)
+                columns = [batch.column("rep").take(at), batch.column("comp").take(at), pa.array(sizes[row]), pa.array(_signed(shingle)), pa.array(low), pa.array(high), pa.array(side), pa.array(place)]
+                yield pa.RecordBatch.from_arrays(columns, ["rep", "comp", "size", "shingle", "low", "high", "side", "place"])
+
+    group = ["shingle", "low", "high"]
+    rows = staged(mine.mapInArrow(prefixes, "rep long, comp long, size long, shingle long, low long, high long, side long, place long"), "mh-prefixes")
+    blocks = rows.groupBy(*group).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select(*group, "blocks")
+    rows = staged(rows.join(blocks, group).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))), "mh-grouped")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    a = rows.where("side >= 0").select(*group, F.col("block").alias("i"), every.alias("j"), *[F.col(c).alias(f"{c}_a") for c in ("rep", "comp", "size", "place")])
+    b = rows.where("side <= 0").select(*group, every.alias("i"), F.col("block").alias("j"), *[F.col(c).alias(f"{c}_b") for c in ("rep", "comp", "size", "place")])
+    left = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    can = (F.col("comp_a") != F.col("comp_b")) & ((F.col("low") < F.col("high")) | (F.col("rep_a") < F.col("rep_b"))) & ((100 + percent) * left >= percent * (F.col("size_a") + F.col("size_b")))
+    return a.join(b, [*group, "i", "j"]).where(can).select(*_ordered("rep_a", "rep_b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,26 +263,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     key = ["n_shingles", "k1", "k2"]
     sets_of = sig.where("n_shingles > 0 and doc_id is not null").groupBy(*key)
     classes = staged(sets_of.agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "mh-classes")
-    members = classes.select("rep", F.posexplode("bands").alias("band", "key"))
+    members = classes.select("rep", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = staged(members.join(shared, "key").select("key", "rep", "band", "n"), "mh-buckets")  # buckets of two and more
+    buckets = staged(members.join(shared, "key").select("key", "rep", "n"), "mh-buckets")  # buckets of two and more
     nodes = buckets.select(F.col("rep").alias("doc_id")).distinct()
     sets = staged(texts.join(nodes, "doc_id", "left_semi").mapInArrow(_set_rows, "id long, set array<long>"), "mh-sets")
 
     checked = _confirmed(_central_stars(buckets), sets, percent)
-    comps, turn, refined = components(checked.where("linked").select("a", "b")), 0, False
-    while True:
+    comps, turn, more = components(checked.where("linked").select("a", "b")), 0, True
+    while more:
         turn += 1
         pairs, large = _open_pairs(buckets, comps, turn)
         pairs = staged(pairs.join(checked, ["a", "b"], "left_anti"), "mh-pairs")
         found = _confirmed(pairs, sets, percent)
+        more = not found.where("linked").isEmpty()
+        if not more and not large.isEmpty():
+            pairs = staged(_exact_pairs(large, sets, percent).join(checked, ["a", "b"], "left_anti"), "mh-pairs")
+            found = found.unionByName(_confirmed(pairs, sets, percent))
         checked = staged(checked.unionByName(found), "mh-checked")
-        if not found.where("linked").isEmpty():
+        if more or not large.isEmpty():
             comps = components(checked.where("linked").select("a", "b"))
-        elif refined or large.isEmpty():
-            break
-        else:
-            refined, buckets = True, staged(_refined(large), "mh-refined")
     comps = classes.select(*key, "rep").join(comps, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component"))
     out = sig.select("doc_id", *key).join(comps, key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

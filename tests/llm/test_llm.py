@@ -233,6 +233,30 @@ def test_near_duplicates_by_chains_and_crowds(spark):
     assert by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "n_shingles", "component_id", "kept") == want
 
 
+def crowd(n, common, own, pairs):
+    """Texts of a common passage and words of their own; the first ``pairs`` also have a copy just over the limit."""
+    r = random.Random(11)
+    passage = [f"p{i}" for i in range(common)]
+    out = []
+    for i in range(n):
+        w = passage + [f"o{r.random()}" for _ in range(own)]
+        out.append((i, " ".join(w)))
+        if i < pairs:
+            w[len(w) - len(w) // 8 :] = [f"o{r.random()}" for _ in range(len(w) // 8)]
+            out.append((10000 + i, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("block", [256, 5])
+def test_near_duplicates_in_a_crowd(spark, monkeypatch, block):
+    """Pairs just over the limit that share few buckets but those of a passage that a crowd shares."""
+    monkeypatch.setattr(minhash, "BLOCK", block, raising=False)
+    rows = crowd(250, 90, 30, 90)
+    want = linked(rows)
+    assert sum(not x[2] for x in want.values()) == 90
+    assert by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "n_shingles", "component_id", "kept") == want
+
+
 def test_near_duplicates_of_odd_rows(odd):
     out = minhash.near_duplicates(odd).collect()
     assert len(out) == odd.count()
