@@ -10,7 +10,8 @@ places of documents and items finds every leak. Each hit is verified word by wor
 The items' hashes are broadcast while they number at most ``broadcast_rows``; beyond that both sides are shuffled
 by hash, and only documents with a hit bring their words.
 
-Nulls: null texts have no words. Repeated items count once (``item_id`` is the smallest id, ``item_ids`` has all).
+Nulls: null texts have no words. A leak in a document without an id is reported under null, an item without an id
+has a null ``item_id``. Repeated items count once (``item_id`` is the smallest id, ``item_ids`` has all but null).
 Rows that share a document id are reported under it together. Empty tables give no rows.
 """
 
@@ -48,27 +49,33 @@ def _agreement(a: Column, b: Column) -> Column:
     return F.array_max(sums)
 
 
+def _row(doc_id: Column, text: Column) -> list[Column]:
+    """What tells rows apart where ids may be null or repeated: 128 bits of hashes, the same at every evaluation."""
+    return [F.xxhash64(doc_id, text).alias("r1"), F.xxhash64(text, doc_id, F.lit(1)).alias("r2")]
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, item_id, item_ids, n_hits (verified places) and best (most words that agree in a run), for each leak."""
     tests = items.select(F.col(item_col).cast("long").alias("item"), _hashed(F.col(item_text_col)).alias("g")).where(F.size("g") >= SHORTEST)
-    tests = staged(tests.groupBy("g").agg(F.min("item").alias("item_id"), F.sort_array(F.collect_set("item")).alias("item_ids")), "decon-items")
+    tests = tests.groupBy("g").agg(F.min("item").alias("item_id"), F.sort_array(F.collect_set("item")).alias("item_ids"))
+    tests = staged(tests.withColumn("item_row", F.monotonically_increasing_id()), "decon-items")  # ids may be null
     places = F.explode(F.sequence(F.lit(0), F.size("g") - SHORTEST))
-    seeds = tests.select("item_id", "g", places.alias("q")).where((F.size("g") >= SPAN) | (F.col("q") == 0))
+    seeds = tests.select("item_row", "g", places.alias("q")).where((F.size("g") >= SPAN) | (F.col("q") == 0))
     # Of items under 13 words, the whole is what must agree.
     need = F.when(F.size("g") >= SPAN, F.lit(AGREE)).otherwise(F.size("g"))
-    seeds = staged(seeds.select(_seed(F.col("g"), F.col("q")).alias("seed"), "item_id", "q", need.alias("need"), _around(F.col("g"), F.col("q")).alias("run")), "decon-seeds")
+    seeds = staged(seeds.select(_seed(F.col("g"), F.col("q")).alias("seed"), "item_row", "q", need.alias("need"), _around(F.col("g"), F.col("q")).alias("run")), "decon-seeds")
 
-    h = docs.select(F.col(id_col).cast("long").alias("doc_id"), _hashed(F.col(text_col)).alias("h"))
+    h = docs.select(F.col(id_col).cast("long").alias("doc_id"), _hashed(F.col(text_col)).alias("h"), *_row(F.col(id_col), F.col(text_col)))
     # No filter on the length, which would hash all words once more to push itself down.
     places = F.when(F.size("h") >= SHORTEST, F.sequence(F.lit(0), F.size("h") - SHORTEST)).otherwise(F.array().cast("array<int>"))
-    hits = h.select("doc_id", "h", F.explode(places).alias("p")).withColumn("seed", _seed(F.col("h"), F.col("p")))
+    hits = h.select("doc_id", "h", "r1", "r2", F.explode(places).alias("p")).withColumn("seed", _seed(F.col("h"), F.col("p")))
     if seeds.count() <= broadcast_rows:
         found = hits.join(F.broadcast(seeds), "seed")
     else:
-        narrow = hits.select("doc_id", "p", "seed").join(seeds.select("seed", "item_id", "q"), "seed").distinct()
-        found = narrow.join(h, "doc_id").join(seeds, ["seed", "item_id", "q"])
+        narrow = hits.select("r1", "r2", "p", "seed").join(seeds.select("seed", "item_row", "q"), "seed").distinct()
+        found = narrow.join(h, ["r1", "r2"]).join(seeds, ["seed", "item_row", "q"])
     # As a generator: a filter would move into the join's condition and take the join out of generated code.
     same = _agreement(_around(F.col("h"), F.col("p")), F.col("run"))
-    found = found.select("doc_id", "item_id", "p", "need", F.explode(F.array(same)).alias("same")).where("same >= need")
-    found = found.groupBy("doc_id", "item_id").agg(F.countDistinct("p").alias("n_hits"), F.max("same").cast("long").alias("best"))
-    return found.join(tests.select("item_id", "item_ids"), "item_id").select("doc_id", "item_id", "item_ids", "n_hits", "best")
+    found = found.select("doc_id", "item_row", "p", "need", F.explode(F.array(same)).alias("same")).where("same >= need")
+    found = found.groupBy("doc_id", "item_row").agg(F.countDistinct("p").alias("n_hits"), F.max("same").cast("long").alias("best"))
+    return found.join(tests.select("item_row", "item_id", "item_ids"), "item_row").select("doc_id", "item_id", "item_ids", "n_hits", "best")

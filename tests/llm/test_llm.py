@@ -448,6 +448,15 @@ def test_decontamination(spark, odd, none, rows):
     assert decontamination.leaks(odd, b).count() == 0 and decontamination.leaks(none, b).count() == decontamination.leaks(a, b.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rows", [decontamination.BROADCAST_ROWS, 0])
+def test_decontamination_of_rows_without_ids(spark, rows):
+    long, other = " ".join(f"a{i}" for i in range(16)), " ".join(f"b{i}" for i in range(16))
+    a = spark.createDataFrame([(None, f"x {long}"), (None, "nothing here"), (1, f"{other} y z"), (1, f"q {other}"), (2, long)], "doc_id long, text string")
+    b = spark.createDataFrame([(7, long), (None, other)], "item_id long, text string")
+    got = sorted(map(tuple, decontamination.leaks(a, b, broadcast_rows=rows).select("doc_id", "item_id", "item_ids", "best").collect()), key=str)
+    assert got == [(1, None, [], 13), (2, 7, [7], 13), (None, 7, [7], 13)]
+
+
 # --- language ------------------------------------------------------------------------------------------------------
 
 
