@@ -39,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a passage of the benchmark."""
-    found = decontamination.leaks(docs, table(spark, sf_dir, "benchmark"))
+    found = decontamination.all_leaks(docs, table(spark, sf_dir, "benchmark"))
     return without(docs, docs["doc_id"], found.select("doc_id"), "pipeline-leaks")
 
 

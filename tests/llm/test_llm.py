@@ -457,6 +457,33 @@ def test_decontamination_of_rows_without_ids(spark, rows):
     assert got == [(1, None, [], 13), (2, 7, [7], 13), (None, 7, [7], 13)]
 
 
+@pytest.mark.parametrize("rows", [decontamination.BROADCAST_ROWS, 0])
+def test_decontamination_by_short_items(spark, odd, none, rows):
+    r = random.Random(6)
+    v = [f"w{i}" for i in range(30)]
+    items = [(i, " ".join(r.choice(v) for _ in range(1 + i % 14))) for i in range(28)] + [(50, None), (51, "")]
+    docs = [(i, " ".join(r.choice(v) for _ in range(r.randint(0, 30)))) for i in range(30)]
+    for i, t in items[:28]:
+        w = t.split()
+        docs.append((100 + i, " ".join(["x", *w, "y"])))
+        for subs in (1, 2):
+            for k in r.sample(range(len(w)), min(subs, len(w))):
+                w[k] = "sub"
+            docs.append((100 * subs + 100 + i, " ".join(["x", *w, "y"])))
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+
+    def holds(doc, item):
+        n = len(item)
+        return 0 < n < 13 and any(sum(0 <= i + s < len(doc) and doc[i + s] == item[i] for i in range(n)) >= n - 2 * n // 13 for s in range(-n, len(doc)))
+
+    got = {(x.doc_id, i) for x in decontamination.short_leaks(a, b, broadcast_rows=rows).collect() for i in x.item_ids}
+    want = {(d, i) for d, t in docs for i, u in items if holds(t.split(), (u or "").split())}
+    assert got == want and {i for _, i in want} == {i for i, t in items[:28] if len(t.split()) < 13}
+    both = {(x.doc_id, i) for x in decontamination.all_leaks(a, b).collect() for i in x.item_ids}
+    assert both == want | {(d, i) for d, t in docs for i, u in items if len((u or "").split()) >= 13 and agreeing(t.split(), u.split())}
+    assert decontamination.short_leaks(none, b).count() == decontamination.short_leaks(a, b.limit(0)).count() == 0
+
+
 # --- language ------------------------------------------------------------------------------------------------------
 
 
