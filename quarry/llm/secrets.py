@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import sampled
 
-#: Rows that the models are trained on, picked by a hash, and characters of each.
+#: Rows that the models are trained on, picked by a hash; all of their text counts.
 SAMPLE = 500
 MARGIN = 0.5
 #: The patterns of the base spans.
@@ -50,45 +50,58 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _logs(strings: list[str]) -> np.ndarray:
-    """Log-probabilities of characters after characters (last row: at the start), drawn towards those of characters alone."""
+#: The index of each byte in the alphabet; any other parts strings.
+_CODES = np.full(256, len(ALPHABET))
+_CODES[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
+
+
+def _pairs(strings: list[str]) -> np.ndarray:
+    """How often each character follows each (last row: stands at the start)."""
     n = len(ALPHABET)
-    pairs = np.zeros((n + 1, n))
-    for s in strings:
-        last = n
-        for c in s:
-            pairs[last, _INDEX[c]] += 1
-            last = _INDEX[c]
+    codes = _CODES[np.frombuffer(" ".join(["", *strings]).encode(), np.uint8)]
+    last, here = codes[:-1], codes[1:]
+    return np.bincount((last * n + here)[here < n], minlength=(n + 1) * n).reshape(n + 1, n)
+
+
+def _logs(pairs: np.ndarray) -> np.ndarray:
+    """Log-probabilities of characters after characters, drawn towards those of characters alone."""
     alone = pairs.sum(axis=0) + 0.5
     alone /= alone.sum()
     return np.log((pairs + 5 * alone) / (pairs.sum(axis=1, keepdims=True) + 5))
 
 
-def train(positives: list[str], negatives: list[str]) -> np.ndarray:
-    """Log-likelihood ratios of each character after each (the last row: at the start), random over ordinary."""
+def _model(positives: np.ndarray, negatives: np.ndarray) -> np.ndarray:
     rule = random.Random(7)
     shapes = ("0123456789abcdef", "0123456789ABCDEF", ALPHABET[:62], ALPHABET[:64])
     drawn = ["".join(rule.choice(shapes[i % 4]) for _ in range(rule.randint(20, 48))) for i in range(2000)]
-    return _logs(positives + drawn) - _logs(negatives)
+    return _logs(positives + _pairs(drawn)) - _logs(negatives)
+
+
+def train(positives: list[str], negatives: list[str]) -> np.ndarray:
+    """Log-likelihood ratios of each character after each (the last row: at the start), random over ordinary."""
+    return _model(_pairs(positives), _pairs(negatives))
 
 
 def train_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> np.ndarray:
-    """Train on a bounded sample of rows; only their words and secrets reach the driver."""
+    """Train on a bounded sample of rows, whole texts; only counts of character pairs reach the driver."""
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, len(ALPHABET) + 1, len(ALPHABET)), np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 spans = base_spans(text)
                 secrets = [s for a, k, b in spans for s in IDENTIFIER.findall((ASSIGN.search(text, a)[2] if k == 0 else text[a:b]))]
-                ordinary, rest = [], text
+                rest = text
                 for a, _, b in reversed(spans):
                     rest = rest[:a] + " " + rest[b:]
-                ordinary = IDENTIFIER.findall(rest)[:400]
-                yield pa.RecordBatch.from_arrays([pa.array([secrets], pa.list_(pa.string())), pa.array([ordinary], pa.list_(pa.string()))], ["secrets", "ordinary"])
+                sums += np.stack((_pairs(secrets), _pairs(IDENTIFIER.findall(rest))))
+        yield pa.RecordBatch.from_arrays([pa.array([x.ravel().tolist()], pa.list_(pa.int64())) for x in sums], ["secrets", "ordinary"])
 
     texts = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id")).where("text is not null")
-    rows = sampled(texts, sample, "id").mapInArrow(gather, "secrets array<string>, ordinary array<string>").collect()
-    return train([s for r in rows for s in r.secrets], [s for r in rows for s in r.ordinary])
+    sums = np.zeros((2, len(ALPHABET) + 1, len(ALPHABET)), np.int64)
+    for r in sampled(texts, sample, "id").select("text").mapInArrow(count, "secrets array<long>, ordinary array<long>").collect():
+        sums += np.array([r.secrets, r.ordinary]).reshape(sums.shape)
+    return _model(*sums)
 
 
 def ratio(s: str, model: np.ndarray) -> float:

@@ -368,6 +368,14 @@ def test_markov_ratio_on_held_out_strings():
     assert sum(secrets.ratio(s, model) > secrets.MARGIN for s in words[1::2]) == 0
 
 
+def test_markov_models_learn_from_whole_texts(spark):
+    """Identifiers at the end of a long text count as those at its start."""
+    names = [f"{a}zq{b}" for a in ("first", "inner", "table") for b in ("column", "value", "index")]
+    text = "plain words of text here " * 300 + " ".join(names * 40)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert np.allclose(secrets.train_on(df), secrets.train([], secrets.IDENTIFIER.findall(text)))
+
+
 # --- mixing --------------------------------------------------------------------------------------------------------
 
 
