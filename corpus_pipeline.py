@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontamination, language, minhash, mixing, sharding
-from quarry.llm.common import staged, table, without
+from quarry.llm.common import ranked, staged, table, without
 
 #: A document whose best language has less than this share of the evidence is rejected.
 SURE = 0.5
@@ -26,15 +26,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates, the one of the smallest id, and one row of each id."""
-    found = minhash.near_duplicates(docs)
-    kept = without(docs, docs["doc_id"], found.where(~F.col("kept")).select("doc_id"), "pipeline-copies")
-    repeated = staged(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeated")
+    """Keep one row of each group of near-duplicates, the one of the smallest id. Rows that share an id and not their texts are documents of their own."""
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if repeated.isEmpty():
-        return kept
-    ids = repeated.withColumnRenamed("doc_id", "__id")
-    of_these = kept.join(ids, kept["doc_id"] == ids["__id"], "left_semi").dropDuplicates(["doc_id"])
-    return without(kept, kept["doc_id"], repeated, "pipeline-repeated").unionByName(of_these)
+        found = minhash.near_duplicates(docs)
+        return without(docs, docs["doc_id"], found.where(~F.col("kept")).select("doc_id"), "pipeline-copies")
+    # Numbers in the order of ids stand for them, one for each id and text.
+    text_hash = F.xxhash64("doc_id", "text")
+    pairs = docs.where("doc_id is not null").select("doc_id", text_hash.alias("__hash")).groupBy("doc_id", "__hash").agg(F.count("*").alias("__n"))
+    numbers = ranked(pairs, [F.col("doc_id"), F.col("__hash")], "pipeline-ids")[0].select(F.col("doc_id").alias("__id"), F.col("__hash"), F.col("__n"), F.col("global_row").alias("__number"))
+    numbered = staged(docs.join(numbers, (docs["doc_id"] == numbers["__id"]) & (text_hash == numbers["__hash"]), "left").drop("__id", "__hash"), "pipeline-numbered")
+    found = minhash.near_duplicates(numbered, id_col="__number")
+    kept = without(numbered, numbered["__number"], found.where(~F.col("kept")).select("doc_id"), "pipeline-copies")
+    # Rows alike in id and text: one of them, drawn by its other columns.
+    columns = F.struct(*docs.columns)
+    twice = kept.where("__n > 1").groupBy("__number").agg(F.min_by(columns, F.xxhash64(*docs.columns)).alias("row")).select("row.*")
+    return kept.where("__n is null or __n = 1").select(docs.columns).unionByName(twice.select(docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

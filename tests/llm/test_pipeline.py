@@ -41,3 +41,15 @@ def test_stages_on_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, FOLDER)
         assert empty.count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    """Different clean texts stay, near copies go whichever ids they have, and of equal rows one stays."""
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    near = text("b").replace("b59", "x")
+    rows = [(1, text("a"), "en", "s", 1), (1, text("b"), "en", "s", 1), (1, text("c"), "en", "s", 1), (1, text("c"), "en", "s", 1), (2, near, "en", "s", 1), (3, text("d"), "en", "s", 1), (4, text("e"), "en", "s", 1), (4, text("d"), "en", "s", 1), (None, text("a"), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER)
+    assert out.columns == docs.columns
+    want = [(1, text("a")), (1, text("b")), (1, text("c")), (3, text("d")), (4, text("e")), (None, text("a"))]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
