@@ -65,6 +65,7 @@ query("where_or_not", f"SELECT {ORDER} FROM orders WHERE o_orderkey < 10 OR NOT
 query("where_strict", f"SELECT {ORDER} FROM orders WHERE o_custkey = 10", "orders")(lambda c: orders(c).where("o_custkey", "===", 10).where("o_orderstatus", "!==", 5))
 query("where_loose", f"SELECT {ORDER} FROM orders WHERE o_custkey = 10 AND o_orderkey < 14000.5", "orders")(lambda c: orders(c).where("o_custkey", "10").where("o_orderkey", "<", "14000.5"))
 query("where_unreadable", f"SELECT {ORDER} FROM orders WHERE o_orderkey < 20", "orders")(lambda c: orders(c).where("o_custkey", "!=", "ten").where("o_orderkey", "<", 20))
+query("where_unreadable_whole", f"SELECT {ORDER} FROM orders", "orders")(lambda c: orders(c).where("o_custkey", "!=", "ten"))
 query("where_in", f"SELECT {ORDER} FROM orders WHERE o_custkey IN (1, 2, 3, 40) OR o_orderkey IN (5)", "orders")(lambda c: orders(c).where_in("o_custkey", [1, 2, "3", 40]).or_where_in("o_orderkey", [5, None]))
 query("where_in_empty", f"SELECT {ORDER} FROM orders WHERE o_orderkey < 5", "orders")(lambda c: orders(c).where_in("o_custkey", []).or_where("o_orderkey", "<", 5))
 query("where_not_in", f"SELECT {ORDER} FROM orders WHERE o_orderstatus NOT IN ('O', 'F')", "orders")(lambda c: orders(c).where_not_in("o_orderstatus", ["O", "F"]))
@@ -84,6 +85,7 @@ query("where_date_range", f"SELECT {ORDER} FROM orders WHERE o_orderdate >= TIME
     lambda c: orders(c).where_date("o_orderdate", ">", "1997-01-01").where_date("o_orderdate", "<=", "1997-01-04").or_where_date("o_orderdate", "<", "1995-01-05")
 )
 query("where_date_unequal", f"SELECT {ORDER} FROM orders WHERE NOT (o_orderdate >= TIMESTAMP '1996-03-01' AND o_orderdate < TIMESTAMP '1996-03-02') AND o_orderkey < 500", "orders")(lambda c: orders(c).where_date("o_orderdate", "!=", "1996-03-01").where("o_orderkey", "<", 500))
+query("where_date_unequal_whole", f"SELECT {ORDER} FROM orders WHERE NOT (o_orderdate >= TIMESTAMP '1996-03-01' AND o_orderdate < TIMESTAMP '1996-03-02')", "orders")(lambda c: orders(c).where_date("o_orderdate", "!=", "1996-03-01"))
 query("where_date_zoned", "SELECT event_id FROM events WHERE CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS DATE) = DATE '2024-01-10'", "events", timezone="America/New_York")(lambda c: c.table("events").select("event_id").where_date("ts", "2024-01-10"))
 query("where_year", f"SELECT {ORDER} FROM orders WHERE year(o_orderdate) = 1996", "orders")(lambda c: orders(c).where_year("o_orderdate", "1996"))
 query("where_month", f"SELECT {ORDER} FROM orders WHERE month(o_orderdate) >= 11 OR month(o_orderdate) = 2", "orders")(lambda c: orders(c).where_month("o_orderdate", ">=", 11).or_where_month("o_orderdate", 2))
@@ -118,6 +120,8 @@ _gappy("where_unknown", "o_orderkey < 3", lambda q: q.where("o_totalprice", ">",
 query("json_path", "SELECT event_id, json_extract(props, '$.k')::VARCHAR AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) >= 90", "events")(lambda c: c.table("events").select("event_id", "props->k").where("props->k", ">=", 90))
 query("json_missing", "SELECT event_id FROM events WHERE json_extract(props, '$.none.k') IS NULL AND event_id < 100", "events")(lambda c: c.table("events").select("event_id").where_null("props->none->k").where("event_id", "<", 100))
 
+query("json_missing_whole", "SELECT event_id FROM events WHERE json_extract(props, '$.none.k') IS NULL", "events")(lambda c: c.table("events").select("event_id").where_null("props->none->k"))
+
 
 def _arrays(c: Any) -> Any:
     """Events with a JSON array of their props and type."""
@@ -266,6 +270,12 @@ def _loose(c: Any) -> Any:
     return c.table("orders").join("customer", "orders.o_custkey", "customer.c_custkey").where("o_orderkey", "<", 500).select("o_orderkey", "c_name")
 
 
+@query("join_loose_keys_whole", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey", "orders", "customer")
+def _loose_whole(c: Any) -> Any:
+    c.register("customer", c._frames["customer"].frame().withColumn("c_custkey", F.col("c_custkey").cast("string")), "c_custkey")
+    return c.table("orders").join("customer", "orders.o_custkey", "customer.c_custkey").select("o_orderkey", "c_name")
+
+
 # --- terminals -----------------------------------------------------------------------------------------------------
 
 

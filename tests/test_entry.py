@@ -34,3 +34,9 @@ def test_query(spark, duck, name):
     assert sorted(names) == sorted(df.columns)
     want = sorted((tuple(plain(dict(zip(names, r, strict=True))[c]) for c in sorted(names)) for r in found.fetchall()), key=repr)
     assert sorted((tuple(plain(r[c]) for c in sorted(names)) for r in df.collect()), key=repr) == want
+
+
+@pytest.mark.parametrize(("name", "table"), [("join_loose_keys", "orders"), ("json_missing", "events"), ("where_unreadable", "orders"), ("where_date_unequal", "orders")])
+def test_features_over_whole_tables(spark, duck, name, table):
+    n = duck.execute(f"SELECT count(*) FROM {table}").fetchone()[0]
+    assert contract.QUERIES[f"{name}_whole"](spark, FOLDER).count() > 0.99 * n
