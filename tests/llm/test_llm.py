@@ -257,6 +257,27 @@ def test_near_duplicates_in_a_crowd(spark, monkeypatch, block):
     assert by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "n_shingles", "component_id", "kept") == want
 
 
+def test_prefixes_lose_no_link():
+    """Any two linked sets meet at a shingle, in a class of sizes, with enough left in both."""
+    r = np.random.default_rng(2)
+    sets = []
+    for _ in range(60):
+        base = r.choice(400, r.integers(1, 60), replace=False)
+        sets += [base, np.unique(np.concatenate((base[r.random(len(base)) < 0.9], r.integers(0, 400, r.integers(0, 9)))))]
+    sets = [np.sort(minhash.mixed(x.astype(np.uint64))) for x in sets if len(x)]
+    sizes, hashes = np.array([len(x) for x in sets]), np.concatenate(sets)
+    counts = np.bincount(minhash._counter(hashes), minlength=minhash.COUNTERS)
+    groups = collections.defaultdict(lambda: (set(), set()))
+    for row, shingle, low, high, side, _ in minhash._prefix_rows(counts, 75, sizes, hashes):
+        for x, h, a, b, s in zip(row, shingle, low, high, side, strict=True):
+            for k in {1: (0,), -1: (1,), 0: (0, 1)}[int(s)]:
+                groups[h, a, b][k].add(int(x))
+    met = {(min(x, y), max(x, y)) for a, b in groups.values() for x in a for y in b if x != y}
+    s = [set(map(int, x)) for x in sets]
+    want = {(i, j) for j in range(len(s)) for i in range(j) if 100 * len(s[i] & s[j]) >= 75 * len(s[i] | s[j])}
+    assert want <= met and len(want) > 20 and len(met) < len(s) * len(s) / 4
+
+
 def test_near_duplicates_of_odd_rows(odd):
     out = minhash.near_duplicates(odd).collect()
     assert len(out) == odd.count()
