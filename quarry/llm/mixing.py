@@ -6,6 +6,9 @@ more copy. Documents are ranked by random odds divided by inclusion odds, (u / (
 hash of the document, and taken in that order until the source's words are spent, so the size of the sample is
 fixed (to half a document at the margin) and not only expected.
 
+All documents of a source have the same p on purpose, so that its mix keeps the lengths that it has. Within a source
+dividing by the inclusion odds then changes no order, and Pareto order sampling is sequential random sampling by u.
+
 The cut in the ranking is found from sums over bins of the rank; rows are ordered only within the bin that holds
 the cut, so no task gathers a source. Targets come from passes over one row a source.
 
