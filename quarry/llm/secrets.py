@@ -91,10 +91,11 @@ def train_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
             for text in batch.column(0).to_pylist():
                 spans = base_spans(text)
                 secrets = [s for a, k, b in spans for s in IDENTIFIER.findall((ASSIGN.search(text, a)[2] if k == 0 else text[a:b]))]
-                rest = text
-                for a, _, b in reversed(spans):
-                    rest = rest[:a] + " " + rest[b:]
-                sums += np.stack((_pairs(secrets), _pairs(IDENTIFIER.findall(rest))))
+                rest, at = [], 0
+                for a, _, b in spans:  # in order; they may overlap
+                    rest.append(text[at:a] if at < a else "")
+                    at = max(at, b)
+                sums += np.stack((_pairs(secrets), _pairs(IDENTIFIER.findall(" ".join([*rest, text[at:]])))))
         yield pa.RecordBatch.from_arrays([pa.array([x.ravel().tolist()], pa.list_(pa.int64())) for x in sums], ["secrets", "ordinary"])
 
     texts = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id")).where("text is not null")
@@ -111,9 +112,16 @@ def ratio(s: str, model: np.ndarray) -> float:
 
 
 def all_spans(text: str, model: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """The base spans, and all spans."""
+    """The base spans, and all spans. Runs and base spans are met in one sweep, both in the order of their starts."""
     base = base_spans(text)
-    more = [(m.start(), 3, m.end()) for m in RUN.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in base) and ratio(m[0], model) > MARGIN]
+    more, i = [], 0
+    reach = 0  # the furthest end of the base spans that start before the run's end
+    for m in RUN.finditer(text):
+        while i < len(base) and base[i][0] < m.end():
+            reach = max(reach, base[i][2])
+            i += 1
+        if reach <= m.start() and ratio(m[0], model) > MARGIN:
+            more.append((m.start(), 3, m.end()))
     return base, sorted(base + more)
 
 
