@@ -34,15 +34,9 @@ class Words:
     def __init__(self, c: pk.Chunk):
         self.starts, self.ends, self.first = tokens(c.data, c.offsets)
         self.row = row_of(self.first)
-        self.h = self._hashes(c, 0)
+        self.h = word_hashes(c.data, self.starts, self.ends)
         self.place = np.arange(len(self.row)) - self.first[self.row] if len(self.row) else np.zeros(0, np.int64)
 
-    def _hashes(self, c: pk.Chunk, k: int) -> np.ndarray:
-        out = np.zeros(len(self.starts), np.uint64)
-        for i in range(0, len(self.starts), 1 << 17):  # bounds the memory for the bytes' places
-            out[i : i + (1 << 17)] = word_hashes(c.data, self.starts[i : i + (1 << 17)], self.ends[i : i + (1 << 17)], k=k)
-        return out
-
     def whole(self, n: int) -> np.ndarray:
         """Places where ``n`` words of one row begin."""
         if len(self.row) < n:
