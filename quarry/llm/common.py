@@ -73,6 +73,26 @@ def without(docs: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFra
     return docs.join(F.broadcast(dropped) if few else dropped, key == dropped["__dropped"], "left_anti")
 
 
+#: Rows of one key that meet in one task at most, and how many keys are held to be hot at most, as a share of all rows.
+HOT_ROWS, HOT_KEYS = 256, 100_000
+
+
+def hot_limit(rows: int) -> int:
+    """Keys of more rows than this are hot; as each takes that many, there are at most ``HOT_KEYS`` of them."""
+    return max(HOT_ROWS, rows // HOT_KEYS)
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str | list[str], size: str, limit: int) -> DataFrame:
+    """Join ``rows`` with the one row that ``keyed`` has for a key and its number of ``rows`` as ``size``.
+
+    Those of hot keys are broadcast (``hot_limit`` bounds their number), so rows of one key meet nowhere. All others
+    are joined by a shuffle.
+    """
+    hot = F.broadcast(keyed.where(F.col(size) > limit))
+    rest = rows.join(F.broadcast(keyed.where(F.col(size) > limit).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(keyed.where(F.col(size) <= limit), key))
+
+
 def ranked(df: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, int]:
     """Add ``global_row`` (from 0, in the given order, without gaps) and return the number of rows.
 

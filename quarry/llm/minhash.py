@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import hot_limit, spread_join, staged
 from .textnum import U, column_bytes, mixed, rolled, row_of, slices, tokens, word_hashes
 
 BINS, ROWS = 128, 4
@@ -124,7 +124,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """node, component for links (a, b): the smallest node reachable. Rounds of joins; each node's links are never gathered."""
     e = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
-    state = None
+    n = e.count()
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -132,18 +132,29 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
-        e = staged(small.distinct(), "cc")
-        new = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first())
-        if new == state:
+        before, e, n_before = e, staged(small.distinct(), "cc"), n
+        n = e.count()
+        if n == n_before and e.join(before, ["u", "v"], "left_anti").isEmpty():  # the same links as before
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        state = new
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, linked for candidate pairs, on their full sets."""
-    a, b = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
+    """a, b, linked for distinct candidate pairs, on their full sets.
+
+    A member of many pairs (a hub) has its set copied for each block of them, so its pairs spread over the tasks.
+    """
+    limit = hot_limit(pairs.count())
+    degrees = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count()
+    hubs = staged(degrees.where(F.col("count") > limit).select("id", F.ceil(F.col("count") / limit).alias("blocks")), "mh-hubs")
+    blocks = F.coalesce("blocks", F.lit(1).cast("long"))
+    copies = sets.join(F.broadcast(hubs), "id", "left").select("id", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "set")
+    for end, other in (("a", "b"), ("b", "a")):
+        dealt = F.pmod(F.xxhash64(other), blocks)
+        pairs = pairs.join(F.broadcast(hubs.withColumnRenamed("id", end)), end, "left").withColumn(f"block_{end}", dealt).drop("blocks")
+    for end in ("b", "a"):
+        pairs = pairs.join(copies.toDF(end, f"block_{end}", f"s{end}"), [end, f"block_{end}"])
     both = F.size(F.array_intersect("sa", "sb"))
-    found = pairs.join(b, "b").join(a, "a").select("a", "b", (100 * both >= percent * (F.size("sa") + F.size("sb") - both)).alias("linked"))
+    found = pairs.select("a", "b", (100 * both >= percent * (F.size("sa") + F.size("sb") - both)).alias("linked"))
     return staged(found.groupBy("a", "b").agg(F.max("linked").alias("linked")), "mh-checked")
 
 
@@ -151,21 +162,21 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _central_stars(buckets: DataFrame) -> DataFrame:
+def _central_stars(buckets: DataFrame, limit: int) -> DataFrame:
     """Pairs of each bucket's members with the one that shares most buckets with others."""
     central = buckets.groupBy("rep").agg(F.sum("n").alias("shares"))
-    hubs = buckets.join(central, "rep").groupBy("key").agg(F.max_by("rep", F.struct("shares", -F.col("rep"))).alias("hub"))
-    return buckets.join(hubs, "key").where("rep <> hub").select(*_ordered("hub", "rep")).distinct()
+    hubs = buckets.join(central, "rep").groupBy("key").agg(F.max_by("rep", F.struct("shares", -F.col("rep"))).alias("hub"), F.first("n").alias("size"))
+    return spread_join(buckets, staged(hubs, "mh-centres"), "key", "size", limit).where("rep <> hub").select(*_ordered("hub", "rep")).distinct()
 
 
-def _open_pairs(buckets: DataFrame, comps: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+def _open_pairs(buckets: DataFrame, comps: DataFrame, turn: int, limit: int) -> tuple[DataFrame, DataFrame]:
     """Pairs between components of buckets, and the members of large buckets that hold several components."""
     labelled = buckets.join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     labelled = staged(labelled, "mh-labelled")
     drawn = F.xxhash64("rep", "key", F.lit(turn))
     by_comp = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min_by("rep", drawn).alias("rep"))
     by_key = by_comp.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("size"), F.max_by(F.struct("rep", "comp"), F.struct("n", F.xxhash64("comp", "key", F.lit(turn)))).alias("hub"))
-    open_ = staged(labelled.join(by_key.where("comps > 1"), "key"), "mh-open")
+    open_ = staged(spread_join(labelled, staged(by_key.where("comps > 1"), "mh-open-keys"), "key", "size", limit), "mh-open")
     small, large = open_.where(F.col("size") <= SMALL), open_.where(F.col("size") > SMALL)
     other = small.select("key", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"))
     pairs = small.join(other, "key").where("rep < rep2 and comp <> comp2").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
@@ -246,8 +257,9 @@ def _exact_pairs(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     group = ["shingle", "low", "high"]
     rows = staged(mine.mapInArrow(prefixes, "rep long, comp long, size long, shingle long, low long, high long, side long, place long"), "mh-prefixes")
-    blocks = rows.groupBy(*group).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select(*group, "blocks")
-    rows = staged(rows.join(blocks, group).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))), "mh-grouped")
+    blocks = rows.groupBy(*group).agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select(*group, "n", "blocks")
+    rows = spread_join(rows, staged(blocks, "mh-blocks"), group, "n", hot_limit(rows.count()))
+    rows = staged(rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))), "mh-grouped")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     a = rows.where("side >= 0").select(*group, F.col("block").alias("i"), every.alias("j"), *[F.col(c).alias(f"{c}_a") for c in ("rep", "comp", "size", "place")])
     b = rows.where("side <= 0").select(*group, every.alias("i"), F.col("block").alias("j"), *[F.col(c).alias(f"{c}_b") for c in ("rep", "comp", "size", "place")])
@@ -264,16 +276,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     sets_of = sig.where("n_shingles > 0 and doc_id is not null").groupBy(*key)
     classes = staged(sets_of.agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "mh-classes")
     members = classes.select("rep", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = staged(members.join(shared, "key").select("key", "rep", "n"), "mh-buckets")  # buckets of two and more
+    shared = staged(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "mh-shared")
+    limit = hot_limit(classes.count() * (BINS // ROWS))
+    buckets = staged(spread_join(members, shared, "key", "n", limit).select("key", "rep", "n"), "mh-buckets")  # of two and more
     nodes = buckets.select(F.col("rep").alias("doc_id")).distinct()
     sets = staged(texts.join(nodes, "doc_id", "left_semi").mapInArrow(_set_rows, "id long, set array<long>"), "mh-sets")
 
-    checked = _confirmed(_central_stars(buckets), sets, percent)
+    checked = _confirmed(staged(_central_stars(buckets, limit), "mh-pairs"), sets, percent)
     comps, turn, more = components(checked.where("linked").select("a", "b")), 0, True
     while more:
         turn += 1
-        pairs, large = _open_pairs(buckets, comps, turn)
+        pairs, large = _open_pairs(buckets, comps, turn, limit)
         pairs = staged(pairs.join(checked, ["a", "b"], "left_anti"), "mh-pairs")
         found = _confirmed(pairs, sets, percent)
         more = not found.where("linked").isEmpty()
