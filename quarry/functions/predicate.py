@@ -40,6 +40,16 @@ class Ref:
 Resolver = Callable[[str], Ref]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once a row, however often ``body`` uses it. No optimizer spells it out again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def read_once(ref: Ref, body: Callable[[Ref], Column]) -> Column:
+    """``body`` over a column; a value inside JSON is parsed and reached once."""
+    return let(ref.expr, lambda v: body(Ref(v, "variant"))) if ref.kind == "variant" else body(ref)
+
+
 def unknown() -> Column:
     return F.lit(None).cast("boolean")
 
@@ -68,18 +78,17 @@ def _lowered(c: ir.Constraint, resolve: Resolver, tz: str) -> Column | None:
         case ir.Nested():
             return compile_all(c.constraints, resolve, tz)
         case ir.Basic():
-            return compare(resolve(c.column), c.operator, c.value, tz)
+            return read_once(resolve(c.column), lambda r: compare(r, c.operator, c.value, tz))
         case ir.Like():
-            return like(resolve(c.column), c.pattern, c.case_sensitive)
+            return read_once(resolve(c.column), lambda r: like(r, c.pattern, c.case_sensitive))
         case ir.In():
-            return among(resolve(c.column), c.values, tz)
+            return read_once(resolve(c.column), lambda r: among(r, c.values, tz))
         case ir.Null():
-            return absent(resolve(c.column))
+            return read_once(resolve(c.column), absent)
         case ir.Between():
-            ref = resolve(c.column)
-            return compare(ref, ">=", c.low, tz) & compare(ref, "<=", c.high, tz)
+            return read_once(resolve(c.column), lambda r: compare(r, ">=", c.low, tz) & compare(r, "<=", c.high, tz))
         case ir.Compared():
-            return columns(resolve(c.first), c.operator, resolve(c.second))
+            return read_once(resolve(c.first), lambda a: read_once(resolve(c.second), lambda b: columns(a, c.operator, b)))
         case ir.Day():
             return day(resolve(c.column), c.operator, c.value, tz)
         case ir.Part():
@@ -89,7 +98,7 @@ def _lowered(c: ir.Constraint, resolve: Resolver, tz: str) -> Column | None:
         case ir.JsonContains():
             return contains(resolve(c.column), c.values)
         case ir.JsonLength():
-            return compare(Ref(length(resolve(c.column)), "integer"), c.operator, c.value, tz)
+            return let(length(resolve(c.column)), lambda n: compare(Ref(n, "integer"), c.operator, c.value, tz))
     raise TypeError(f"no lowering for {type(c).__name__}")
 
 
@@ -130,7 +139,16 @@ def absent(ref: Ref) -> Column:
 def js_number(text: Column) -> Column:
     """The number that a text stands for: 0 for blank ones, null for none."""
     t = F.btrim(text)
-    return F.when(t == "", F.lit(0.0)).when(t.rlike(r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?)$"), t.try_cast("double"))
+    out = F.when(t == "", F.lit(0.0)).when(t.rlike(r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|Infinity)$"), t.try_cast("double"))
+    for base, digits in ((16, "[xX][0-9a-fA-F]"), (8, "[oO][0-7]"), (2, "[bB][01]")):
+        out = out.when(t.rlike(f"^0{digits}+$"), _in_base(F.substr(t, F.lit(3)), base))
+    return out
+
+
+def _in_base(digits: Column, base: int) -> Column:
+    """Whole numbers of any length, as doubles."""
+    each = F.filter(F.split(digits, ""), lambda d: d != "")
+    return F.aggregate(each, F.lit(0.0), lambda n, d: n * base + F.conv(d, 16, 10).cast("double"))
 
 
 def epoch_millis(at: Column) -> Column:
@@ -201,8 +219,7 @@ def like(ref: Ref, pattern: Any, case_sensitive: bool) -> Column:
     if ref.kind == "variant":
         text = F.when(kind_of(ref.expr) == "string", F.try_variant_get(ref.expr, "$", "string"))
     elif ref.kind == "json":
-        v = F.try_parse_json(ref.expr)
-        text = F.when(kind_of(v) == "string", F.try_variant_get(v, "$", "string"))
+        text = let(F.try_parse_json(ref.expr), lambda v: F.when(kind_of(v) == "string", F.try_variant_get(v, "$", "string")))
     elif ref.kind != "string":
         return unknown()
     if not isinstance(pattern, str):
@@ -274,11 +291,15 @@ def as_number(ref: Ref) -> Column:
         return js_number(ref.expr)
     if ref.kind in ("variant", "json"):
         v = ref.expr if ref.kind == "variant" else F.try_parse_json(ref.expr)
-        k = kind_of(v)
-        return F.when(k == "string", js_number(F.try_variant_get(v, "$", "string"))).when(k == "boolean", F.try_variant_get(v, "$", "boolean").cast("double")).when(k == "number", F.try_variant_get(v, "$", "double"))
+        return let(v, lambda x: let(kind_of(x), lambda k: _number_of(x, k)))
     return F.lit(None).cast("double")
 
 
+def _number_of(v: Column, k: Column) -> Column:
+    """The number that a value of kind ``k`` inside JSON stands for, or null."""
+    return F.when(k == "string", js_number(F.try_variant_get(v, "$", "string"))).when(k == "boolean", F.try_variant_get(v, "$", "boolean").cast("double")).when(k == "number", F.try_variant_get(v, "$", "double"))
+
+
 # --- days and times ------------------------------------------------------------------------------------------------
 
 
@@ -339,25 +360,30 @@ def time_of(ref: Ref, tz: str) -> Column:
 
 
 def kind_of(v: Column) -> Column:
-    s = F.schema_of_variant(v)
-    return F.when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s == "VOID", "null").when(s.startswith("ARRAY"), "array").when(s.startswith("OBJECT"), "object").otherwise("number")
+    def named(s: Column) -> Column:
+        return F.when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s == "VOID", "null").when(s.startswith("ARRAY"), "array").when(s.startswith("OBJECT"), "object").otherwise("number")
+
+    return let(F.schema_of_variant(v), named)
 
 
 def _loose_variant(ref: Ref, operator: str, value: Any) -> Column:
     """A value inside JSON against a constant: as texts if both are, else as numbers."""
-    k = kind_of(ref.expr)
     if isinstance(value, (datetime, date)):
         value = millis_of(value)
-    if operator in ("===", "!=="):
-        want = "boolean" if isinstance(value, bool) else "string" if isinstance(value, str) else "number"
-        return F.when(absent(ref), unknown()).when(k == want, _loose_variant(ref, "=" if operator == "===" else "!=", value)).otherwise(F.lit(operator == "!=="))
     n = lt.number(value)
-    numeric = F.lit(is_unequal(operator)) if math.isnan(n) else F.coalesce(applied(as_number(ref), operator, F.lit(n)), F.lit(is_unequal(operator)))
     structured = F.lit(False) if operator in ("=", "==") else F.lit(True) if is_unequal(operator) else unknown()
-    out = F.when(absent(ref), unknown()).when(k.isin("object", "array"), structured)
-    if isinstance(value, str):
-        out = out.when(k == "string", applied(F.try_variant_get(ref.expr, "$", "string"), operator, F.lit(value)))
-    return out.otherwise(numeric)
+    want = "boolean" if isinstance(value, bool) else "string" if isinstance(value, str) else "number"
+
+    def against(k: Column) -> Column:
+        if operator in ("===", "!=="):
+            return F.when(k == want, _loose_variant(ref, "=" if operator == "===" else "!=", value)).otherwise(F.lit(operator == "!=="))
+        numeric = F.lit(is_unequal(operator)) if math.isnan(n) else F.coalesce(applied(_number_of(ref.expr, k), operator, F.lit(n)), F.lit(is_unequal(operator)))
+        out = F.when(k.isin("object", "array"), structured)
+        if isinstance(value, str):
+            out = out.when(k == "string", applied(F.try_variant_get(ref.expr, "$", "string"), operator, F.lit(value)))
+        return out.otherwise(numeric)
+
+    return F.when(~absent(ref), let(kind_of(ref.expr), against))
 
 
 def millis_of(value: datetime | date) -> float:
@@ -368,16 +394,16 @@ def millis_of(value: datetime | date) -> float:
 
 def _by_kind(ref: Ref, operator: str, value: Any) -> Column:
     """A whole JSON value against a constant: kinds first, values within a kind."""
-    v = F.try_parse_json(ref.expr)
-    inner = Ref(v, "variant")
-    k = kind_of(v)
     if isinstance(value, (dict, list)):
         return F.when(absent(ref), unknown()).otherwise(applied(ref.expr, operator, F.lit(canonical(value)))) if operator in ("=", "==", "===", "!=", "<>", "!==") else unknown()
     want = "boolean" if isinstance(value, bool) else "string" if isinstance(value, str) else "number"
-    rank = reduce(lambda out, kv: out.when(k == kv[0], kv[1]), list(RANKS.items())[1:], F.when(k == "number", 1))
-    same = _loose_variant(inner, "=" if operator == "===" else "!=" if operator == "!==" else operator, value)
-    other = applied(rank, "=" if operator in ("==", "===") else "!=" if operator in ("<>", "!==") else operator, F.lit(RANKS[want]))
-    return F.when(absent(ref), unknown()).when(k == want, same).otherwise(other)
+    plain = "=" if operator in ("==", "===") else "!=" if operator in ("<>", "!==") else operator
+
+    def against(v: Column, k: Column) -> Column:
+        rank = reduce(lambda out, kv: out.when(k == kv[0], kv[1]), list(RANKS.items())[1:], F.when(k == "number", 1))
+        return F.when(k == want, _loose_variant(Ref(v, "variant"), plain, value)).otherwise(applied(rank, plain, F.lit(RANKS[want])))
+
+    return F.when(absent(ref), unknown()).otherwise(let(F.try_parse_json(ref.expr), lambda v: let(kind_of(v), lambda k: against(v, k))))
 
 
 def canonical(value: Any) -> str:
@@ -406,36 +432,80 @@ def as_array(ref: Ref) -> tuple[Column, str]:
     v = F.try_parse_json(ref.expr) if ref.kind == "json" else ref.expr
     if ref.kind not in ("json", "variant"):
         return F.lit(None).cast("array<variant>"), "variant"
-    return F.when(kind_of(v) == "array", F.try_variant_get(v, "$", "array<variant>")), "variant"
+    return let(v, lambda x: F.when(kind_of(x) == "array", F.try_variant_get(x, "$", "array<variant>"))), "variant"
 
 
 def contains(ref: Ref, values: tuple) -> Column:
     """Whether an array holds every one of the values, by kind and value; unknown for anything but arrays."""
     array, how = as_array(ref)
-    hits = [F.lit(True)]
-    for value in values:
-        if how == "native":
-            hits.append(F.coalesce(F.array_contains(array, value), F.lit(False)) if value is not None and not isinstance(value, (dict, list)) else F.exists(array, lambda e: e.isNull()) if value is None else F.lit(False))
-        elif value is None:
-            hits.append(F.exists(array, lambda e: e.isNull() | F.coalesce(F.is_variant_null(e), F.lit(False))))
-        elif isinstance(value, bool):
-            hits.append(_holds(array, "boolean", "boolean", value))
-        elif isinstance(value, (int, float)):
-            hits.append(_holds(array, "number", "double", float(value)))
-        elif isinstance(value, str):
-            hits.append(_holds(array, "string", "string", value))
-        else:
-            hits.append(F.lit(False))
-    return F.when(array.isNotNull(), reduce(lambda a, b: a & b, hits))
+
+    def held(a: Column) -> Column:
+        hits = [F.lit(True)]
+        for value in values:
+            if how == "native":
+                hits.append(F.coalesce(F.array_contains(a, value), F.lit(False)) if value is not None and not isinstance(value, (dict, list)) else F.exists(a, lambda e: e.isNull()) if value is None else F.lit(False))
+            elif value is None:
+                hits.append(F.exists(a, lambda e: e.isNull() | F.coalesce(F.is_variant_null(e), F.lit(False))))
+            elif isinstance(value, bool):
+                hits.append(_holds(a, "boolean", "boolean", value))
+            elif isinstance(value, (int, float)):
+                hits.append(_holds(a, "number", "double", float(value)))
+            elif isinstance(value, str):
+                hits.append(_holds(a, "string", "string", value))
+            else:
+                hits.append(F.lit(False))
+        return F.when(a.isNotNull(), reduce(lambda x, y: x & y, hits))
+
+    return let(array, held)
 
 
 def _holds(array: Column, kind: str, cast: str, value: Any) -> Column:
     def same(e: Column) -> Column:
-        return F.coalesce((kind_of(e) == kind) & (F.try_variant_get(e, "$", cast) == F.lit(value)), F.lit(False))
+        return F.when(F.try_variant_get(e, "$", cast) == F.lit(value), kind_of(e) == kind).otherwise(F.lit(False))
 
     return F.exists(array, same)
 
 
 def length(ref: Ref) -> Column:
-    array, _ = as_array(ref)
-    return F.when(array.isNotNull(), F.size(array))
+    return let(as_array(ref)[0], lambda a: F.when(a.isNotNull(), F.size(a)))
+
+
+# --- order ---------------------------------------------------------------------------------------------------------
+
+#: Ranks of kinds of JSON values in an order; arrays of numbers, texts and such arrays come before booleans.
+ABSENT, NUMBER, TEXT, PLAIN_ARRAY, BOOLEAN, ARRAY, OBJECT = range(7)
+#: Arrays within arrays are told apart to this depth in an order.
+DEPTH = 3
+
+
+def order_key(ref: Ref) -> Column:
+    """What a column is ordered by: itself, or of a JSON value its rank, number, text and elements, in this order.
+
+    Absent values come first, then numbers, texts, arrays that hold only such values, false, true and other arrays,
+    arrays element by element. Objects tie.
+    """
+    if ref.kind == "variant":
+        return _json_key(ref.expr, DEPTH)
+    return _json_key(F.try_parse_json(ref.expr), DEPTH) if ref.kind == "json" else ref.expr
+
+
+def _json_key(v: Column, depth: int) -> Column:
+    def key(x: Column, k: Column) -> Column:
+        plain = _plain(x, k, depth)
+        rank = F.when(x.isNull() | (k == "null"), ABSENT).when(k == "number", NUMBER).when(k == "string", TEXT).when(plain, PLAIN_ARRAY).when(k == "boolean", BOOLEAN).when(k == "array", ARRAY).otherwise(OBJECT)
+        number = F.when(k == "number", F.try_variant_get(x, "$", "double")).when(k == "boolean", F.try_variant_get(x, "$", "boolean").cast("double"))
+        parts = [rank.alias("rank"), number.alias("number"), F.when(k == "string", F.try_variant_get(x, "$", "string")).alias("text")]
+        if depth:
+            parts.append(F.when(k == "array", F.transform(F.try_variant_get(x, "$", "array<variant>"), lambda e: _json_key(e, depth - 1))).alias("elements"))
+        return F.struct(*parts)
+
+    return let(v, lambda x: let(kind_of(x), lambda k: key(x, k)))
+
+
+def _plain(v: Column, k: Column, depth: int) -> Column:
+    """Whether an array holds but numbers, texts and such arrays."""
+
+    def fits(e: Column) -> Column:
+        return let(kind_of(e), lambda x: e.isNotNull() & (x.isin("number", "string") | (_plain(e, x, depth - 1) if depth else F.lit(False))))
+
+    return (k == "array") & F.coalesce(F.forall(F.try_variant_get(v, "$", "array<variant>"), fits), F.lit(False))

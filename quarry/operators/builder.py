@@ -18,7 +18,7 @@ from .. import ir
 from ..events import QueryExecuted
 from ..exceptions import MultipleRecordsFoundException, RecordsNotFoundException, SchemaException
 from ..functions import literals, names
-from ..plans.compile import Compiled, Source, access
+from ..plans.compile import Compiled, Source, access, output
 from .grouping import Grouping, aggregate
 from .join import Join
 from .rows import decoded, value
@@ -443,10 +443,10 @@ class Builder:
         compiled = self._compiled(bare=True)
         ref = compiled.scope.resolve(self._selected(column) if self._query.columns and column not in [c for s in compiled.scope.sources for c in compiled.scope.visible(s.name)] and "." not in column else column)
         df, kind = compiled.matched(), ref.kind
-        out = aggregate(function, ref)
+        out = aggregate(function, ref, keys=compiled.scope.keys())
         if self._query.distinct and function in ("sum", "avg"):
-            df = df.select(ref.expr.alias("v")).distinct()
-            out = aggregate(function, type(ref)(F.col("v"), kind))
+            df = df.select(output(ref).alias("v")).distinct()
+            out = aggregate(function, type(ref)(F.try_parse_json("v") if kind == "variant" else F.col("v"), kind))
         return value(self._timed(lambda: df.agg(out.alias("v")).first()[0], lambda _: 1), "json" if kind == "variant" and function in ("min", "max") else kind)
 
     def sum(self, column: str) -> Any:

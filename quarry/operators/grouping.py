@@ -22,7 +22,19 @@ if TYPE_CHECKING:
 FUNCTIONS = ("count", "sum", "avg", "min", "max")
 
 
-def aggregate(function: str, ref: Ref | None, distinct: bool = False) -> Column:
+def extreme(function: str, ref: Ref, keys: list[Column]) -> Column:
+    """The least or greatest JSON value in the order of ``order_by``. Objects tie: the first row's stands for them."""
+    present = ~predicate.absent(ref)
+    out, key = F.when(present, output(ref)), F.when(present, predicate.order_key(ref))
+    best = (F.min_by if function == "min" else F.max_by)(out, key)
+    if not keys:
+        return best
+    is_object = key["rank"] == predicate.OBJECT
+    first = F.min_by(F.when(is_object, out), F.when(is_object, F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])))
+    return F.when((F.min if function == "min" else F.max)(key["rank"]) == predicate.OBJECT, first).otherwise(best)
+
+
+def aggregate(function: str, ref: Ref | None, distinct: bool = False, keys: list[Column] | None = None) -> Column:
     """An aggregate of present values: the sum of none is 0, the other functions of none are null."""
     if ref is None:
         return F.count(F.lit(1))
@@ -34,8 +46,9 @@ def aggregate(function: str, ref: Ref | None, distinct: bool = False) -> Column:
             return F.avg_distinct(n) if hasattr(F, "avg_distinct") and distinct else F.avg(n)
         zero = F.lit(0) if ref.kind in ("integer", "decimal") else F.lit(0.0)
         return F.coalesce(F.sum_distinct(n) if distinct else F.sum(n), zero)
-    of = {"min": F.min, "max": F.max}[function]
-    return of(output(ref))
+    if ref.kind in ("variant", "json"):
+        return extreme(function, ref, keys or [])
+    return {"min": F.min, "max": F.max}[function](ref.expr)
 
 
 class Grouping:
@@ -101,7 +114,7 @@ class Grouping:
             groups[alias] = ref
             spoken[text] = spoken[source] = spoken[alias] = alias
         keys = [output(r).alias(a) for a, r in groups.items()]
-        outputs = {a: aggregate(f, None if c == "*" else scope.resolve(c)) for a, (f, c) in self._aggregates.items()}
+        outputs = {a: aggregate(f, None if c == "*" else scope.resolve(c), keys=scope.keys()) for a, (f, c) in self._aggregates.items()}
         first = scope.keys()
         ordered = in_order and not self._orders and first
         hidden = [F.min(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(first)])).alias("__first")] if ordered else []

@@ -127,15 +127,9 @@ class Scope:
 
 
 def sorted_by(ref: Ref, descending: bool) -> list[Column]:
-    """Absent values first; in JSON then numbers, texts, false, true and arrays."""
-    if ref.kind in ("variant", "json"):
-        v = ref.expr if ref.kind == "variant" else F.try_parse_json(ref.expr)
-        k = predicate.kind_of(v)
-        rank = F.when(predicate.absent(ref), 0).when(k == "number", 1).when(k == "string", 2).when(k == "boolean", 3).when(k == "array", 4).otherwise(5)
-        parts = [rank, predicate.as_number(Ref(v, "variant")), F.try_variant_get(v, "$", "string")]
-    else:
-        parts = [ref.expr]
-    return [c.desc_nulls_last() if descending else c.asc_nulls_first() for c in parts]
+    """Absent values first; in JSON as ``predicate.order_key`` says."""
+    c = predicate.order_key(ref)
+    return [c.desc_nulls_last() if descending else c.asc_nulls_first()]
 
 
 def output(ref: Ref) -> Column:
@@ -210,38 +204,19 @@ class Compiled:
         outputs = [output(r).alias(a) for a, r in wanted.items()]
         unique = q.distinct and (q.columns or not self.scope.keys() or self.scope.joined)
         if unique:
-            orders = self._orders(in_order) if q.orders or q.random or self.scope.keys() else []
-            if orders and (q.orders or in_order or q.limit is not None or q.offset):
-                flat = df.select(*[output(r).alias(f"__o{i}") for i, r in enumerate(wanted.values())], *[self._plain(o).alias(f"__s{i}") for i, o in enumerate(self._sort_values(in_order))])
-                same = [f"__o{i}" for i in range(len(wanted))]
-                sorts = [self._directed(F.col(f"__s{i}"), i, in_order) for i in range(len(self._sort_values(in_order)))]
-                first = flat.withColumn("__n", F.row_number().over(W.partitionBy(*same).orderBy(*sorts))).where("__n = 1")
-                df = self._paged(first.orderBy(*sorts)).select(*[F.col(f"__o{i}").alias(a) for i, a in enumerate(wanted)])
-                return df
+            if q.orders or ((in_order or q.limit is not None or q.offset) and (q.random or self.scope.keys())):
+                # Of rows that are alike in the result, the first in order stands.
+                values = [(predicate.order_key(self.scope.resolve(o.column)), o.descending) for o in q.orders] + [(k, False) for k in self.scope.keys()]
+                flat = df.select(*[output(r).alias(f"__o{i}") for i, r in enumerate(wanted.values())], *[c.alias(f"__s{i}") for i, (c, _) in enumerate(values)])
+                sorts = [F.col(f"__s{i}").desc_nulls_last() if descending else F.col(f"__s{i}").asc_nulls_first() for i, (_, descending) in enumerate(values)] or [F.rand()]
+                first = flat.withColumn("__n", F.row_number().over(W.partitionBy(*[f"__o{i}" for i in range(len(wanted))]).orderBy(*sorts))).where("__n = 1")
+                return self._paged(first.orderBy(*([F.rand()] if q.random else sorts))).select(*[F.col(f"__o{i}").alias(a) for i, a in enumerate(wanted)])
             return self._paged(df.select(*outputs).distinct())
         orders = self._orders(in_order)
         if orders:
             df = df.orderBy(*orders)
         return self._paged(df).select(*outputs)
 
-    def _sort_values(self, in_order: bool) -> list[tuple[Column, bool]]:
-        out: list[tuple[Column, bool]] = []
-        for o in self.query.orders:
-            ref = self.scope.resolve(o.column)
-            if ref.kind in ("variant", "json"):
-                v = ref.expr if ref.kind == "variant" else F.try_parse_json(ref.expr)
-                out += [(predicate.as_number(Ref(v, "variant")), o.descending), (F.try_variant_get(v, "$", "string"), o.descending)]
-            else:
-                out.append((ref.expr, o.descending))
-        return out + [(k, False) for k in self.scope.keys()]
-
-    @staticmethod
-    def _plain(pair: tuple[Column, bool]) -> Column:
-        return pair[0]
-
-    def _directed(self, c: Column, i: int, in_order: bool) -> Column:
-        return c.desc_nulls_last() if self._sort_values(in_order)[i][1] else c.asc_nulls_first()
-
     def _paged(self, df: DataFrame) -> DataFrame:
         if self.query.offset:
             df = df.offset(self.query.offset)

@@ -165,3 +165,49 @@ def test_json(spark):
     assert ids(t().where("d", "<", "5")) == [6]
     assert t().where("id", 0).value("d->a") == {"b": 1}
     assert t().order_by("d->a->b").limit(9).pluck("id")[-3:] == [0, 1, 4]
+
+
+def rank(v):
+    """A sort key of JSON values, by recursion."""
+    plain = lambda x: isinstance(x, str) or (isinstance(x, (int, float)) and not isinstance(x, bool)) or (isinstance(x, list) and all(map(plain, x)))
+    if v is None:
+        return (0,)
+    if isinstance(v, bool):
+        return (4, v)
+    if isinstance(v, (int, float)):
+        return (1, v)
+    if isinstance(v, str):
+        return (2, v)
+    if isinstance(v, list):
+        return (3 if plain(v) else 5, [rank(x) for x in v])
+    return (6,)
+
+
+def test_order_of_json_values(spark):
+    import json
+
+    values = ["9", "10", "z", True, 3, None, 10, 9, 100, False, [9], [10], [9, 1], [1, "a"], [1, "b"], [[1]], [[1], 0], [], [0], ["z"], [True], [None], [None, 1], [{}], [[True]], 2.5, "", {"x": 1}, -1, "3"]
+    rows = [(i, None if i == 5 else json.dumps({"v": v})) for i, v in enumerate(values)]
+    c = DatabaseManager().configure({"connections": {"x": {}}}).connection().register("t", spark.createDataFrame(rows, "id long, d string").repartition(3), "id", ("d",))
+    t = lambda: c.table("t")
+    want = sorted(range(len(values)), key=lambda i: (rank(values[i]), i))
+    assert t().order_by("d->v").pluck("id") == want
+    down = sorted(range(len(values)), key=lambda i: rank(values[i]), reverse=True)
+    got = t().order_by("d->v", "desc").pluck("id")
+    assert [rank(values[i]) for i in got] == [rank(values[i]) for i in down]
+    present = [v for i, v in enumerate(values) if v is not None and i != 5]
+    assert (t().min("d->v"), t().max("d->v")) == (min(present, key=rank), max(present, key=rank))
+    assert (t().where("id", "<", 27).min("d->v"), t().where("id", "<", 27).max("d->v")) == (2.5, [{}])
+    assert t().where("id", 5).min("d->v") is None
+    assert t().select("d->v as v").distinct().order_by("d->v").pluck("v") == [values[i] for i in want]
+    assert t().select("d->v as v").distinct().order_by("d->v", "desc").limit(3).pluck("v") == [values[i] for i in down[:3]]
+    (g,) = t().where("id", "<", 12).group_by().aggregate({"lo": {"min": "d->v"}, "hi": {"max": "d->v"}}).get()
+    assert (g["lo"], g["hi"]) == (3, True)
+    assert t().distinct().sum("d->v") == sum(x for x in present if isinstance(x, (int, float)) and not isinstance(x, bool)) + 1 + 22 and t().min("d") == {"v": "9"}
+
+
+def test_numbers_written_in_columns(spark):
+    texts = ["16", "0x10", "0X1f", "0b101", "0o17", " 7 ", "", "x", "0x", "1e2", "-Infinity", "0xffffffffffffffffff", None]
+    c = DatabaseManager().configure({"connections": {"x": {}}}).connection().register("t", spark.createDataFrame(list(enumerate(texts)), "id long, s string"), "id")
+    for n in (16, 31, 5, 15, 7, 0, 100, -math.inf, float(0xFFFFFFFFFFFFFFFFFF)):
+        assert ids(c.table("t").where("s", n)) == [i for i, s in enumerate(texts) if s is not None and lt.number(s) == n], n
