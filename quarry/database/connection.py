@@ -49,6 +49,7 @@ class Connection:
         self.timezone = config.get("timezone", "UTC")
         literals.zone(self.timezone)  # an unknown zone fails here
         self._root = config.get("path")
+        self.single_writer = bool(config.get("single_writer", False))
         self._frames: dict[str, Source] = {}
         self._working: dict[str, Any] | None = None
         self._current: dict[str, Any] | None = None
@@ -68,7 +69,7 @@ class Connection:
     def _store(self) -> Store:
         if self._opened_store is None or self._opened_store.spark is not self.spark:
             warehouse = self.spark.conf.get("spark.sql.warehouse.dir")
-            self._opened_store = Store(self.spark, f"{self._root or warehouse}/{self.database}.quarry")
+            self._opened_store = Store(self.spark, f"{self._root or warehouse}/{self.database}.quarry", self.single_writer)
         return self._opened_store
 
     def _dispatch(self, event: Any) -> None:
@@ -234,10 +235,10 @@ class Connection:
             self._migrating = False
 
     def compact(self, table: str) -> None:
-        """Rewrite a table that many inserts left in many segments as one."""
+        """Rewrite a table that many writes left in many segments as one."""
         entry, _ = self._stored(table)
-        if len(entry["segments"]) > 1:
-            self._change(table, {**entry, "segments": [self._store.write(table, self._store.frame(entry))]})
+        if len(entry["segments"]) > 1 or entry.get("without"):
+            self._change(table, {**entry, "segments": [self._store.write(table, self._store.frame(entry))], "without": []})
 
     def estimate(self) -> dict[str, int | None]:
         """The bytes that the database takes; the store sets no quota."""

@@ -1,17 +1,19 @@
 """Writes: new segments of a table, checked before the catalog names them.
 
-Rows that the caller gives are a batch in the driver's memory. They meet the table through joins on their keys, with
-the batch broadcast while it is small, so a check reads the columns of an index and moves no table rows. Updates and
-deletes are one pass over the table that writes the next version.
+Rows that the caller gives are a batch in the driver's memory, or a DataFrame. A batch meets the table by a broadcast
+of its keys, so a check reads the columns of an index and moves no table rows. Updates, deletes and upserts first find
+the files that hold a row to change, and rewrite these alone.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import ir
@@ -30,6 +32,12 @@ def rules(schema: ir.TableSchema) -> list[ir.IndexSchema]:
     return key + [i for i in schema.indexes if i.unique]
 
 
+#: Up to so many names or keys are constants of a filter, which files and Parquet statistics answer; more are joined.
+FILTERED = 1000
+#: Rows whose index entries are broadcast at most.
+BROADCAST_ROWS = 100_000
+
+
 def entries(df: DataFrame, rule: ir.IndexSchema) -> DataFrame:
     """The entries of an index, one row each, with ``__row`` where the frame has it. Absent values have none."""
     columns = [F.col(names.quoted(c)).alias(f"e{i}") for i, c in enumerate(rule.columns)]
@@ -47,6 +55,7 @@ class Writer:
         self.connection = builder._connection
         self.query = builder._query
         self.table = self.query.table
+        self._kept: str | None = None
 
     # --- shared ----------------------------------------------------------------------------------------------------
 
@@ -101,12 +110,21 @@ class Writer:
         """Those of some keys that the table holds already."""
         if not keys or not entry["segments"]:
             return set()
-        there = entries(self.connection._store.frame(entry), rule)
-        fields = there.schema.fields
+        there = entries(self._holding(self.connection._store.frame(entry), rule, keys), rule)
+        return {tuple(r) for r in there.join(F.broadcast(self._given(there, keys)), there.columns, "left_semi").distinct().collect()}  # no more than the batch
+
+    def _given(self, there: DataFrame, keys: list[tuple]) -> DataFrame:
+        """Keys of the batch as rows shaped like the entries of an index."""
         from pyspark.sql import types as T
 
-        wanted = self.connection.spark.createDataFrame(list(dict.fromkeys(keys)), T.StructType([T.StructField(f.name, f.dataType) for f in fields]))
-        return {tuple(r) for r in there.join(wanted, [f.name for f in fields], "left_semi").distinct().collect()}  # no more than the batch
+        fields = [f for f in there.schema.fields if f.name != "__row"]
+        return self.connection.spark.createDataFrame(list(dict.fromkeys(keys)), T.StructType([T.StructField(f.name, f.dataType) for f in fields]))
+
+    def _holding(self, frame: DataFrame, rule: ir.IndexSchema, keys: list[tuple]) -> DataFrame:
+        """The rows that may hold one of a few keys, by a filter that reaches Parquet; else all rows."""
+        if rule.multi_entry or len(rule.columns) > 1 or len(keys) > FILTERED:
+            return frame
+        return frame.where(F.col(names.quoted(rule.columns[0])).isin([literals.column(k) for (k,) in dict.fromkeys(keys)]))
 
     def _key_column(self, schema: ir.TableSchema) -> str:
         return schema.key or HIDDEN
@@ -114,8 +132,10 @@ class Writer:
     # --- inserts ---------------------------------------------------------------------------------------------------
 
     def insert(self, rows: Any, ignore: bool = False) -> tuple[int, Any]:
-        """The number of rows written and the last row's key."""
+        """The number of rows written and the last row's key, which a DataFrame doesn't tell."""
         self._unjoined("insert")
+        if isinstance(rows, DataFrame):
+            return self._insert_frame(rows, ignore), None
         entry, schema = self._entry()
         given = self._own(rows)
         at = enforcer.now()
@@ -137,6 +157,70 @@ class Writer:
             self.connection._change(self.table, {**entry, "segments": [*entry["segments"], path], "next_id": next_id})
         return len(kept), records[-1].get(self._key_column(schema)) if records else None
 
+    def _insert_frame(self, df: DataFrame, ignore: bool) -> int:
+        """Rows of a DataFrame, which never pass the driver: written once, checked, and numbered where the key is to be made."""
+        entry, schema = self._entry()
+        self._known(schema, df.columns)
+        store, connection, at = self.connection._store, self.connection, enforcer.now()
+        stored, faults = enforcer.frame(df, schema, connection.timezone, connection.strict, at)
+        named = [c for c in stored.columns if not c.startswith("__f")]
+        stored = stored.select(*[names.quoted(c) for c in named], *[c.alias(f"__fault{i}") for i, (c, _) in enumerate(faults)])
+        incoming = store.write("_incoming", stored.withColumn("__place", F.monotonically_increasing_id()))
+        try:
+            there = connection.spark.read.parquet(incoming)
+            seen = there.agg(F.count("*").alias("rows"), *[F.count_if(F.col(f"__fault{i}")).alias(f"n{i}") for i in range(len(faults))]).first()
+            for i, (_, error) in enumerate(faults):
+                if seen[f"n{i}"]:
+                    raise error
+            there = there.drop(*[f"__fault{i}" for i in range(len(faults))])
+            for rule in rules(schema):
+                mine, held = entries(there, rule), entries(store.frame(entry), rule)
+                if ignore:
+                    there = self._first_of_each(there, rule, held)
+                elif not mine.groupBy(*mine.columns).count().where("count > 1").isEmpty() or not held.join(mine, mine.columns, "left_semi").isEmpty():
+                    raise UniqueConstraintViolationException(self.table, rule.name)
+            next_id = entry["next_id"]
+            key = self._key_column(schema)
+            if schema.increments or schema.key is None:
+                there, next_id = self._numbered(there, key, next_id, schema.increments)
+            path = store.write(self.table, there.drop("__place"))
+        finally:
+            store.remove(incoming)
+        n = connection.spark.read.parquet(path).count()
+        if n:
+            connection._change(self.table, {**entry, "segments": [*entry["segments"], path], "next_id": next_id})
+        return n
+
+    def _first_of_each(self, there: DataFrame, rule: ir.IndexSchema, held: DataFrame) -> DataFrame:
+        """Rows without an entry, and of each new entry the first row."""
+        if rule.multi_entry:
+            raise SchemaException("A DataFrame can't be inserted while ignoring collisions of an index over elements.")
+        columns = [F.col(names.quoted(c)) for c in rule.columns]
+        none = reduce(lambda a, b: a | b, [c.isNull() for c in columns])
+        first = there.where(~none).withColumn("__n", F.row_number().over(W.partitionBy(*columns).orderBy("__place"))).where("__n = 1").drop("__n")
+        same = [c == held[f"e{i}"] for i, c in enumerate(columns)]
+        return there.where(none).unionByName(first.join(held, reduce(lambda a, b: a & b, same), "left_anti"))
+
+    def _numbered(self, there: DataFrame, key: str, next_id: int, given: bool) -> tuple[DataFrame, int]:
+        """Keys without gaps for rows that have none, in the order of the partitions that were written."""
+        lacks = F.col(names.quoted(key)).isNull() if given else F.lit(True)
+        top = there.agg(F.max(names.quoted(key))).first()[0] if given else None
+        base = max(next_id, (top or 0) + 1)
+        some = there.where(lacks)
+        part = F.shiftright("__place", 33).alias("__part")
+        # Rows of a partition are numbered by a window over it; what reaches the driver is a count a partition.
+        counts = sorted((r["__part"], r["count"]) for r in some.groupBy(part).count().collect())
+        first, total = [], 0
+        for p, n in counts:
+            first.append((p, base + total - 1))
+            total += n
+        offsets = self.connection.spark.createDataFrame(first, "__part long, __first long")
+        numbered = some.drop(key).withColumn("__part", F.shiftright("__place", 33)).join(F.broadcast(offsets), "__part")
+        numbered = numbered.withColumn(key, F.col("__first") + F.row_number().over(W.partitionBy("__part").orderBy("__place"))).drop("__part", "__first")
+        rest = there.where(~lacks)
+        out = numbered.select(*[names.quoted(c) for c in rest.columns]).unionByName(rest) if given else numbered
+        return out, base + total
+
     def _not_colliding(self, entry: dict[str, Any], schema: ir.TableSchema, records: list[dict[str, Any]], ignore: bool) -> list[dict[str, Any]]:
         all_rules = rules(schema)
         held = [self._taken(entry, rule, [k for r in records for k in self._keys_of(r, rule)]) for rule in all_rules]
@@ -174,16 +258,14 @@ class Writer:
         frame = self.connection._store.frame(entry)
         holders: dict[tuple, dict[str, Any]] = {}
         if wanted and entry["segments"]:
-            found = entries(frame.withColumn("__row", F.struct(*[F.col(names.quoted(c)) for c in frame.columns])), rule)
-            from pyspark.sql import types as T
-
-            fields = [f for f in found.schema.fields if f.name != "__row"]
-            batch = self.connection.spark.createDataFrame(list(dict.fromkeys(wanted)), T.StructType([T.StructField(f.name, f.dataType) for f in fields]))
+            columns = [F.col(names.quoted(c)) for c in frame.columns]
+            found = entries(self._holding(frame, rule, wanted).withColumn("__row", F.struct(*columns, F.col("_metadata.file_name").alias("__file"))), rule)
+            fields = [c for c in found.columns if c != "__row"]
             rows_by_key: dict[Any, dict[str, Any]] = {}
-            for hit in found.join(batch, [f.name for f in fields], "left_semi").collect():  # no more than the batch
+            for hit in found.join(F.broadcast(self._given(found, wanted)), fields, "left_semi").collect():  # no more than the batch
                 row = hit["__row"].asDict()
                 row = rows_by_key.setdefault(row[self._key_column(schema)], row)
-                holders[tuple(hit[f.name] for f in fields)] = row
+                holders[tuple(hit[c] for c in fields)] = row
         touched: dict[int, dict[str, Any]] = {}
         fresh: dict[int, dict[str, Any]] = {}
         next_id = entry["next_id"]
@@ -222,24 +304,54 @@ class Writer:
         batch = self._batch(written, schema, schema.key is None)
         rest = frame
         if touched:
-            gone = self._batch(list(touched.values()), schema, schema.key is None).select(names.quoted(key))
+            gone = F.broadcast(self._batch(list(touched.values()), schema, schema.key is None).select(names.quoted(key)))
             rest = frame.join(gone, key, "left_anti")
-        self._check(rest.unionByName(batch), schema, rules(schema))
-        segments = [*entry["segments"], self.connection._store.write(self.table, batch.coalesce(1))]
-        if touched:
-            segments = [self.connection._store.write(self.table, rest), segments[-1]]
-        self.connection._change(self.table, {**entry, "segments": segments, "next_id": next_id})
+        self._check(batch, rest, len(written), rules(schema))
+        segments = [self.connection._store.write(self.table, batch.coalesce(1))]
+        files = sorted({r["__file"] for r in touched.values()})
+        if files:
+            segments.append(self.connection._store.write(self.table, self._within(frame, files).join(gone, key, "left_anti")))
+        self.connection._change(self.table, {**self._replaced(entry, files, segments), "next_id": next_id})
         return len(records)
 
     # --- changes ---------------------------------------------------------------------------------------------------
 
-    def _check(self, df: DataFrame, schema: ir.TableSchema, which: list[ir.IndexSchema]) -> None:
-        """Refuse a next version that breaks a rule, naming the first broken in the order of declaration."""
+    def _check(self, changed: DataFrame, rest: DataFrame, n: int, which: list[ir.IndexSchema]) -> None:
+        """Refuse changed or new rows that break a rule among themselves or with the rest, naming the first broken in the
+        order of declaration. The rest's rows are shuffled only if there are too many changed ones to broadcast."""
         for rule in which:
-            found = entries(df, rule)
-            if not found.groupBy(*found.columns).count().where("count > 1").isEmpty():
+            mine = entries(changed, rule)
+            small = F.broadcast(mine) if n <= BROADCAST_ROWS else mine
+            if not mine.groupBy(*mine.columns).count().where("count > 1").isEmpty() or not entries(rest, rule).join(small, mine.columns, "left_semi").isEmpty():
                 raise UniqueConstraintViolationException(self.table, rule.name)
 
+    def _within(self, df: DataFrame, files: list[str], column: str = "_metadata.file_name") -> DataFrame:
+        """The rows of some files: few names make a filter by which the others aren't opened."""
+        if len(files) <= FILTERED:
+            return df.where(F.col(column).isin(files))
+        wanted = self.connection.spark.createDataFrame([(f,) for f in files], "__name string")
+        return df.join(F.broadcast(wanted), F.col(column) == F.col("__name"), "left_semi")
+
+    def _replaced(self, entry: dict[str, Any], files: list[str], segments: list[str]) -> dict[str, Any]:
+        """The table without some files and with more segments; segments without files are left out."""
+        without = {*entry.get("without", ()), *files}
+        kept = []
+        for segment in entry["segments"]:
+            names_ = self.connection._store.files(segment) if files else set()
+            if names_ and names_ <= without:
+                without -= names_
+            else:
+                kept.append(segment)
+        return {**entry, "segments": [*kept, *segments], "without": sorted(without)}
+
+    def _marked(self, entry: dict[str, Any], schema: ir.TableSchema) -> tuple[DataFrame, DataFrame, int, list[str]]:
+        """The table; the same with ``__file`` and ``__changed``; how many rows are to change and the files that hold them."""
+        frame = self.connection._store.frame(entry)
+        there, hit = self._split(schema, frame.withColumn("__file", F.col("_metadata.file_name")))
+        marked = there.withColumn("__changed", hit)
+        held = marked.where("__changed").groupBy("__file").count().collect()  # a row a file
+        return frame, marked, sum(r["count"] for r in held), sorted(r["__file"] for r in held)
+
     def _matched_keys(self, schema: ir.TableSchema) -> DataFrame:
         """The keys of the rows that the query matches, each once."""
         key = self._key_column(schema)
@@ -261,7 +373,10 @@ class Writer:
         """The table and a condition that holds for matched rows; a plain filter is no join."""
         q = self.query
         if q.joins or q.limit is not None or q.offset:
-            keys = self._matched_keys(schema).withColumn("__hit", F.lit(True))
+            # Written once, as a random order would give others when asked again.
+            keys = self._matched_keys(schema)
+            self._kept = self.connection._store.write("_keys", keys)
+            keys = self.connection.spark.read.schema(keys.schema).parquet(self._kept).withColumn("__hit", F.lit(True))
             key = self._key_column(schema)
             return frame.join(keys, F.col(names.quoted(key)) == F.col("__match"), "left"), F.coalesce(F.col("__hit"), F.lit(False))
         plain = self.builder.clone()
@@ -315,35 +430,40 @@ class Writer:
             return 0
         if schema.timestamps and "updated_at" not in sets:
             sets = {**sets, "updated_at": literals.column(enforcer.now())}
-        frame = self.connection._store.frame(entry)
-        there, hit = self._split(schema, frame)
-        marked = there.withColumn("__changed", hit)
-        n = marked.where("__changed").count()
-        if not n:
-            return 0
-        out = marked.select(*[F.when(F.col("__changed"), sets[c]).otherwise(F.col(names.quoted(c))).alias(c) if c in sets else F.col(names.quoted(c)) for c in frame.columns])
-        path = self.connection._store.write(self.table, out)
-        new = {**entry, "segments": [path]}
-        self._check(self.connection._store.frame(new), schema, [r for r in rules(schema) if set(r.columns) & set(sets)])
-        self.connection._change(self.table, new)
-        return n
+        try:
+            frame, marked, n, files = self._marked(entry, schema)
+            if not n:
+                return 0
+            outputs = [F.when(F.col("__changed"), sets[c]).otherwise(F.col(names.quoted(c))).alias(c) if c in sets else F.col(names.quoted(c)) for c in frame.columns]
+            broken = [r for r in rules(schema) if set(r.columns) & set(sets)]
+            self._check(marked.where("__changed").select(*outputs), marked.where("not __changed"), n, broken)
+            path = self.connection._store.write(self.table, self._within(marked, files, "__file").select(*outputs))
+            self.connection._change(self.table, self._replaced(entry, files, [path]))
+            return n
+        finally:
+            self._forget()
 
     def delete(self) -> int:
         entry, schema = self._entry()
         if not entry["segments"]:
             return 0
-        frame = self.connection._store.frame(entry)
-        there, hit = self._split(schema, frame)
-        marked = there.withColumn("__changed", hit)
-        n = marked.where("__changed").count()
-        if n:
-            path = self.connection._store.write(self.table, marked.where("not __changed").select(*[names.quoted(c) for c in frame.columns]))
-            self.connection._change(self.table, {**entry, "segments": [path]})
-        return n
+        try:
+            frame, marked, n, files = self._marked(entry, schema)
+            if n:
+                rest = self._within(marked, files, "__file").where("not __changed").select(*[names.quoted(c) for c in frame.columns])
+                self.connection._change(self.table, self._replaced(entry, files, [self.connection._store.write(self.table, rest)]))
+            return n
+        finally:
+            self._forget()
+
+    def _forget(self) -> None:
+        """Delete the keys that a write had matched."""
+        if self._kept is not None:
+            self.connection._store.remove(self._kept)
 
     def truncate(self) -> None:
         self._unjoined("truncate")
         entry, _ = self._entry()
-        self.connection._change(self.table, {**entry, "segments": []})
+        self.connection._change(self.table, {**entry, "segments": [], "without": []})
 
 

@@ -7,11 +7,13 @@ import math
 from datetime import date, datetime, timezone
 from typing import Any
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import ir
 from ..exceptions import CheckConstraintViolationException, NotNullConstraintViolationException
-from ..functions import literals
+from ..functions import literals, names
 from ..functions.predicate import canonical
 
 TYPES: dict[str, T.DataType] = {
@@ -111,6 +113,57 @@ def record(row: dict[str, Any], schema: ir.TableSchema, tz: str, strict: bool, a
     return out
 
 
+def frame(df: DataFrame, schema: ir.TableSchema, tz: str, strict: bool, at: datetime) -> tuple[DataFrame, list[tuple[Column, Exception]]]:
+    """The stored form of a DataFrame's rows, and conditions under which one is refused, each with its error."""
+    given = {f.name: f.dataType for f in df.schema.fields}
+    outputs: list[Column] = []
+    faults: list[tuple[Column, Exception]] = []
+    for c in schema.columns:
+        if c.name not in given:
+            stamp = schema.timestamps and c.name in ("created_at", "updated_at")
+            value = literals.column(coerced(at if stamp else c.default, c, schema.table, tz, True) if stamp or c.has_default else None).cast(TYPES[c.type])
+        else:
+            held = F.col(names.quoted(c.name))
+            value = _stored(held, given[c.name], c, tz)
+            if strict and c.type == "enum":
+                faults.append((held.isNotNull() & value.isNull(), CheckConstraintViolationException(schema.table, c.name, "a value of a DataFrame", list(c.values or ()))))
+            elif strict:
+                blank = isinstance(given[c.name], T.StringType) and c.type not in ("string", "json")
+                present = held.isNotNull() & (F.btrim(held) != "") if blank else held.isNotNull() & (held != "null") if c.type == "json" and isinstance(given[c.name], T.StringType) else held.isNotNull()
+                whole = F.lit(False)
+                if c.type in ("integer", "decimal") and isinstance(given[c.name], (T.FloatType, T.DoubleType, T.DecimalType)):
+                    whole = held != F.floor(held)
+                faults.append((F.coalesce(present & (value.isNull() | whole), F.lit(False)), TypeError(f"Column [{c.name}] of table [{schema.table}] can't store a value of the DataFrame.")))
+        if not c.nullable and not c.increments:
+            faults.append((value.isNull(), NotNullConstraintViolationException(schema.table, c.name)))
+        outputs.append(value.alias(c.name))
+    stored = df.select(*outputs, *[x.alias(f"__f{i}") for i, (x, _) in enumerate(faults)])
+    return stored, [(F.col(f"__f{i}"), e) for i, (_, e) in enumerate(faults)]
+
+
+def _stored(held: Column, kind: T.DataType, c: ir.ColumnSchema, tz: str) -> Column:
+    """A column of a DataFrame as the column of a table holds it; null for what can't be stored."""
+    if c.type == "enum":
+        return F.when(held.cast("string").isin(*(c.values or ())), held.cast("string"))
+    if c.type == "json":
+        value = F.to_json(F.try_parse_json(held) if isinstance(kind, T.StringType) else F.to_variant_object(held))
+        return F.when(value != "null", value)
+    if c.type in ("date", "datetime"):
+        if isinstance(kind, T.TimestampType):
+            out = F.convert_timezone(F.current_timezone(), F.lit("UTC"), held.cast("timestamp_ntz"))
+        else:
+            out = held.try_cast("timestamp_ntz")
+            if tz.upper() not in ("UTC", "Z", "GMT") and not isinstance(kind, T.TimestampNTZType):
+                out = F.convert_timezone(F.lit(str(literals.zone(tz)) if tz == "local" else tz), F.lit("UTC"), out)
+        return F.timestamp_add("MICROSECOND", -F.pmod(F.timestamp_diff("MICROSECOND", literals.column(literals.EPOCH), out), F.lit(1000)), out)
+    if c.type in ("integer", "decimal") and isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+        return F.floor(held + F.lit(0.5)).try_cast("long")
+    if c.type == "float":
+        out = held.try_cast("double")
+        return F.when(~F.isnan(out) & (F.abs(out) < float("inf")), out)
+    return held.try_cast(TYPES[c.type])
+
+
 def changes(values: dict[str, Any], schema: ir.TableSchema, tz: str, strict: bool) -> dict[str, Any]:
     """The stored form of the values of an update."""
     out: dict[str, Any] = {}

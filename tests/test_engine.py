@@ -301,3 +301,61 @@ def test_plans_push_down(spark):
     assert "GreaterThanOrEqual(o_orderdate" in plan and "In(o_custkey" in plan and "o_totalprice" not in plan.split("ReadSchema")[1]
     joined = c.table("orders").join("customer", "orders.o_custkey", "customer.c_custkey").select("c_name").to_df()._jdf.queryExecution().executedPlan().toString()
     assert "HashJoin" in joined and "NestedLoop" not in joined
+
+
+def files(c, table):
+    entry = c._catalog()["tables"][table]
+    return {f for s in entry["segments"] for f in c._store.files(s)} - set(entry.get("without", ()))
+
+
+def test_writes_leave_untouched_files(db, spark):
+    c, t = db.connection(), lambda: db.table("users")
+    many = spark.range(100, 900, 1, 8).selectExpr("id", "concat('n', id) AS name", "concat(id, '@y') AS email", "CAST(id AS int) AS age")
+    assert t().insert(many) == 800 and t().count() == 804
+    before = files(c, "users")
+    n = len(before)
+    assert n > 3
+    assert t().where("id", 150).update({"name": "changed"}) == 1
+    after = files(c, "users")
+    assert len(before & after) == n - 1 and t().find(150)["name"] == "changed" and t().count() == 804
+    assert t().where("id", 250).delete() == 1 and len(after & files(c, "users")) == n - 1 and t().count() == 803
+    held = files(c, "users")
+    assert t().upsert([{"name": "up", "email": "350@y"}, {"name": "new", "email": "new@y"}], "email", ["name"]) == 2
+    assert len(held & files(c, "users")) == len(held) - 1 and t().find(350)["name"] == "up" and t().count() == 804
+    assert t().in_random_order().limit(5).update({"role": "drawn"}) == 5 and t().where("role", "drawn").count() == 5
+    with pytest.raises(exceptions.UniqueConstraintViolationException, match="users_email_unique"):
+        t().where("id", 300).update({"email": "301@y"})
+    with pytest.raises(exceptions.UniqueConstraintViolationException):
+        t().where("id", ">", 890).update({"email": "same@y"})
+    assert t().where("id", ">=", 100).where("id", "<", 900).delete() == 799 and t().count() == 5
+    rows = t().get()
+    c.compact("users")
+    assert t().get() == rows and len(c._catalog()["tables"]["users"]["segments"]) == 1
+
+
+def test_inserts_of_dataframes(db, spark):
+    t = lambda: db.table("users")
+    two = spark.createDataFrame([("X", "x@x", "7"), ("Y", "y@x", None)], "name string, email string, visits string")
+    assert t().insert(two.where("visits is not null")) == 1
+    x = t().where("email", "x@x").first()
+    assert (x["id"], x["visits"], x["role"]) == (5, 7, "member") and x["created_at"] is not None
+    with pytest.raises(exceptions.NotNullConstraintViolationException, match="visits"):
+        t().insert(two.where("visits is null"))
+    with pytest.raises(exceptions.UniqueConstraintViolationException, match="users_email_unique"):
+        t().insert(two.drop("visits"))
+    with pytest.raises(TypeError):
+        t().insert(spark.createDataFrame([("Z", "z@x", "many")], "name string, email string, visits string"))
+    with pytest.raises(exceptions.SchemaException):
+        t().insert(two.withColumnRenamed("visits", "none"))
+    assert t().insert_or_ignore(two.drop("visits").unionByName(two.drop("visits"))) == 1 and t().count() == 6
+    assert t().insert(spark.range(50).selectExpr("concat('m', id) AS name", "concat(id, '@m') AS email").repartition(4)) == 50
+    assert sorted(t().where("id", ">", 6).pluck("id")) == list(range(7, 57)) and t().insert_get_id({"name": "L", "email": "l@x"}) == 57
+    assert db.table("tallies").insert(spark.range(3).selectExpr("id AS count")) == 3 and db.table("tallies").count() == 3
+    assert db.table("tagged").insert(spark.createDataFrame([("a", '["q", "r"]')], "title string, tags string")) == 1 and db.table("tagged").where_json_contains("tags", "q").count() == 1
+
+
+def test_a_commit_has_one_name(db):
+    store, catalog = db.connection()._store, db.connection()._catalog()
+    draft = store._path(f"{store.root}/catalog/_draft")
+    store._fs.create(draft, False).close()
+    assert not store._named(draft, store._path(f"{store.root}/catalog/{catalog['version']}.json")) and store.load()["tables"].keys() == catalog["tables"].keys()
