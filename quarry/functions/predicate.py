@@ -261,6 +261,9 @@ def columns(a: Ref, operator: str, b: Ref) -> Column:
     if operator in ("like", "not like"):
         out = unknown() if a.kind != "string" or b.kind != "string" else F.lower(a.expr).like(F.lower(b.expr))
         return ~out if operator == "not like" else out
+    if a.kind == b.kind == "json" and operator not in ("<", ">", "<=", ">="):
+        text = lambda r: F.when(~absent(r), F.coalesce(F.to_json(F.try_parse_json(r.expr)), r.expr))
+        return applied(text(a), operator, text(b))
     group = lambda r: "number" if r.kind in NUMBERS else "instant" if r.kind in INSTANTS else r.kind
     if group(a) == group(b) and a.kind not in ("variant",):
         if a.kind == "boolean" and operator in ("<", ">", "<=", ">="):
@@ -269,9 +272,7 @@ def columns(a: Ref, operator: str, b: Ref) -> Column:
     if operator in ("===", "!==") and "variant" not in (a.kind, b.kind):
         return F.when(~absent(a) & ~absent(b), F.lit(operator == "!=="))
     if a.kind == "variant" and b.kind == "variant":
-        same = kind_of(a.expr) == kind_of(b.expr)
-        texts = applied(F.try_variant_get(a.expr, "$", "string"), operator, F.try_variant_get(b.expr, "$", "string"))
-        return F.when(absent(a) | absent(b), unknown()).when(same & (kind_of(a.expr) != "number"), texts).otherwise(F.coalesce(applied(as_number(a), operator, as_number(b)), F.lit(is_unequal(operator))))
+        return F.when(~absent(a) & ~absent(b), let(kind_of(a.expr), lambda j: let(kind_of(b.expr), lambda k: _two_variants(a, j, operator, b, k))))
     if "variant" in (a.kind, b.kind) and "string" in (a.kind, b.kind):
         text = lambda r: F.try_variant_get(r.expr, "$", "string") if r.kind == "variant" else r.expr
         inner = a if a.kind == "variant" else b
@@ -279,6 +280,22 @@ def columns(a: Ref, operator: str, b: Ref) -> Column:
     return F.when(absent(a) | absent(b), unknown()).otherwise(F.coalesce(applied(as_number(a), operator, as_number(b)), F.lit(is_unequal(operator))))
 
 
+def _two_variants(a: Ref, j: Column, operator: str, b: Ref, k: Column) -> Column:
+    """Two values inside JSON of kinds ``j`` and ``k``. Arrays and objects are equal by content; only plain arrays have an
+    order, above numbers and texts."""
+    loose = F.coalesce(applied(_number_of(a.expr, j), operator, _number_of(b.expr, k)), F.lit(is_unequal(operator)))
+    texts = applied(F.try_variant_get(a.expr, "$", "string"), operator, F.try_variant_get(b.expr, "$", "string"))
+    both = j.isin("array", "object") & k.isin("array", "object")
+    if operator in ("<", ">", "<=", ">="):
+        ordered = lambda v, x: x.isin("number", "string") | _plain(v, x, DEPTH)
+        structured = F.when(ordered(a.expr, j) & ordered(b.expr, k), applied(order_key(a), operator, order_key(b)))
+    else:
+        structured = (both & (F.to_json(a.expr) == F.to_json(b.expr))) == F.lit(not is_unequal(operator))
+        if operator in ("===", "!=="):
+            loose = F.when(j == k, loose).otherwise(F.lit(operator == "!=="))
+    return F.when(j.isin("array", "object") | k.isin("array", "object"), structured).when((j == k) & (j == "string"), texts).otherwise(loose)
+
+
 def as_number(ref: Ref) -> Column:
     """The number that a value stands for, or null."""
     if ref.kind in NUMBERS:
@@ -372,6 +389,8 @@ def _loose_variant(ref: Ref, operator: str, value: Any) -> Column:
         value = millis_of(value)
     n = lt.number(value)
     structured = F.lit(False) if operator in ("=", "==") else F.lit(True) if is_unequal(operator) else unknown()
+    if operator in ("<", ">", "<=", ">=") and not isinstance(value, bool) and not (isinstance(value, float) and math.isnan(value)):
+        structured = F.when(_plain(ref.expr, kind_of(ref.expr), DEPTH), F.lit(operator in (">", ">=")))  # above all numbers and texts
     want = "boolean" if isinstance(value, bool) else "string" if isinstance(value, str) else "number"
 
     def against(k: Column) -> Column:

@@ -13,7 +13,7 @@ from .. import ir
 from ..exceptions import SchemaException
 from ..functions import literals, names, predicate
 from ..functions.predicate import Ref
-from ..plans.compile import Compiled, output, sorted_by
+from ..plans.compile import Compiled, output, same, sorted_by
 from .rows import decoded
 
 if TYPE_CHECKING:
@@ -113,7 +113,7 @@ class Grouping:
             ref = scope.resolve(source)
             groups[alias] = ref
             spoken[text] = spoken[source] = spoken[alias] = alias
-        keys = [output(r).alias(a) for a, r in groups.items()]
+        keys = [same(r).alias(a) for a, r in groups.items()]
         outputs = {a: aggregate(f, None if c == "*" else scope.resolve(c), keys=scope.keys()) for a, (f, c) in self._aggregates.items()}
         first = scope.keys()
         ordered = in_order and not self._orders and first

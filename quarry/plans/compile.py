@@ -137,6 +137,11 @@ def output(ref: Ref) -> Column:
     return F.to_json(ref.expr) if ref.kind == "variant" else ref.expr
 
 
+def same(ref: Ref) -> Column:
+    """A column as rows are told apart by it: equal JSON values have one text, whatever the order of their keys."""
+    return F.coalesce(F.to_json(F.try_parse_json(ref.expr)), ref.expr) if ref.kind == "json" else output(ref)
+
+
 class Compiled:
     """A query over its scope, up to the point that the caller needs."""
 
@@ -207,11 +212,11 @@ class Compiled:
             if q.orders or ((in_order or q.limit is not None or q.offset) and (q.random or self.scope.keys())):
                 # Of rows that are alike in the result, the first in order stands.
                 values = [(predicate.order_key(self.scope.resolve(o.column)), o.descending) for o in q.orders] + [(k, False) for k in self.scope.keys()]
-                flat = df.select(*[output(r).alias(f"__o{i}") for i, r in enumerate(wanted.values())], *[c.alias(f"__s{i}") for i, (c, _) in enumerate(values)])
+                flat = df.select(*[same(r).alias(f"__o{i}") for i, r in enumerate(wanted.values())], *[c.alias(f"__s{i}") for i, (c, _) in enumerate(values)])
                 sorts = [F.col(f"__s{i}").desc_nulls_last() if descending else F.col(f"__s{i}").asc_nulls_first() for i, (_, descending) in enumerate(values)] or [F.rand()]
                 first = flat.withColumn("__n", F.row_number().over(W.partitionBy(*[f"__o{i}" for i in range(len(wanted))]).orderBy(*sorts))).where("__n = 1")
                 return self._paged(first.orderBy(*([F.rand()] if q.random else sorts))).select(*[F.col(f"__o{i}").alias(a) for i, a in enumerate(wanted)])
-            return self._paged(df.select(*outputs).distinct())
+            return self._paged(df.select(*[same(r).alias(a) for a, r in wanted.items()]).distinct())
         orders = self._orders(in_order)
         if orders:
             df = df.orderBy(*orders)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from typing import Any
@@ -139,6 +140,43 @@ query("json_doesnt_contain", _DOC + "k % 5 <> 0 AND event_type <> 'view'", "even
 query("json_length", _DOC + "k % 5 <> 0 AND k % 2 = 0", "events")(lambda c: _arrays(c).where_json_length("doc", ">", 2))
 query("json_array_column", "SELECT vec_id, label FROM embeddings WHERE len(embedding) = 64 AND label >= 3", "embeddings")(lambda c: c.table("embeddings").select("vec_id", "label").where_json_length("embedding", 64).where("label", ">=", 3))
 
+
+
+def _mixed(c: Any) -> Any:
+    """Events with JSON of every kind: by k modulo 7 a number, a text, a boolean, a plain array, another array, an object, nothing."""
+    df = c._frames["events"].frame()
+    k = F.get_json_object("props", "$.k").cast("int")
+    held = F.when(k % 7 == 0, (k - 50).cast("string")).when(k % 7 == 1, F.concat(F.lit('"'), k, F.lit('"'))).when(k % 7 == 2, F.when(k % 2 == 0, F.lit("true")).otherwise("false"))
+    held = held.when(k % 7 == 3, F.concat(F.lit("["), k, F.lit(',"x"]'))).when(k % 7 == 4, F.concat(F.lit("[true,"), k, F.lit("]"))).when(k % 7 == 5, F.when(k % 2 == 0, F.lit('{"a":1,"b":2}')).otherwise('{"b":2,"a":1}'))
+    swapped = F.when(held.startswith('{"a"'), F.lit('{"b":2,"a":1}')).when(held.startswith("{"), F.lit('{"a":1,"b":2}')).otherwise(held)
+    other = F.when(F.col("event_id") % 2 == 0, swapped).otherwise(F.concat(F.lit("["), k + 1, F.lit(',"x"]')))
+    doc = F.coalesce(F.concat(F.lit('{"v":'), held, F.lit(',"w":'), other, F.lit("}")), F.lit("{}"))
+    return c.register("mixed", df.select("event_id", "event_type", (k % 7).alias("m"), doc.alias("doc"), held.alias("held")), "event_id", ("doc", "held")).table("mixed")
+
+
+_MIXED = """WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events), x AS (SELECT event_id, event_type, k, k % 7 AS m,
+CASE k % 7 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 3 THEN 3 WHEN 2 THEN 4 WHEN 4 THEN 5 WHEN 5 THEN 6 ELSE 0 END AS r, CASE k % 7 WHEN 0 THEN k - 50 WHEN 2 THEN (k + 1) % 2 WHEN 3 THEN k WHEN 4 THEN k END AS n,
+CASE WHEN k % 7 = 1 THEN CAST(k AS VARCHAR) END AS t, CASE k % 7 WHEN 0 THEN CAST(k - 50 AS VARCHAR) WHEN 1 THEN '"' || k || '"' WHEN 2 THEN CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END
+WHEN 3 THEN '[' || k || ',"x"]' WHEN 4 THEN '[true,' || k || ']' WHEN 5 THEN '{"a":1,"b":2}' END AS j FROM e) """
+query("json_order", "SELECT event_id FROM events ORDER BY CAST(json_extract_string(props, '$.k') AS INT) DESC, event_id LIMIT 30", "events")(lambda c: c.table("events").select("event_id").order_by("props->k", "desc").limit(30))
+query("json_order_mixed", _MIXED + "(SELECT 'up' AS way, event_id FROM x ORDER BY r, n NULLS FIRST, t NULLS FIRST, event_id LIMIT 700 OFFSET 300) UNION ALL (SELECT 'down', event_id FROM x ORDER BY r DESC, n DESC NULLS LAST, t DESC NULLS LAST, event_id LIMIT 700 OFFSET 100)", "events")(
+    lambda c: _mixed(c).select("event_id").order_by("doc->v").skip(300).limit(700).to_df().select(F.lit("up").alias("way"), "event_id").unionByName(_mixed(c).select("event_id").order_by("doc->v", "desc").skip(100).limit(700).to_df().select(F.lit("down").alias("way"), "event_id"))
+)
+query("json_distinct_ordered", _MIXED + "SELECT j AS v FROM (SELECT DISTINCT r, n, t, j FROM x) ORDER BY r DESC, n DESC NULLS LAST, t DESC NULLS LAST LIMIT 40", "events")(lambda c: _mixed(c).select("doc->v as v").distinct().order_by("doc->v", "desc").limit(40))
+query("json_distinct_content", _MIXED + "SELECT DISTINCT j AS held FROM x", "events")(lambda c: _mixed(c).select("held").distinct())
+query("group_json_content", _MIXED + "SELECT j AS held, count(*) AS n FROM x GROUP BY 1", "events")(lambda c: _mixed(c).group_by("held").aggregate({"n": {"count": "*"}}))
+query("group_json_min_max", _MIXED + "SELECT event_type, CAST(min(n) FILTER (m = 0) AS VARCHAR) AS lo, '\"' || max(t) || '\"' AS hi FROM x GROUP BY 1", "events")(lambda c: _mixed(c).where_in("m", [0, 1, 6]).group_by("event_type").aggregate({"lo": {"min": "doc->v"}, "hi": {"max": "doc->v"}}))
+query("json_by_kind", _MIXED + "SELECT event_id FROM x WHERE r > 1 OR n > 10", "events")(lambda c: _mixed(c).select("event_id").where("held", ">", 10))
+query("json_structural", _MIXED + "SELECT event_id FROM x WHERE m <> 6 AND (event_id % 2 = 0 OR m IN (0, 1, 3))", "events")(lambda c: _mixed(c).select("event_id").where_column("doc->v", "doc->w").or_where_column("doc->v", "<", "doc->w"))
+query("json_array_over_constant", _MIXED + "SELECT event_id FROM x WHERE m = 0 AND n > 10 OR m = 1 AND CAST(t AS INT) > 10 OR m = 3", "events")(lambda c: _mixed(c).select("event_id").where("doc->v", ">", 10))
+
+
+@query("json_min_max", _MIXED + "SELECT CAST(min(n) FILTER (m = 0) AS BIGINT) AS low, max(t) AS top, true AS truth, (SELECT '[true, ' || max(k) || ']' FROM x WHERE m = 4) AS list, true AS none FROM x", "events")
+def _json_min_max(c: Any) -> DataFrame:
+    some = lambda *m: _mixed(c).where_in("m", list(m))
+    return one(c, low=some(0, 1, 2, 3, 4, 5, 6).min("doc->v"), top=some(0, 1, 6).max("doc->v"), truth=some(0, 1, 2, 3).max("doc->v"), list=json.dumps(some(0, 2, 4).max("doc->v")), none=some(6).max("doc->v") is None).withColumn("low", F.col("low").cast("long"))
+
+
 # --- projection, order, paging, distinct ---------------------------------------------------------------------------
 
 query("select_alias", "SELECT o_orderkey AS id, o_totalprice AS price FROM orders", "orders")(lambda c: c.table("orders").select("o_orderkey as id", "orders.o_totalprice AS price"))
