@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..database.manager import DatabaseManager
-from ..database.migrations import Migration
+from ..database.migrations import Migration, Seeder
+from ..exceptions import DatabaseBlockedException, MultipleRecordsFoundException, RecordsNotFoundException, SchemaException, UniqueConstraintViolationException
 from ..functions import literals
 from ..operators.builder import Builder
 from ..schema.schema import SchemaBuilder
@@ -334,6 +335,63 @@ def _pluck(c: Any) -> DataFrame:
     return c.spark.createDataFrame([(v, k) for k, v in there.items()], "value string, key string")
 
 
+query("keys_only", "SELECT o_orderkey FROM orders WHERE o_orderkey >= 100", "orders")(lambda c: c.table("orders").where("o_orderkey", ">=", 100).select("o_orderkey"))
+query("own_table", f"SELECT {ORDER} FROM orders WHERE o_custkey = 10", "orders")(lambda c: c.table("orders").select(*[f"orders.{x}" for x in COLS]).where("orders.o_custkey", 10))
+query("where_array", f"SELECT {ORDER} FROM orders WHERE o_custkey = 10 OR o_orderstatus = 'P'", "orders")(lambda c: orders(c).where("o_custkey", [[], {"a": 10}, 20]).or_where("o_orderstatus", {"a": ["P", "F"]}))
+query("where_date_alias", f"SELECT {ORDER} FROM orders WHERE o_orderdate >= TIMESTAMP '1996-03-01' AND o_orderdate < TIMESTAMP '1996-03-02'", "orders", timezone="Etc/UTC")(lambda c: orders(c).where_date("o_orderdate", "1996-03-01T05:00:00+00:00"))
+query("in_random_order", f"SELECT {ORDER} FROM orders", "orders")(lambda c: orders(c).in_random_order())
+query("when_unless_tap", f"SELECT {ORDER} FROM orders WHERE o_custkey = 10", "orders")(lambda c: orders(c).when(10, lambda q, v: q.where("o_custkey", v)).unless(True, lambda q, _: q.where("o_orderkey", 0)).tap(lambda q: q.clone().where("o_orderkey", 0)))
+query("group_named", "SELECT c_mktsegment, o_orderstatus AS status, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2", "orders", "customer")(
+    lambda c: c.table("orders").join("customer", "orders.o_custkey", "customer.c_custkey").select("orders.o_orderstatus as status").group_by("customer.c_mktsegment", "status").aggregate({"n": {"count": "*"}})
+)
+
+
+@query("find", "SELECT (SELECT c_name FROM customer WHERE c_custkey = 7) AS found, true AS missing, true AS unmatched, (SELECT n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 7) AS joined, true AS failed", "customer", "nation")
+def _find(c: Any) -> DataFrame:
+    t = lambda: c.table("customer")
+    joined = t().join("nation", "customer.c_nationkey", "nation.n_nationkey").find("7")
+    return one(c, found=t().find("7")["c_name"], missing=t().find(-7) is None, unmatched=t().where("c_custkey", "<", 7).find(7) is None, joined=joined["n_name"], failed=raises(RecordsNotFoundException, lambda: t().find_or_fail(-7)))
+
+
+def raises(error: type[Exception], call: Callable[[], Any]) -> bool:
+    try:
+        call()
+    except error:
+        return True
+    return False
+
+
+@query("sole_and_first", "SELECT (SELECT r_name FROM region WHERE r_regionkey = 2) AS sole, (SELECT r_name FROM region ORDER BY r_regionkey LIMIT 1) AS first, true AS many, true AS none, true AS no_first", "region")
+def _sole(c: Any) -> DataFrame:
+    t = lambda: c.table("region")
+    none = lambda: t().where("r_regionkey", 99)
+    return one(
+        c, sole=t().where("r_regionkey", 2).sole()["r_name"], first=t().first_or_fail()["r_name"], many=raises(MultipleRecordsFoundException, t().sole), none=raises(RecordsNotFoundException, none().sole),
+        no_first=none().first() is None and raises(RecordsNotFoundException, none().first_or_fail),
+    )
+
+
+@query("pluck_list", "SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS place, c_name AS name FROM customer ORDER BY 1 LIMIT 30", "customer")
+def _pluck_list(c: Any) -> DataFrame:
+    return c.spark.createDataFrame(list(enumerate(c.table("customer").order_by("c_acctbal", "desc").limit(30).pluck("c_name"))), "place long, name string")
+
+
+@query("lazy_and_each", "SELECT CAST(count(*) AS BIGINT) AS seen, CAST(sum(n_nationkey) AS BIGINT) AS total, CAST(10 AS BIGINT) AS stopped FROM nation", "nation")
+def _lazy(c: Any) -> DataFrame:
+    keys = [r["n_nationkey"] for r in c.table("nation").lazy(7)]
+    seen: list[int] = []
+    c.table("nation").each(lambda row, i: seen.append(i) or i < 9)
+    return one(c, seen=len(keys), total=sum(keys), stopped=len(seen)).select(*[F.col(x).cast("long").alias(x) for x in ("seen", "total", "stopped")])
+
+
+@query("group_terminals", "SELECT CAST(count(*) AS BIGINT) AS groups, CAST((SELECT n FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 1)) AS BIGINT) AS most FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) >= 15)", "orders")
+def _group_terminals(c: Any) -> DataFrame:
+    g = lambda: c.table("orders").group_by("o_custkey").aggregate({"n": {"count": "*"}})
+    rows = g().having("n", ">=", 15).get()
+    assert len(rows) == g().having("n", ">=", 15).count()
+    return one(c, groups=len(rows), most=g().order_by("n", "desc").first()["n"]).select(*[F.col(x).cast("long").alias(x) for x in ("groups", "most")])
+
+
 # --- writes: a stored copy of a small table, and what it holds afterwards -------------------------------------------
 
 
@@ -464,6 +522,85 @@ QUERIES["coerce"] = _coerced
 ORACLES["coerce"] = "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_mktsegment END AS tier FROM customer"
 
 
+def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes that a unique index refuses leave the table as it was, and the error names the index."""
+    c = stored(spark, sf_dir, "nation")
+    t = lambda: c.table("nation")
+    name = t().find(3)["n_name"]
+    refused = []
+    for act in (lambda: t().insert({"n_nationkey": 90, "n_name": name, "n_regionkey": 0}), lambda: t().insert({"n_nationkey": 3, "n_name": name, "n_regionkey": 0}), lambda: t().where("n_nationkey", 4).update({"n_name": name})):
+        try:
+            act()
+        except UniqueConstraintViolationException as e:
+            refused.append(str(e))
+    key, unique = "n_nationkey", "nation_n_name_unique"
+    right = [unique in refused[0], key in refused[1] and unique not in refused[1], unique in refused[2]]
+    return t().to_df().withColumns({f"refused{i}": F.lit(x) for i, x in enumerate(right)})
+
+
+QUERIES["unique_named"] = _kept
+ORACLES["unique_named"] = _NATION.replace(" FROM", ", true AS refused0, true AS refused1, true AS refused2 FROM")
+
+
+def _frame_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A DataFrame of new rows, one of which an index ignores; keys are made where the table makes them."""
+    c = stored(spark, sf_dir, "nation")
+    more = spark.read.parquet(f"{sf_dir}/region.parquet").select((F.col("r_regionkey") + 500).cast("string").alias("n_nationkey"), F.col("r_name").alias("n_name"), F.col("r_regionkey").alias("n_regionkey"))
+    c.table("nation").insert(more)
+    c.table("nation").insert_or_ignore(more.withColumn("n_nationkey", F.col("n_nationkey") + 100))
+    return c.table("nation").to_df()
+
+
+QUERIES["insert_frame"] = _frame_insert
+ORACLES["insert_frame"] = f"{_NATION} UNION ALL SELECT r_regionkey + 500, r_name, r_regionkey FROM region"
+
+
+def _life(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Migrations that run once, seeds, made keys, events, the log of queries, schemas, refusals and starting afresh."""
+
+    class MakeNotes(Migration):
+        schema: SchemaBuilder
+
+        def up(self) -> None:
+            SchemaBuilder(manager.connection()).create("notes", lambda t: (t.id(), t.string("title").unique(), t.integer("stars").default(1), t.timestamps()))
+
+    class Notes(Seeder):
+        def run(self) -> None:
+            manager.table("notes").insert({"title": "seeded"})
+
+    from . import scratch
+
+    manager = DatabaseManager().configure({"connections": {"main": {"path": f"{scratch.root(spark)}/{uuid.uuid4().hex}", "migrations": [MakeNotes], "seeders": [Notes]}}})
+    c = manager.connection()
+    heard: list[str] = []
+    for key in ("migration-ended", "seeder-ended", "no-pending-migrations", "seeding-ended"):
+        manager.listen(key, lambda e: heard.append(e.key))
+    first = c.migrate()
+    again = c.migrate()
+    made = c.table("notes").insert_get_id({"title": "one"})
+    manager.enable_query_log()
+    c.table("notes").where("id", 1).get()
+    manager.disable_query_log()
+    columns = ",".join(x.name for x in c.get_columns("notes"))
+    indexes = ",".join(x.name for x in c.get_indexes("notes"))
+    refused = raises(SchemaException, lambda: SchemaBuilder(c).create("late", lambda t: t.id()))
+    usage = c.estimate()["usage"] > 0 and c.persist()
+    other = DatabaseManager().configure({"connections": {"main": {"path": c._root}}}).connection()
+    stale = other._catalog()
+    c.table("notes").where("id", 1).update({"stars": 5})
+    blocked = raises(DatabaseBlockedException, lambda: other._commit(stale))
+    stars = c.table("notes").value("stars")
+    manager.fresh(seed=True)
+    return spark.createDataFrame([(
+        ",".join(first), len(again), made, columns, indexes, manager.get_query_log()[0]["plan"], refused, usage, blocked, stars, c.table("notes").value("title"), {"migration-ended", "seeder-ended", "no-pending-migrations", "seeding-ended"} <= set(heard),
+        [(x["migration"], x["ran"]) for x in c.status()] == [("make_notes", True)],
+    )], "ran string, again long, made long, columns string, indexes string, plan string, refused boolean, usage boolean, blocked boolean, stars long, seeded string, heard boolean, status boolean")
+
+
+QUERIES["database_life"] = _life
+ORACLES["database_life"] = "SELECT 'make_notes' AS ran, CAST(0 AS BIGINT) AS again, CAST(1 AS BIGINT) AS made, 'id,title,stars,created_at,updated_at' AS columns, 'notes_title_unique' AS indexes, 'key' AS plan, true AS refused, true AS usage, true AS blocked, CAST(5 AS BIGINT) AS stars, 'seeded' AS seeded, true AS heard, true AS status"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shipments by flag and status, with a filter on their date."""
     c = opened(spark, sf_dir, ("lineitem",))
