@@ -93,6 +93,13 @@ def spread_join(rows: DataFrame, keyed: DataFrame, key: str | list[str], size: s
     return rows.join(hot, key).unionByName(rest.join(keyed.where(F.col(size) <= limit), key))
 
 
+def looked_up(rows: DataFrame, keyed: DataFrame, key: str | list[str], size: str, n_keys: int, n_rows: int) -> DataFrame:
+    """``spread_join``, with all of ``keyed`` broadcast while its rows are few."""
+    if n_keys <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(keyed), key)
+    return spread_join(rows, keyed, key, size, hot_limit(n_rows))
+
+
 def ranked(df: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, int]:
     """Add ``global_row`` (from 0, in the given order, without gaps) and return the number of rows.
 

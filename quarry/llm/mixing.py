@@ -1,16 +1,16 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every source gets a target in words; of a document the mix takes whole copies. A source whose target is r times
-its size gives floor(r) certain copies of each document; the fraction left is the inclusion probability p of one
-more copy. Documents are ranked by random odds divided by inclusion odds, (u / (1 - u)) / (p / (1 - p)), with u a
-hash of the document, and taken in that order until the source's words are spent, so the size of the sample is
-fixed (to half a document at the margin) and not only expected.
+Every source gets a target in words; of a document the mix takes whole copies. Longer documents are worth more of them:
+a document of size class k (the bits of its number of words) has the expected copies c = min(cap, level * (BASE + k)),
+with the level of its source such that the expected words are the target. floor(c) copies are certain, and the fraction
+left is the inclusion probability p of one more, which so differs between the documents of a source. All documents of a
+source are ranked by random odds divided by inclusion odds, q = (u / (1 - u)) / (p / (1 - p)), with u a hash of the
+document, and taken in that order until the words that are left to the source are spent. So the size of the sample is
+fixed (to half a document at the margin) and not only expected, and a document is taken with a chance near its p.
 
-All documents of a source have the same p on purpose, so that its mix keeps the lengths that it has. Within a source
-dividing by the inclusion odds then changes no order, and Pareto order sampling is sequential random sampling by u.
-
-The cut in the ranking is found from sums over bins of the rank; rows are ordered only within the bin that holds
-the cut, so no task gathers a source. Targets come from passes over one row a source.
+The cut in the ranking is found from sums over bins of q / (1 + q), and over finer bins within the bin that holds it;
+rows are ordered only within that finer bin, so no task gathers a source. Targets and levels come from passes over one
+row a source and size class.
 
 Nulls: a null text has no words and is taken 0 words; null sources form one source, the last. Reruns agree; rows
 alike in id and text are interchangeable. An empty table gives no rows.
@@ -18,27 +18,29 @@ alike in id and text are interchangeable. An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ranked, staged, words
+from .common import looked_up, ranked, staged, words
 
 BINS = 4096
-#: Sources whose rows (a few numbers each) are broadcast at most; more are joined by a shuffle.
-BROADCAST_SOURCES = 200_000
+#: The weight of a document is this and its size class together.
+BASE = 8
+#: What is left of a fraction below this is rounding.
+TINY = 1e-9
 
 
-def targets(sizes: DataFrame, weights: list[float], share: float, cap: float) -> tuple[DataFrame, int]:
-    """Add ``target`` to (source, source_size), and count the sources: shares by weight, in the order of sources, capped at ``cap`` sizes.
+def targets(sizes: DataFrame, weights: list[float], share: float, cap: float) -> DataFrame:
+    """Add ``target`` to (source, source_size, n): shares by weight, in the order of sources, capped at ``cap`` sizes.
 
     The excess over a cap goes to the sources below theirs by weight, until none is above: all uncapped sources
     end with the same target a weight, which rounds of one aggregate each find.
     """
-    order = [F.col("source").isNull(), F.encode(F.coalesce("source", F.lit("")), "utf-8")]
-    numbered, n = ranked(sizes, order, "mix-sources")
+    name = F.get("source", F.lit(0))
+    numbered, _ = ranked(sizes, [name.isNull(), F.encode(F.coalesce(name, F.lit("")), "utf-8")], "mix-sources")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("global_row") % len(weights) + 1).cast("int"))
-    s = staged(numbered.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(cap))).alias("most")), "mix-weights")
+    s = staged(numbered.select("source", "source_size", "n", weight.alias("weight"), (F.col("source_size") * F.lit(float(cap))).alias("most")), "mix-weights")
     total = s.agg(F.sum("source_size")).first()[0] or 0
     level = 0.0
     while True:
@@ -50,39 +52,71 @@ def targets(sizes: DataFrame, weights: list[float], share: float, cap: float) ->
         if new <= level * (1 + 1e-12):
             break
         level = new
-    return s.withColumn("target", F.least(F.col("most"), F.col("weight") * F.lit(float(level)))), n
+    return s.withColumn("target", F.least(F.col("most"), F.col("weight") * F.lit(float(level))))
+
+
+def levels(classes: DataFrame, cap: float) -> DataFrame:
+    """For (source, k, words, target): the expected copies of each class, at a level that makes the expected words the target.
+
+    Classes of the greatest weight reach ``cap`` first. With the classes above k at their cap, the others share what is
+    left by weight; the level is that of the greatest k which doesn't exceed its cap then.
+    """
+    weight = F.col("k") + F.lit(BASE)
+    down = W.partitionBy("source").orderBy(F.desc("k"))
+    above = F.coalesce(F.sum("words").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("words") * weight).over(down.rowsBetween(0, W.unboundedFollowing))
+    level = F.when(rest > 0, (F.col("target") - F.lit(float(cap)) * above) / rest)
+    fits = (level * weight <= F.lit(float(cap)) * (1 + 1e-12)) & (level >= 0)
+    out = classes.withColumn("level", F.when(fits, level))
+    out = out.withColumn("level", F.max_by("level", F.when(F.col("level").isNotNull(), F.col("k"))).over(W.partitionBy("source")))
+    return out.withColumn("copies", F.least(F.lit(float(cap)), F.coalesce("level", F.lit(0.0)) * weight))
+
+
+def _cut(rows: DataFrame, bin_: str, taken: Column) -> DataFrame:
+    """source, the bin in which its words up to there first reach ``rest``, and the words before that bin."""
+    sums = rows.groupBy("source", bin_).agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first(taken).alias("taken"))
+    upto = F.col("taken") + F.sum("words").over(W.partitionBy("source").orderBy(bin_))
+    cuts = sums.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("words")).where((F.col("before") < F.col("rest")) & (F.col("upto") >= F.col("rest")))
+    return cuts.groupBy("source").agg(F.min(bin_).alias(f"cut_{bin_}"), F.min_by("before", bin_).alias(f"before_{bin_}"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 8, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken (words) and copies of every row of ``docs``, with its text's hash."""
+    """doc_id, size, source_size, target, taken (words), copies, inclusion (p) and q of every row of ``docs``, with its text's hash."""
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col)
+    # A source is told apart as an array, so that null is a value like others.
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"),
-        F.xxhash64(F.col(id_col), F.col(text_col)).alias("text_hash"),
+        doc_id.alias("doc_id"), F.array(F.col(source_col)).alias("source"), F.size(words(text)).cast("long").alias("size"), F.xxhash64(F.col(id_col), text).alias("text_hash"),
+        F.md5(F.concat_ws("|", F.lit(str(seed)), doc_id.cast("string"), F.md5(text.cast("binary"))).cast("binary")).alias("draw"),
     )
-    rows = staged(rows, "mix-rows")
-    by_source, n_sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), list(weights), share, cap)
-    some = F.broadcast if n_sources <= BROADCAST_SOURCES else (lambda df: df)
-    # u lies strictly between 0 and 1; p is the same for all documents of a source.
-    u = (F.pmod(F.xxhash64("text_hash", "doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    by_source = by_source.select(
-        F.col("source").alias("_source"), "source_size", "target", F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) + 1e-12).alias("whole"),
-    ).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-    by_source = by_source.withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0))
-    with_p = rows.join(some(by_source), rows["source"].eqNullSafe(by_source["_source"])).drop("_source")
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.greatest("p", F.lit(1e-15)) / (1 - F.least("p", F.lit(1 - 1e-15))))
-    with_q = with_p.withColumn("u", u).withColumn("q", odds).withColumn("bin", F.floor(F.col("u") * BINS).cast("int"))
-    with_q = staged(with_q.drop("u"), "mix-odds")
-    sums = with_q.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    order = W.partitionBy("source").orderBy("bin")
-    cuts = sums.withColumn("upto", F.sum("words").over(order)).withColumn("before", F.col("upto") - F.col("words"))
-    cuts = cuts.where((F.col("before") < F.col("rest")) & (F.col("upto") >= F.col("rest"))).groupBy("source").agg(F.min_by("bin", "bin").alias("cut"), F.min_by("before", "bin").alias("before"))
-    cuts = cuts.withColumnRenamed("source", "_source")
-    at = with_q.join(some(cuts), with_q["source"].eqNullSafe(cuts["_source"]), "left").drop("_source")
-    inside = at.where(F.col("bin") == F.col("cut"))
-    in_order = W.partitionBy("source", "bin").orderBy("q", "text_hash", "doc_id")
+    rows = staged(rows.withColumn("k", F.when(F.col("size") > 0, F.length(F.bin("size"))).otherwise(0)), "mix-rows")
+    classes = staged(rows.groupBy("source", "k").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "mix-classes")
+    by_source = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("n")), list(weights), share, cap)
+    n_sources, n_rows = by_source.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    planned = levels(classes.join(by_source.select("source", "source_size", "target"), "source"), cap)
+    planned = planned.withColumn("whole", F.floor(F.col("copies") + TINY)).withColumn("p", F.greatest(F.lit(0.0), F.col("copies") - F.col("whole")))
+    planned = planned.withColumn("p", F.when(F.col("p") < 2 * TINY, 0.0).otherwise(F.col("p")))
+    rest = F.greatest(F.lit(0.0), F.col("target") - F.sum(F.col("whole") * F.col("words")).over(W.partitionBy("source")))
+    planned = staged(planned.withColumn("rest", rest).select("source", "k", "n", "source_size", "target", "whole", "p", "rest"), "mix-plan")
+
+    # u lies strictly between 0 and 1, and so does v = q / (1 + q), which is in the order of q.
+    u = (F.conv(F.substring("draw", 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    drawn = looked_up(rows, planned, ["source", "k"], "n", planned.count(), n_rows).drop("n", "k").withColumn("u", u)
+    drawn = drawn.withColumn("v", F.when(F.col("p") > 0, F.col("u") * (1 - F.col("p")) / (F.col("u") * (1 - F.col("p")) + (1 - F.col("u")) * F.col("p"))))
+    drawn = staged(drawn.withColumn("bin", F.floor(F.col("v") * BINS)).withColumn("fine", F.floor(F.col("v") * (BINS * BINS))).drop("u"), "mix-odds")
+    sizes = by_source.select("source", "n")
+    cuts = staged(_cut(drawn.where("v is not null"), "bin", F.lit(0)).join(sizes, "source"), "mix-cuts")
+    near = looked_up(drawn.where("v is not null"), cuts, "source", "n", n_sources, n_rows).where("bin = cut_bin")
+    finer = _cut(near, "fine", F.col("before_bin"))
+    cuts = staged(cuts.join(finer, "source").unionByName(sizes.join(cuts, "source", "left_anti"), allowMissingColumns=True), "mix-cuts")
+
+    at = looked_up(drawn, cuts, "source", "n", n_sources, n_rows)
+    inside = at.where((F.col("bin") == F.col("cut_bin")) & (F.col("fine") == F.col("cut_fine")))
+    in_order = W.partitionBy("source").orderBy("v", "draw", "doc_id")
     # A document whose middle lies before the cut is in: the margin is half a document.
-    inside = inside.withColumn("more", (F.col("before") + F.sum("size").over(in_order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size") / 2 <= F.col("rest")).cast("int"))
-    outside = at.where(F.col("cut").isNull() | (F.col("bin") != F.col("cut"))).withColumn("more", F.when(F.col("cut").isNull(), (F.col("rest") > 0).cast("int")).otherwise((F.col("bin") < F.col("cut")).cast("int")))
-    out = inside.unionByName(outside).withColumn("copies", (F.col("whole") + F.col("more")).cast("int"))
-    out = out.withColumn("copies", F.least("copies", F.lit(int(cap))))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", "text_hash")
+    middle = F.col("before_fine") + F.sum("size").over(in_order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size") / 2
+    inside = inside.withColumn("more", (middle <= F.col("rest")).cast("int"))
+    outside = at.where(F.col("cut_fine").isNull() | F.col("v").isNull() | (F.col("fine") != F.col("cut_fine")))
+    # A source without a cut has no words left to spend, or no more than its documents hold.
+    below = F.coalesce(F.when(F.col("cut_fine").isNull(), F.col("rest") > TINY * F.col("target")).otherwise(F.col("fine") < F.col("cut_fine")) & F.col("v").isNotNull(), F.lit(False))
+    out = inside.unionByName(outside.withColumn("more", below.cast("int"))).withColumn("copies", (F.col("whole") + F.col("more")).cast("int"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", F.col("p").alias("inclusion"), (F.col("v") / (1 - F.col("v"))).alias("q"), "text_hash")

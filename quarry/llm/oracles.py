@@ -30,3 +30,22 @@ m AS (SELECT a, min(b) AS b FROM r GROUP BY 1)
 SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(m.b, w.doc_id)) AS component_id, w.doc_id <= coalesce(m.b, w.doc_id) AS kept
 FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN m ON w.doc_id = m.a
 """
+
+MIXING = r"""
+WITH r AS (SELECT doc_id, source, CAST(len([x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> '']) AS BIGINT) AS size, md5(concat_ws('|', '8', CAST(doc_id AS VARCHAR), md5(text))) AS draw FROM documents),
+d AS (SELECT *, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS k, CAST('0x' || substr(draw, 1, 13) AS BIGINT) AS bits FROM r),
+s AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1)),
+f AS (SELECT *, (1.5::DOUBLE * CAST((SELECT sum(source_size) FROM s) AS DOUBLE) - coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY 2.0::DOUBLE * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY 2.0::DOUBLE * source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS l FROM s),
+t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, weight * (SELECT min_by(l, 2.0::DOUBLE * source_size / weight) FROM f WHERE l <= 2.0::DOUBLE * source_size / weight)) AS target FROM s),
+c AS (SELECT source, k, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY 1, 2),
+n AS (SELECT c.source, k, words, source_size, target, (target - 2.0::DOUBLE * CAST(coalesce(sum(words) OVER (PARTITION BY c.source ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+  / nullif(CAST(sum(words * (k + 8)) OVER (PARTITION BY c.source ORDER BY k DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE), 0) AS l FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source),
+m AS (SELECT *, max_by(l, k) FILTER (l >= 0 AND l * (k + 8) <= 2.0::DOUBLE * (1 + 1e-12::DOUBLE)) OVER (PARTITION BY source) AS level FROM n),
+e AS (SELECT *, least(2.0::DOUBLE, coalesce(level, 0) * (k + 8)) AS expected, CAST(floor(least(2.0::DOUBLE, coalesce(level, 0) * (k + 8)) + 1e-9::DOUBLE) AS BIGINT) AS whole FROM m),
+p AS (SELECT *, CASE WHEN expected - whole < 2e-9::DOUBLE THEN 0.0::DOUBLE ELSE expected - whole END AS p, greatest(0.0::DOUBLE, target - CAST(sum(whole * words) OVER (PARTITION BY source) AS DOUBLE)) AS rest FROM e),
+u AS (SELECT d.doc_id, d.source, d.size, d.draw, source_size, target, whole, p, rest, (CAST(bits AS DOUBLE) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.k = p.k),
+v AS (SELECT *, CASE WHEN p > 0 THEN u * (1 - p) / (u * (1 - p) + (1 - u) * p) END AS v FROM u),
+o AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source, v IS NULL ORDER BY v, draw, doc_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) - size / 2.0::DOUBLE AS middle FROM v)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + (v IS NOT NULL AND middle <= rest)::INT) AS BIGINT) AS taken, CAST(whole + (v IS NOT NULL AND middle <= rest)::INT AS INTEGER) AS copies, p AS inclusion, v / (1 - v) AS q FROM o
+"""

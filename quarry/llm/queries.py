@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query: random keys, trained models and checksums it can't."""
-    return {"op2_substring_dedup": oracles.SUBSTRING_DEDUP, "op4_exact_top_k": oracles.TOP_K, "op5_minhash_near_dedup": oracles.NEAR_DUPLICATES}
+    return {"op2_substring_dedup": oracles.SUBSTRING_DEDUP, "op4_exact_top_k": oracles.TOP_K, "op5_minhash_near_dedup": oracles.NEAR_DUPLICATES, "op8_mixing": oracles.MIXING}

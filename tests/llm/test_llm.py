@@ -415,7 +415,43 @@ def water(sizes, weights):
     return target
 
 
-def test_mixing(spark, docs, odd, none):
+def pareto(rows, target, seed=8):
+    """copies and (p, q) by (id, text): levels by bisection, then the whole ranking of each source."""
+    out, odds = {}, {}
+    md5 = lambda x: hashlib.md5(x).hexdigest()
+    for s, goal in target.items():
+        mine = [(r.doc_id, r.text, len(WORD.findall(r.text or ""))) for r in rows if r.source == s]
+        worth = lambda n: 8 + n.bit_length()
+        spent = lambda level: sum(n * min(2, level * worth(n)) for _, _, n in mine)
+        low, high = 0.0, 1.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if spent(middle) < goal else (low, middle)
+        expected = lambda n: min(2, high * worth(n))
+        whole = {n: int(expected(n) + 1e-7) for _, _, n in mine}
+        rest = goal - sum(n * whole[n] for _, _, n in mine)
+        ranking = []
+        for d, t, n in mine:
+            p = expected(n) - whole[n]
+            out.setdefault((d, t), []).append(whole[n])
+            if p > 1e-7:
+                draw = md5("|".join([str(seed)] + ([str(d)] if d is not None else []) + ([md5(t.encode())] if t is not None else [])).encode())
+                u = (int(draw[:13], 16) + 0.5) / 2**52
+                q = (u / (1 - u)) / (p / (1 - p))
+                ranking.append((q, draw, n, d, t))
+                odds[d, t] = (p, q, u, whole[n])
+        upto = 0
+        for _, _, n, d, t in sorted(ranking, key=lambda x: x[:2]):
+            if upto + n / 2 <= rest:
+                out[d, t][-1 if len(out[d, t]) == 1 else out[d, t].index(min(out[d, t]))] += 1
+            upto += n
+    return out, odds
+
+
+@pytest.mark.parametrize(("bins", "few"), [(mixing.BINS, common.BROADCAST_KEYS), (4, 0)])
+def test_mixing(spark, docs, odd, none, monkeypatch, bins, few):
+    monkeypatch.setattr(mixing, "BINS", bins)
+    monkeypatch.setattr(common, "BROADCAST_KEYS", few)
     for df in (docs[1], odd):
         rows = df.collect()
         sizes = collections.Counter()
@@ -426,17 +462,50 @@ def test_mixing(spark, docs, odd, none):
         out = mixing.mix(df).collect()
         again = mixing.mix(df.repartition(2)).collect()
         assert sorted(map(str, out)) == sorted(map(str, again)) and len(out) == len(rows)
-        source = {(r.doc_id, len(WORD.findall(r.text or ""))): r.source for r in rows}
+        by = collections.defaultdict(list)
+        for r in rows:
+            by[r.doc_id, len(WORD.findall(r.text or ""))].append(r)
         taken, largest = collections.Counter(), collections.Counter()
         for r in out:
-            s = source[r.doc_id, r["size"]]
-            assert abs(r.target - target[s]) < 1e-6 * max(1, target[s]) and r.source_size == sizes[s] and r.taken <= 2 * r["size"]
+            s = by[r.doc_id, r["size"]][0].source
+            assert abs(r.target - target[s]) < 1e-6 * max(1, target[s]) and r.source_size == sizes[s] and r.taken == r["size"] * r.copies <= 2 * r["size"]
             taken[s] += r.taken
             largest[s] = max(largest[s], r["size"])
-        assert all(abs(taken[s] - target[s]) <= largest[s] for s in sizes)
+        assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1e-6 for s in sizes)
+        want, odds = pareto(rows, target)
+        got = collections.defaultdict(list)
+        for r in out:
+            if r["size"]:
+                got[r.doc_id, by[r.doc_id, r["size"]][0].text].append(r.copies)
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items() if WORD.findall(k[1] or "")}
+        for r in out:
+            p, q = odds.get((r.doc_id, by[r.doc_id, r["size"]][0].text), (0, None))[:2]
+            assert abs(r.inclusion - p) < 1e-6 and (q is None or abs(r.q - q) < 1e-4 * q)
     assert mixing.mix(none).count() == 0
 
 
+def test_inclusion_odds_change_the_order_and_are_met(docs):
+    """Ranking by q differs from ranking by u, and over many seeds a document is taken about as often as it should be."""
+    rows = docs[1].collect()
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r.source] += len(WORD.findall(r.text or ""))
+    target = water(sizes, {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(sizes))})
+    _, odds = pareto(rows, target)
+    mine = [odds[r.doc_id, r.text] for r in rows if r.source == "s2" and (r.doc_id, r.text) in odds]
+    assert len({round(x[0], 6) for x in mine}) > 2 and sorted(mine, key=lambda x: x[1]) != sorted(mine, key=lambda x: x[2])
+    seen, expected, n = collections.Counter(), collections.Counter(), collections.Counter()
+    own = [r for r in rows if r.source == "s2"]
+    for seed in range(200):
+        out, odds = pareto(own, {"s2": target["s2"]}, seed)
+        for (d, t), (p, _, _, whole) in odds.items():
+            k = len(WORD.findall(t or "")).bit_length()
+            seen[k] += (sum(out[d, t]) - whole * len(out[d, t])) / len(out[d, t])
+            expected[k] += p
+            n[k] += 1
+    assert all(abs(seen[k] - expected[k]) / n[k] < 0.08 for k in n if n[k] >= 400)
+
+
 # --- decontamination -----------------------------------------------------------------------------------------------
 
 
