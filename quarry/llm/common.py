@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that the cluster names; only where none is set (tests), a folder of our own."""
+    """The shared folder that the cluster names; only on one machine, where none is set (tests), a folder of our own.
+
+    All scratch tables of an application are under its id, so whoever runs it can delete them in one step.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root or 'file:///tmp/checkpoints'}/quarry"
+    if root is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{root or 'file:///tmp/checkpoints'}/quarry/{spark.sparkContext.applicationId}"
+
+
+_made: list[list[tuple[str, DataFrame]]] = []
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -28,7 +38,32 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _made:
+        _made[-1].append((path, out))
+    return out
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Delete the tables staged within, but for those that the function given keeps: they pass to the block around."""
+    _made.append([])
+    kept: list[DataFrame] = []
+    try:
+        yield lambda *tables: kept.extend(tables)
+    finally:
+        for path, df in _made.pop():
+            if any(df is x for x in kept):
+                if _made:
+                    _made[-1].append((path, df))
+            else:
+                _deleted(spark, path)
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:

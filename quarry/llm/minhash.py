@@ -21,14 +21,14 @@ Rows that share an id are one document whose sets may each give links. An empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_limit, spread_join, staged
+from .common import hot_limit, scratch, spread_join, staged
 from .textnum import U, column_bytes, mixed, rolled, row_of, slices, tokens, word_hashes
 
 BINS, ROWS = 128, 4
@@ -122,20 +122,22 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component for links (a, b): the smallest node reachable. Rounds of joins; each node's links are never gathered."""
-    e = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
-    n = e.count()
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = staged(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
-        before, e, n_before = e, staged(small.distinct(), "cc"), n
+    """A table of (u, v) for links (a, b): node u and the smallest node reachable. Rounds of joins; each node's links are never gathered."""
+    with scratch(links.sparkSession) as keep:
+        e = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
         n = e.count()
-        if n == n_before and e.join(before, ["u", "v"], "left_anti").isEmpty():  # the same links as before
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        while True:
+            both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+            large = staged(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc")
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            joined = large.join(least, "u")
+            small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
+            before, e, n_before = e, staged(small.distinct(), "cc"), n
+            n = e.count()
+            if n == n_before and e.join(before, ["u", "v"], "left_anti").isEmpty():  # the same links as before
+                keep(e)
+                return e
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -171,7 +173,7 @@ def _central_stars(buckets: DataFrame, limit: int) -> DataFrame:
 
 def _open_pairs(buckets: DataFrame, comps: DataFrame, turn: int, limit: int) -> tuple[DataFrame, DataFrame]:
     """Pairs between components of buckets, and the members of large buckets that hold several components."""
-    labelled = buckets.join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    labelled = buckets.join(comps.toDF("node", "component"), F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     labelled = staged(labelled, "mh-labelled")
     drawn = F.xxhash64("rep", "key", F.lit(turn))
     by_comp = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min_by("rep", drawn).alias("rep"))
@@ -270,6 +272,11 @@ def _exact_pairs(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
+    with scratch(docs.sparkSession) as keep:
+        return _near_duplicates(docs, percent, id_col, text_col, keep)
+
+
+def _near_duplicates(docs: DataFrame, percent: int, id_col: str, text_col: str, keep: Callable[..., None]) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sig = staged(texts.mapInArrow(_sign, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "mh-signatures")
     key = ["n_shingles", "k1", "k2"]
@@ -296,7 +303,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         checked = staged(checked.unionByName(found), "mh-checked")
         if more or not large.isEmpty():
             comps = components(checked.where("linked").select("a", "b"))
-    comps = classes.select(*key, "rep").join(comps, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component"))
+    keep(sig, classes, comps)
+    comps = classes.select(*key, "rep").join(comps.toDF("node", "component"), F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component"))
     out = sig.select("doc_id", *key).join(comps, key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -8,7 +8,6 @@ are one blob a chunk; answers are bits in the order of the questions.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -136,12 +135,4 @@ def meet(asked_rows: DataFrame, step: int, decide: Callable[[list[dict]], tuple[
         lengths, values = decide(rows)
         return pa.Table.from_batches([answer_rows(step, rows[0]["bucket"], [r["chunk"] for r in rows], lengths, values)])
 
-    out = staged(asked_rows.groupBy("bucket").applyInArrow(bucket, ANSWERS), f"answers-{step}")
-    release(asked_rows.sparkSession)
-    return out
-
-
-def release(spark: SparkSession) -> None:
-    """Let the cluster delete the shuffle files of steps whose results are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    return staged(asked_rows.groupBy("bucket").applyInArrow(bucket, ANSWERS), f"answers-{step}")

@@ -11,7 +11,8 @@ can repeat are found first, so that only these are sorted:
    binary search for their longest common extension over prefix polynomial hashes, so in a logarithmic number of
    steps. Neighbours that agree over 50 bytes are verified byte by byte; a false match sorts anew under another hash.
    Each class of equal strings then knows its smallest id. An anchor with over ``CROWDED`` kinds of runs (the edge of
-   a passage that a third of all rows share) is too much for one task: its strings are dealt by hashes of 96 bits.
+   a passage that a third of all rows share) is too much for one task: its strings are dealt by a hash of the whole
+   string, each with its bytes, and sorted and verified there alike.
 
 Null texts are empty. A null id comes before all others; rows that share an id are one document. An empty table
 gives no rows.
@@ -146,23 +147,23 @@ class Open:
         lo, n = runs.lo[k.at[crowd]], runs.hi[k.at[crowd]] - runs.lo[k.at[crowd]] + 1
         self.run = np.repeat(np.arange(len(crowd)), n)
         self.within = np.arange(len(self.run)) - np.repeat(np.cumsum(n) - n, n)
-        start, lens = np.repeat(lo, n) + self.within, np.full(len(self.run), WINDOW)
-        hashes = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
-        for i in range(0, len(start), 1 << 15):
-            data = c.data[(start[i : i + (1 << 15), None] + np.arange(WINDOW)).reshape(-1)]
-            hashes = [np.concatenate((h, _sum_hashes(data, lens[i : i + (1 << 15)], m))) for m, h in enumerate(hashes)]
-        a, b, ids = hashes[0], (hashes[1] >> U(32)).astype(np.uint32), k.ids[crowd][self.run] if len(crowd) else np.zeros(0, np.int64)
-        self.order = np.lexsort((ids, b, a))
-        a, b, ids = a[self.order], b[self.order], ids[self.order]
-        first = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
-        self.a, self.b, self.ids, self.string = a[first], b[first], ids[first], np.cumsum(first) - 1
-        self.later_here = ids > self.ids[self.string] if len(a) else first
+        start = np.repeat(lo, n) + self.within
+        strings = c.data[start[:, None] + np.arange(WINDOW)] if len(start) else np.zeros((0, WINDOW), np.uint8)
+        ids = k.ids[crowd][self.run] if len(crowd) else np.zeros(0, np.int64)
+        # Equal strings of the chunk are one, the one of its smallest id.
+        _, kind = np.unique(np.ascontiguousarray(strings).view(f"V{WINDOW}").ravel(), return_inverse=True)
+        self.order = np.lexsort((ids, kind))
+        ids, kind = ids[self.order], kind[self.order]
+        first = np.concatenate(([True], kind[1:] != kind[:-1])) if len(kind) else np.zeros(0, bool)
+        self.strings, self.ids, self.string = strings[self.order[first]], ids[first], np.cumsum(first) - 1
+        self.a = _sum_hashes(self.strings.reshape(-1), np.full(len(self.strings), WINDOW), 0)
+        self.later_here = ids > self.ids[self.string] if len(ids) else first
         self.strings_dealt = _dealt((self.a % U(buckets)).astype(np.int64))
 
     def bits(self, answers: dict, buckets: int) -> np.ndarray:
         """A bit for each string of the open runs, in the order of ``all``."""
         sorted_ = _read(self.dealt, answers, 3, np.uint32)
-        later = self.later_here | (_read(self.strings_dealt, answers, 3, np.uint8, buckets)[self.string] > 0) if len(self.run) else self.later_here
+        later = self.later_here | (_read(self.strings_dealt, answers, 3, np.uint32, buckets)[self.string] > 0) if len(self.run) else self.later_here
         crowd = np.zeros(len(self.all) - len(self.some), np.uint32)
         np.bitwise_or.at(crowd, self.run[self.order], later.astype(np.uint32) << self.within[self.order].astype(np.uint32))
         return np.concatenate((sorted_, crowd))
@@ -336,9 +337,7 @@ def equal_strings(text: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[
 
 
 def _open_decided(rows: list[dict]) -> tuple[list[int], np.ndarray]:
-    """For each open run a bit a string: whether it also starts in an earlier document. For single strings a byte."""
-    if rows[0]["text"] is None:
-        return _earlier([{"a": r["gram"], "b": r["lens"], "ids": r["ids"]} for r in rows])
+    """For each open run a bit a string: whether it also starts in an earlier document."""
     text = np.concatenate([np.frombuffer(r["text"], np.uint8) for r in rows])
     gram, lens, place, ids = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in (("gram", np.uint64), ("lens", np.uint8), ("place", np.uint8), ("ids", np.int64)))
     lengths = [len(r["lens"]) for r in rows]
@@ -395,8 +394,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         out[0] += (which + buckets).tolist()
         for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             at = order[i:j]
-            for column, v in zip(out[1:], (o.a[at].tobytes(), o.b[at].tobytes(), None, o.ids[at].tobytes(), None), strict=True):
-                column.append(v)
+            whole, none = np.full(len(at), WINDOW, np.uint8), np.zeros(len(at), np.uint8)
+            for column, v in zip(out[1:], (o.a[at], whole, none, o.ids[at], o.strings[at]), strict=True):
+                column.append(v.tobytes())
         return _asked(c.number, out, ["gram", "lens", "place", "ids", "text"])
 
     def remove(c: pk.Chunk, answers: dict) -> pa.RecordBatch:

@@ -321,6 +321,16 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_of_repeated_ids_and_clashing_columns(spark):
+    """Different vectors of one query id are queries of their own; equal ones are one; all are candidates of others."""
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (40, [1.0, 1.0]), (3, [0.5, 0.25])]
+    df = spark.createDataFrame([(*r, 1, 2, "x", 3) for r in rows], "vec_id long, embedding array<double>, id int, w int, side string, rank int")
+    got = collections.defaultdict(list)
+    for x in sorted(topk.top_k(df, every=20, k=3).collect(), key=lambda x: x["rank"]):
+        got[x.query_id, x.query_hash].append((x.vec_id, x.score))
+    assert sorted(map(tuple, got.values())) == sorted([((1, 4096), (40, 4096), (3, 2048)), ((2, 4096), (40, 4096), (3, 1024)), ((1, 4096), (2, 4096), (20, 4096))])
+
+
 # --- scores --------------------------------------------------------------------------------------------------------
 
 
