@@ -8,12 +8,12 @@ places of documents and items finds every leak. Each hit is verified word by wor
 items of 10 to 12 words must appear whole and unchanged. All items under 13 words are reported by ``short_leaks``, with a
 tolerance in proportion: one substitution from 7 words on, none in shorter ones. ``all_leaks`` has both.
 
-The items' hashes are broadcast while they number at most ``broadcast_rows``; beyond that both sides are shuffled
-by hash, and only documents with a hit bring their words.
+The items' hashes are broadcast while they number at most ``broadcast_rows`` (of some 200 bytes each); beyond that both
+sides are shuffled by hash, and only documents with a hit bring their words.
 
 Nulls: null texts have no words. A leak in a document without an id is reported under null, an item without an id
-has a null ``item_id``. Repeated items count once (``item_id`` is the smallest id, ``item_ids`` has all but null).
-Rows that share a document id are reported under it together. Empty tables give no rows.
+has a null ``item_id``. Repeated items are one: ``item_id`` is their smallest id, ``n_items`` their number, and
+``item_classes`` tells the ``item_id`` of each. Rows that share a document id are reported under it together. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ SPAN, AGREE, SHORTEST = 13, 11, 10
 MASK = (0, 3, 6, 9)
 #: Runs of 13 words that hold a seed begin at its place or up to three words before.
 BEFORE = SPAN - 10
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def _hashed(text: Column) -> Column:
@@ -55,10 +55,16 @@ def _row(doc_id: Column, text: Column) -> list[Column]:
     return [F.xxhash64(doc_id, text).alias("r1"), F.xxhash64(text, doc_id, F.lit(1)).alias("r2")]
 
 
+def item_classes(items: DataFrame, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """item and the item_id under which ``leaks`` report it, of every item with words."""
+    tests = items.select(F.col(item_col).cast("long").alias("item"), _hashed(F.col(item_text_col)).alias("g")).where(F.size("g") > 0)
+    return tests.join(tests.groupBy("g").agg(F.min("item").alias("item_id")), "g").select("item", "item_id")
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, item_id, item_ids, n_hits (verified places) and best (most words that agree in a run), for each leak."""
+    """doc_id, item_id, n_items, n_hits (verified places) and best (most words that agree in a run), for each leak."""
     tests = items.select(F.col(item_col).cast("long").alias("item"), _hashed(F.col(item_text_col)).alias("g")).where(F.size("g") >= SHORTEST)
-    tests = tests.groupBy("g").agg(F.min("item").alias("item_id"), F.sort_array(F.collect_set("item")).alias("item_ids"))
+    tests = tests.groupBy("g").agg(F.min("item").alias("item_id"), F.count("*").alias("n_items"))
     tests = staged(tests.withColumn("item_row", F.monotonically_increasing_id()), "decon-items")  # ids may be null
     places = F.explode(F.sequence(F.lit(0), F.size("g") - SHORTEST))
     seeds = tests.select("item_row", "g", places.alias("q")).where((F.size("g") >= SPAN) | (F.col("q") == 0))
@@ -79,7 +85,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     same = _agreement(_around(F.col("h"), F.col("p")), F.col("run"))
     found = found.select("doc_id", "item_row", "p", "need", F.explode(F.array(same)).alias("same")).where("same >= need")
     found = found.groupBy("doc_id", "item_row").agg(F.countDistinct("p").alias("n_hits"), F.max("same").cast("long").alias("best"))
-    return found.join(tests.select("item_row", "item_id", "item_ids"), "item_row").select("doc_id", "item_id", "item_ids", "n_hits", "best")
+    return found.join(tests.select("item_row", "item_id", "n_items"), "item_row").select("doc_id", "item_id", "n_items", "n_hits", "best")
 
 
 def short_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -89,7 +95,7 @@ def short_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     (of whole items under 7 words) are joined by hash and the rest is verified.
     """
     tests = items.select(F.col(item_col).cast("long").alias("item"), _hashed(F.col(item_text_col)).alias("g")).where(F.size("g").between(1, SPAN - 1))
-    tests = tests.groupBy("g").agg(F.min("item").alias("item_id"), F.sort_array(F.collect_set("item")).alias("item_ids"))
+    tests = tests.groupBy("g").agg(F.min("item").alias("item_id"), F.count("*").alias("n_items"))
     tests = staged(tests.withColumn("item_row", F.monotonically_increasing_id()), "decon-short-items")
     n, spare = F.size("g"), F.floor(F.size("g") * (SPAN - AGREE) / SPAN)
     half = F.floor(n / 2).cast("int")
@@ -117,7 +123,7 @@ def short_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     same = F.aggregate(agree, F.lit(0), lambda t, v: t + v)
     found = found.select("doc_id", "item_row", "p", "need", F.explode(F.array(same)).alias("same")).where("same >= need")
     found = found.groupBy("doc_id", "item_row").agg(F.countDistinct("p").alias("n_hits"), F.max("same").cast("long").alias("best"))
-    return found.join(tests.select("item_row", "item_id", "item_ids"), "item_row").select("doc_id", "item_id", "item_ids", "n_hits", "best")
+    return found.join(tests.select("item_row", "item_id", "n_items"), "item_row").select("doc_id", "item_id", "n_items", "n_hits", "best")
 
 
 def all_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -24,14 +24,17 @@ ROUNDS = 6
 PRIME = 2147483647
 ADDENDS = (1013904223, 374761393, 668265263, 1442695041, 951274213, 198491317)
 FACTORS = (1103515245, 1664525, 69069, 1812433253, 630360016, 742938285)
+
+
 def sides(n: int) -> tuple[int, int]:
     a = max(1, math.isqrt(max(n - 1, 0)) + 1)
     return a, max(1, -(-n // a))
 
 
 def walk_length(n: int) -> int:
-    """Passes after which every walk has ended: a * b - n of them always suffice, and a pass leaves the range with
-    a chance of 1 / sqrt(n), so 8 passes do for large n. A longer walk would raise an error."""
+    """Passes that a walk may take. One leaves the range with a chance of (a * b - n) / (a * b), below 1 / sqrt(n): 1 / 4 at
+    most, and 1 / 256 from 65,536 rows on. So the odds that a row's walk goes on after the last pass are below 2 ** -128
+    for few rows, 2 ** -64 for more (and 2 ** -106 for 10 ** 8), and then an error is raised, never a wrong place."""
     return 64 if n < 1 << 16 else 8
 
 

@@ -6,6 +6,9 @@ undoing obfuscation (digits and signs for letters, letters drawn out or spaced b
 punctuation and signs within words, and length. Trees are grown on histograms of these features to the logistic
 loss; scores of trees grown on the other folds are calibrated by isotonic regression.
 
+The scores that calibration learns from come from trees and a lexicon that haven't seen the row: rows are dealt to
+``FOLDS`` folds by their texts, and each fold's are scored by a lexicon and trees of the others.
+
 Labels are learned from ``SAMPLE`` rows at most, picked by a hash; only their features reach the driver.
 
 Nulls: a null text is empty and is scored like an empty one; null labels and ids aren't learned from. Rows that
@@ -27,6 +30,7 @@ from .common import ascii_lower, sampled, staged, words
 
 #: Most labelled rows that are learned from, and most learned words.
 SAMPLE, LEARNED = 20_000, 200
+FOLDS = 3
 #: A seed lexicon of insults and the second-person pronouns.
 LEXICON = frozenset("idiot idiots stupid moron moronic loser losers scum trash worthless pathetic disgusting clown dumb fool imbecile jerk hate filth vermin garbage ugly".split())
 SECOND = frozenset("you your yours yourself yourselves u ur youre".split())
@@ -94,15 +98,11 @@ def features(text: str, learned: dict[str, float]) -> list[float]:
     ]
 
 
-def feature_rows(extra: str, learned: dict[str, float]):
-    """A mapInArrow function over (doc_id, text, extra columns) that puts features in the text's place."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = [features(t.as_py() or "", learned) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64())), *[b.column(i) for i in range(2, b.num_columns)]], ["doc_id", "x", *extra.split()])
-
-    return rows
+def feature_rows(batches: Iterator[pa.RecordBatch], lexicons: list[dict[str, float]], extra: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of (doc_id, text, extra columns) with the features under each lexicon in the text's place, one after another."""
+    for b in batches:
+        x = [[v for learned in lexicons for v in features(t.as_py() or "", learned)] for t in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64())), *[b.column(i) for i in range(2, b.num_columns)]], ["doc_id", "x", *extra])
 
 
 class Trees:
@@ -182,15 +182,19 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return knots, np.maximum.accumulate(values)
 
 
-def fit(x: np.ndarray, y: np.ndarray, folds: int = 4) -> dict:
-    """Trees on all rows, and a calibration from scores of trees that haven't seen the row."""
+def fit(x: np.ndarray, y: np.ndarray, by_fold: list[np.ndarray] | None = None, fold: np.ndarray | None = None) -> dict:
+    """Trees on all rows, and a calibration from scores of trees that haven't seen the row.
+
+    ``by_fold`` has for each fold the features of all rows under what was learned without that fold.
+    """
     if not len(y) or y.min() == y.max():
         return {"rate": float(y.mean()) if len(y) else 0.0}
+    if by_fold is None or fold is None:
+        by_fold, fold = [x] * FOLDS, np.arange(len(y)) % FOLDS
     out = np.zeros(len(y))
-    fold = np.arange(len(y)) % folds
-    for f in range(folds):
+    for f, z in enumerate(by_fold):
         seen = fold != f
-        out[~seen] = Trees().fit(x[seen], y[seen]).score(x[~seen]) if 0 < y[seen].sum() < seen.sum() else 0
+        out[~seen] = Trees().fit(z[seen], y[seen]).score(z[~seen]) if 0 < y[seen].sum() < seen.sum() else 0
     return {"trees": Trees().fit(x, y), "knots": isotonic(out, y)}
 
 
@@ -215,20 +219,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # At most ``sample`` pairs of numbers are broadcast.
     there = staged(texts.join(F.broadcast(staged(known, "toxic-labels")), "doc_id"), "toxic-sample")
-    counts = {int(r["y"]): r["count"] for r in there.groupBy("y").count().collect()}
-    pos, neg = counts.get(1, 0), counts.get(0, 0)
-    terms = there.select("y", F.explode(F.array_distinct(words(F.regexp_replace(ascii_lower(F.col("text")), r"[^\p{L}\p{N}]+", " ")))).alias("w"))
-    terms = terms.groupBy("w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).where("t >= 3")
-    odds = F.log((F.col("t") + 0.5) / (pos + 1.0)) - F.log((F.col("c") + 0.5) / (neg + 1.0))
-    # Two deviations below the estimate, so that a few copies of one text don't make words of the lexicon.
-    odds = odds - 2 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    top = terms.select("w", odds.alias("odds")).where("odds > 1").orderBy(F.desc("odds"), "w").limit(LEARNED).collect()
-    learned = {r.w: round(r.odds, 4) for r in top}
-    got = there.mapInArrow(feature_rows("y", learned), "doc_id long, x array<double>, y int").select("doc_id", "y", "x").toArrow()  # bounded rows
-    x = np.array(got.column("x").to_pylist(), dtype=np.float64).reshape(-1, len(NAMES))
+    there = there.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int"))
+    n = np.zeros((2, FOLDS))
+    for r in there.groupBy("y", "fold").count().collect():
+        n[min(1, max(0, r.y)), r.fold] = r["count"]
+    terms = there.select("y", "fold", F.explode(F.array_distinct(words(F.regexp_replace(ascii_lower(F.col("text")), r"[^\p{L}\p{N}]+", " ")))).alias("w"))
+    sums = [F.count_if((F.col("fold") == f) & (F.col("y") == v)).alias(f"{'ct'[v]}{f}") for f in range(FOLDS) for v in (0, 1)]
+    terms = staged(terms.groupBy("w").agg(*sums).where(" + ".join(f"t{f}" for f in range(FOLDS)) + " >= 3"), "toxic-terms")
+    lexicons = [_lexicon(terms, n, [g for g in range(FOLDS) if g != f]) for f in range(FOLDS + 1)]  # the last from all folds
+    rows = lambda batches: feature_rows(batches, lexicons, ["y", "fold"])
+    got = there.select("doc_id", "text", "y", "fold").mapInArrow(rows, "doc_id long, x array<double>, y int, fold int").toArrow()  # bounded rows
+    x = np.array(got.column("x").to_pylist(), dtype=np.float64).reshape(-1, FOLDS + 1, len(NAMES))
     y = got.column("y").to_numpy().astype(np.float64)
-    order = np.lexsort((*x.T, got.column("doc_id").to_numpy()))
-    return {"learned": learned, **fit(x[order], y[order])}
+    order = np.lexsort((*x[:, -1].T, got.column("doc_id").to_numpy()))
+    x, y, fold = x[order], y[order], got.column("fold").to_numpy()[order]
+    return {"learned": lexicons[-1], **fit(x[:, -1], y, [x[:, f] for f in range(FOLDS)], fold)}
+
+
+def _lexicon(terms: DataFrame, n: np.ndarray, folds: list[int]) -> dict[str, float]:
+    """Words of some folds' rows by their log-odds, ``LEARNED`` at most."""
+    neg, pos = n[:, folds].sum(axis=1)
+    t, c = (F.expr(" + ".join(f"{v}{f}" for f in folds)) for v in "tc")
+    odds = F.log((t + 0.5) / F.lit(float(pos + 1))) - F.log((c + 0.5) / F.lit(float(neg + 1)))
+    # Two deviations below the estimate, so that a few copies of one text don't make words of the lexicon.
+    odds = odds - 2 * F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+    top = terms.where(t >= 3).select("w", odds.alias("odds")).where("odds > 1").orderBy(F.desc("odds"), "w").limit(LEARNED).collect()
+    return {r.w: round(r.odds, 4) for r in top}
 
 
 def scored(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
