@@ -92,6 +92,29 @@ def answered(chunk: int, hashes: np.ndarray, answers: dict[tuple[int, int], byte
     return out
 
 
+def asked_blobs(chunk: int, arrays: list[list], names: list[str]) -> pa.RecordBatch:
+    """Rows (bucket, chunk, blobs) of lists that hold one entry a bucket."""
+    n = len(arrays[0])
+    return pa.RecordBatch.from_arrays([pa.array(arrays[0], pa.int32()), pa.array([chunk] * n, pa.int64()), *[pa.array(x, pa.binary()) for x in arrays[1:]]], ["bucket", "chunk", *names])
+
+
+def dealt_to(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of things by their bucket, the buckets that have any, and where each begins."""
+    order = np.argsort(bucket, kind="stable")
+    s = bucket[order]
+    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
+    return order, s[first], np.append(first, len(s))
+
+
+def read_answers(dealt: tuple[np.ndarray, np.ndarray, np.ndarray], answers: dict, step: int, kind: type, base: int = 0) -> np.ndarray:
+    """The answers to things dealt, in the order of the things; ``base`` is added to their buckets' numbers."""
+    order, which, ends = dealt
+    out = np.zeros(len(order), kind)
+    for b, i, j in zip(which.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        out[order[i:j]] = np.frombuffer(answers[step, b + base], kind)
+    return out
+
+
 def answer_rows(step: int, bucket: int, chunks: list[int], lengths: list[int], values: np.ndarray) -> pa.RecordBatch:
     """Split ``values`` (bits or numbers for all questions of a bucket) by the chunks that asked."""
     ends = np.cumsum([0, *lengths])

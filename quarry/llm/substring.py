@@ -1,15 +1,24 @@
 """Substring deduplication over words by fixed-block anchors.
 
-A window of 20 words is removed if its sequence also starts earlier. Every text is cut into non-overlapping
-reference blocks of 10 words, which are indexed; every rolling window of 10 words of every text probes the index.
-Any window of 20 words holds a whole block of its own text, and any equal window holds the same words as a rolling
-window: so both see a hit, and only windows over hits can repeat. Hits are extended: all windows of 20 words that
-hold one are compared by 96 bits of hashes besides the bucket, and each learns if it starts earlier elsewhere.
-Overlapping windows that do make the maximal repeats, which are removed.
-
-Blocks and probes travel as 32-bit fingerprints in buckets, once for each chunk of texts; what they miss nothing by
-is decided by the windows' longer hashes. Rows that share an id are one document: equal starts are no earlier.
-A null id comes before all others. Null texts have no words. An empty table gives no rows.
+A window of 20 words is removed if its sequence also starts earlier: in a document of a smaller id, or of the same id at
+an earlier place. Every text is cut into non-overlapping reference blocks of 10 words, which are indexed; every rolling
+window of 10 words of every text probes the index. Any window of 20 words holds a whole block of its own text, and any
+equal window holds the same words as a rolling window, so both see a hit, and only windows over hits can repeat.
+
+1. Blocks and probes travel as 32-bit fingerprints in buckets, once for each chunk of texts. What is equal there by
+   chance alone is hit for nothing, which costs time and no more.
+2. The anchor of a window is its hit of smallest hash (the leftmost of equals), so equal windows have equal anchors at
+   equal places. Neighbouring windows with the same anchor make a run: the hit with up to 10 words on either side. Of
+   runs of the same words (by 96 bits of hashes besides the bucket) all but the earliest are covered whole.
+3. The earliest run of its words is open if its anchor has runs of other words. Open runs meet by anchor, with their
+   words, and are extended from the hit word by word, to the left and to the right: runs stay together as long as their
+   next words are equal, letter by letter. Windows whose extensions to both sides agree are equal, and each learns
+   if it starts earlier elsewhere. Of an anchor with a crowd of runs the single windows meet by their words alone.
+
+Overlapping windows that start earlier elsewhere make the maximal repeats, which are removed.
+
+Rows that share an id are one document: equal starts are no earlier. A null id comes before all others. Null texts have
+no words. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,10 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed as pk
+from .suffixes import CROWD, SEVERAL, grams_decided, run_hashes
 from .textnum import U, mixed, rolled, row_of, tokens, word_hashes
 
 WINDOW = 20
 BLOCK = 10  # a window of 2 * BLOCK - 1 words and more holds a whole block
+WITHIN = WINDOW - BLOCK + 1  # blocks in a window
+NEVER = U((1 << 64) - 1)
 
 
 class Words:
@@ -53,29 +65,128 @@ def _probes(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return at, h, which, flags
 
 
-def _candidates(c: pk.Chunk, w: Words, answers: dict, buckets: int) -> tuple[np.ndarray, ...]:
-    """Places of windows over hits, in the order (hash, document, place); for each if it opens a hash; the hashes."""
-    at, h, which, _ = _probes(w)
-    hot = np.zeros(len(w.row) + 1, np.int64)
-    hot[at[pk.answered(c.number, h, answers, 1, buckets)[which]] + 1] = 1
-    hot = np.cumsum(hot)
-    windows = w.whole(WINDOW)
-    windows = windows[hot[windows + WINDOW - BLOCK + 1] > hot[windows]]
-    if not len(windows):
-        none = np.zeros(0, np.int64)
-        return none, none.astype(bool), none.astype(np.uint64), none.astype(np.uint64), none
-    a = rolled(w.h, WINDOW)[windows]
-    b = rolled(mixed(w.h ^ U(0x94D049BB133111EB)), WINDOW, k=1)[windows]
-    ids = c.ids[w.row[windows]]
-    order = np.lexsort((w.place[windows], ids, b, a))
-    a, b, windows, ids = a[order], b[order], windows[order], ids[order]
-    opens = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    return windows, opens, a, b, ids
+class Runs:
+    """The runs of a chunk: first and last window, place and hash of the anchor, id and place of the first window."""
+
+    def __init__(self, c: pk.Chunk, w: Words, answers: dict, buckets: int):
+        at, h, which, _ = _probes(w)
+        n = len(w.row)
+        key = np.full(n, NEVER)
+        hot = pk.answered(c.number, h, answers, 1, buckets)[which] if len(h) else np.zeros(0, bool)
+        key[at[hot]] = (h[which[hot]] >> U(32) << U(32)) | at[hot].astype(np.uint64)
+        windows = w.whole(WINDOW)
+        low, width = key, 1
+        while width * 2 <= WITHIN:
+            low = np.minimum(low[:-width], low[width:])
+            width *= 2
+        low = np.minimum(low[windows], low[windows + WITHIN - width]) if len(windows) else np.zeros(0, np.uint64)
+        windows, low = windows[low != NEVER], low[low != NEVER]
+        anchor = (low & U(0xFFFFFFFF)).astype(np.int64)
+        new = np.ones(len(windows), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (windows[1:] != windows[:-1] + 1) | (w.row[windows[1:]] != w.row[windows[:-1]])
+        first = np.flatnonzero(new)
+        self.lo, self.anchor = windows[first], anchor[first]
+        self.hi = windows[np.append(first[1:], len(windows)) - 1] if len(first) else self.lo
+        hash_at = np.zeros(n, np.uint64)
+        hash_at[at] = h[which] if len(h) else 0
+        self.gram, self.ids, self.place = hash_at[self.anchor], c.ids[w.row[self.lo]], w.place[self.lo]
+
+
+def _within(lo: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places of all words of some runs, one run after another."""
+    return np.repeat(lo - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
+
+
+class Kinds:
+    """The runs in the order of (anchor, hashes of their words, id, place)."""
+
+    def __init__(self, w: Words, r: Runs):
+        lens = r.hi - r.lo + WINDOW
+        words = w.h[_within(r.lo, lens)]
+        a = mixed(run_hashes(words, lens, 0) + (r.anchor - r.lo).astype(np.uint64) * U(0x9E3779B97F4A7C15)) if len(lens) else np.zeros(0, np.uint64)
+        b = run_hashes(mixed(words ^ U(0x94D049BB133111EB)), lens, 1)
+        self.at = np.lexsort((r.place, r.ids, b, a, r.gram))
+        self.a, self.b, self.gram, self.ids, self.place = a[self.at], b[self.at], r.gram[self.at], r.ids[self.at], r.place[self.at]
+        new = np.ones(len(self.at), bool)
+        new[1:] = self.gram[1:] != self.gram[:-1]
+        self.opens = new.copy()
+        self.opens[1:] |= (self.a[1:] != self.a[:-1]) | (self.b[1:] != self.b[:-1])
+        self.group, self.first = np.cumsum(self.opens) - 1, np.flatnonzero(self.opens)
+        self.gram_first, self.gram_group = np.flatnonzero(new), np.cumsum(new) - 1
+        self.kinds_here = np.add.reduceat(self.opens.astype(np.int64), self.gram_first) if len(new) else np.zeros(0, np.int64)
+        #: Runs that stand no later than the first of their kind here.
+        of_first = self.first[self.group]
+        self.as_first = (self.ids == self.ids[of_first]) & (self.place == self.place[of_first]) if len(new) else new
+
+    def by_kind(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return pk.dealt_to((self.a[self.first] % U(buckets)).astype(np.int64))
+
+    def by_gram(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return pk.dealt_to((self.gram[self.gram_first] % U(buckets)).astype(np.int64))
+
+    def asked(self, chunk: int, buckets: int) -> pa.RecordBatch:
+        """Two questions: kinds, dealt by their hashes, with the first here; and anchors, with one of their kinds and how
+        many this chunk has. So an anchor that is everywhere costs a few bytes a chunk, and its kinds spread."""
+        arrays: list[list] = [[], [], [], [], []]
+        f, g = self.first, self.gram_first
+        none = np.zeros(len(g), np.dtype([]))
+        for dealt, base, columns in (
+            (self.by_kind(buckets), 0, (self.a[f], (self.b[f] >> U(32)).astype(np.uint32), self.ids[f], self.place[f].astype(np.int32))),
+            (self.by_gram(buckets), buckets, (pk.fingerprint(self.gram[g], buckets), self.a[g], np.minimum(self.kinds_here, 65535).astype(np.uint16), none)),
+        ):
+            order, which, ends = dealt
+            arrays[0] += (which + base).tolist()
+            for out, v in zip(arrays[1:], columns, strict=True):
+                v = v[order]
+                out += [v[i:j].tobytes() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        return pk.asked_blobs(chunk, arrays, ["a", "b", "ids", "places"])
+
+
+class Open:
+    """The earliest runs of their words whose anchor has others: those that are extended, and single windows of crowds."""
 
+    def __init__(self, w: Words, r: Runs, k: Kinds, answers: dict, buckets: int):
+        self.earlier = pk.read_answers(k.by_kind(buckets), answers, 2, np.uint8)
+        gram = pk.read_answers(k.by_gram(buckets), answers, 2, np.uint8, buckets)
+        open_ = k.opens & (self.earlier[k.group] == 0) if len(k.at) else np.zeros(0, bool)
+        of_gram = gram[k.gram_group] if len(k.at) else np.zeros(0, np.uint8)
+        self.some, crowd = np.flatnonzero(open_ & (of_gram == SEVERAL)), np.flatnonzero(open_ & (of_gram == CROWD))
+        self.all = np.concatenate((self.some, crowd))
+        self.dealt = pk.dealt_to((k.gram[self.some] % U(buckets)).astype(np.int64))
+        lo, n = r.lo[k.at[crowd]], r.hi[k.at[crowd]] - r.lo[k.at[crowd]] + 1
+        self.run = np.repeat(np.arange(len(crowd)), n)
+        self.start = _within(lo, n)
+        self.shift = self.start - lo[self.run] if len(crowd) else self.start
+        self.key = run_hashes(w.h[_within(self.start, np.full(len(self.start), WINDOW))], np.full(len(self.start), WINDOW), 0)
+        self.single_dealt = pk.dealt_to((self.key % U(buckets)).astype(np.int64))
+        self.ids, self.place = (k.ids[crowd][self.run], k.place[crowd][self.run] + self.shift) if len(crowd) else (self.start, self.start)
 
-def _unique(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One 64-bit number for each pair of hashes, to deal and order them by."""
-    return mixed(a + (b >> U(32)) * U(0x9E3779B97F4A7C15))
+    def asked(self, c: pk.Chunk, w: Words, r: Runs, k: Kinds, buckets: int) -> pa.RecordBatch:
+        at = k.at[self.some]
+        out: list[list] = [[], [], [], [], [], [], []]
+        groups = (
+            (self.dealt, 0, k.gram[self.some], r.lo[at], r.hi[at] - r.lo[at] + WINDOW, r.anchor[at] - r.lo[at], k.ids[self.some], k.place[self.some]),
+            (self.single_dealt, buckets, self.key, self.start, np.full(len(self.start), WINDOW), np.zeros(len(self.start), np.int64), self.ids, self.place),
+        )
+        raw = c.data.tobytes()
+        for (order, which, ends), base, gram, lo, lens, offset, ids, place in groups:
+            out[0] += (which + base).tolist()
+            for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                some = order[i:j]
+                words = _within(lo[some], lens[some])
+                texts = [raw[a:b] for a, b in zip(w.starts[words].tolist(), w.ends[words].tolist(), strict=True)]
+                columns = (gram[some], lens[some].astype(np.uint8), offset[some].astype(np.uint8), ids[some], place[some].astype(np.int32))
+                for column, v in zip(out[1:], columns, strict=False):
+                    column.append(v.tobytes())
+                out[6].append(b" ".join(texts))
+        return pk.asked_blobs(c.number, out, ["gram", "lens", "offset", "ids", "places", "words"])
+
+    def bits(self, answers: dict, buckets: int) -> np.ndarray:
+        """A bit for each window of the open runs, in the order of ``all``."""
+        crowd = np.zeros(len(self.all) - len(self.some), np.uint32)
+        later = pk.read_answers(self.single_dealt, answers, 3, np.uint32, buckets)
+        np.bitwise_or.at(crowd, self.run, later << self.shift.astype(np.uint32))
+        return np.concatenate((pk.read_answers(self.dealt, answers, 3, np.uint32), crowd))
 
 
 def _hot(rows: list[dict]) -> tuple[list[int], np.ndarray]:
@@ -89,19 +200,66 @@ def _hot(rows: list[dict]) -> tuple[list[int], np.ndarray]:
     return lengths, (block & twice)[which]
 
 
-def _earlier(rows: list[dict]) -> tuple[list[int], np.ndarray]:
-    """Whether a window starts in an earlier document of another chunk."""
-    a = [np.frombuffer(r["a"], np.uint64) for r in rows]
-    lengths = [len(x) for x in a]
-    a = np.concatenate(a)
-    b = np.concatenate([np.frombuffer(r["b"], np.uint32) for r in rows])
-    ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in rows])
-    order = np.lexsort((ids, b, a))
-    opens = np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))
-    least = ids[order][opens][np.cumsum(opens) - 1]
-    out = np.zeros(len(a), bool)
-    out[order] = ids[order] > least
-    return lengths, out
+def _read(rows: list[dict], **types: type) -> list[np.ndarray]:
+    return [np.concatenate([np.frombuffer(r[name], kind) for r in rows]) for name, kind in types.items()]
+
+
+def _later(kind: np.ndarray, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which of several things of a kind stand after the first of it, by id and place."""
+    order = np.lexsort((place, ids, kind))
+    opens = np.ones(len(order), bool)
+    opens[1:] = kind[order][1:] != kind[order][:-1]
+    first = order[np.flatnonzero(opens)[np.cumsum(opens) - 1]]
+    out = np.zeros(len(order), bool)
+    out[order] = (ids[order] != ids[first]) | (place[order] != place[first])
+    return out
+
+
+def _kinds_decided(rows: list[dict]) -> tuple[list[int], np.ndarray]:
+    """For kinds with the first of a chunk: whether another chunk has an earlier one."""
+    a, b, ids, place = _read(rows, a=np.uint64, b=np.uint32, ids=np.int64, places=np.int32)
+    order = np.lexsort((b, a))
+    opens = np.ones(len(order), bool)
+    opens[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    kind = np.zeros(len(order), np.int64)
+    kind[order] = np.cumsum(opens)
+    return [len(r["b"]) // 4 for r in rows], _later(kind, ids, place).astype(np.uint8)
+
+
+def _refined(kind: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Classes of equal class and equal next word; words below zero are none, and make a class for each."""
+    n = len(word)
+    word = np.where(word < 0, np.arange(n), n + word)
+    return np.unique(kind * (int(word.max(initial=0)) + 1) + word, return_inverse=True)[1]
+
+
+def _extended(rows: list[dict]) -> tuple[list[int], np.ndarray]:
+    """For each open run a bit a window: whether it also starts earlier. Hits are extended word by word to both sides."""
+    gram, lens, offset, ids, place = _read(rows, gram=np.uint64, lens=np.uint8, offset=np.uint8, ids=np.int64, places=np.int32)
+    lens, offset = lens.astype(np.int64), offset.astype(np.int64)
+    numbers: dict[bytes, int] = {}
+    words = np.array([numbers.setdefault(x, len(numbers)) for r in rows if r["words"] for x in r["words"].split(b" ")], np.int64)
+    begin = np.cumsum(lens) - lens
+
+    def word(at: np.ndarray) -> np.ndarray:
+        """The word of each run at a place in it, -1 beyond its ends."""
+        there = (at >= 0) & (at < lens)
+        return np.where(there, words[np.where(there, begin + at, 0)], -1)
+
+    hit = np.unique(gram, return_inverse=True)[1].reshape(-1)
+    for i in range(BLOCK):  # a hash may deceive
+        hit = _refined(hit, word(offset + i))
+    left, right = [hit], [hit]
+    for i in range(WITHIN - 1):
+        left.append(_refined(left[-1], word(offset - 1 - i)))
+        right.append(_refined(right[-1], word(offset + BLOCK + i)))
+    bits = np.zeros(len(gram), np.uint32)
+    for i in range(WITHIN):  # windows that begin i words before the hit
+        some = np.flatnonzero((offset >= i) & (offset - i + WINDOW <= lens))
+        both = left[i][some] * np.int64(len(gram)) + right[WITHIN - 1 - i][some]
+        later = _later(both, ids[some], place[some] + offset[some] - i)
+        bits[some] |= later.astype(np.uint32) << (offset[some] - i).astype(np.uint32)
+    return [len(r["lens"]) for r in rows], bits
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,22 +282,34 @@ def _run(docs: DataFrame, id_col: str, text_col: str, with_text: bool) -> DataFr
         _, h, _, flags = _probes(Words(c))
         return pk.asked(c.number, h, {"hash": pk.fingerprint(h, buckets), "flags": flags}, buckets)
 
+    def kinds(c: pk.Chunk, answers: dict) -> pa.RecordBatch:
+        w = Words(c)
+        return Kinds(w, Runs(c, w, answers, buckets)).asked(c.number, buckets)
+
     def extend(c: pk.Chunk, answers: dict) -> pa.RecordBatch:
-        _, opens, a, b, ids = _candidates(c, Words(c), answers, buckets)
-        a, b, ids = a[opens], b[opens], ids[opens]
-        return pk.asked(c.number, _unique(a, b), {"a": a, "b": (b >> U(32)).astype(np.uint32), "ids": ids}, buckets)
+        w = Words(c)
+        r = Runs(c, w, answers, buckets)
+        k = Kinds(w, r)
+        return Open(w, r, k, answers, buckets).asked(c, w, r, k, buckets)
 
     def remove(c: pk.Chunk, answers: dict) -> pa.RecordBatch:
         w = Words(c)
-        windows, opens, a, b, ids = _candidates(c, w, answers, buckets)
+        r = Runs(c, w, answers, buckets)
+        k = Kinds(w, r)
+        o = Open(w, r, k, answers, buckets)
         gone = np.zeros(len(w.row) + 1, np.int64)
-        if len(windows):
-            group = np.cumsum(opens) - 1
-            place = w.place[windows]
-            later = (ids != ids[opens][group]) | (place != place[opens][group])
-            out = windows[later | pk.answered(c.number, _unique(a[opens], b[opens]), answers, 2, buckets)[group]]
-            np.add.at(gone, out, 1)
-            np.subtract.at(gone, out + WINDOW, 1)
+        if len(k.at):
+            whole = k.at[~k.as_first | (o.earlier[k.group] > 0)]
+            np.add.at(gone, r.lo[whole], 1)
+            np.subtract.at(gone, r.hi[whole] + WINDOW, 1)
+            # Runs that stand where the first of their words does share what it found.
+            found = np.zeros(len(k.first), np.uint32)
+            found[k.group[o.all]] = o.bits(answers, buckets)
+            mine = np.flatnonzero(k.as_first & (found[k.group] > 0))
+            for i in range(WITHIN):
+                lo = r.lo[k.at[mine[(found[k.group[mine]] >> np.uint32(i)) & np.uint32(1) > 0]]] + i
+                np.add.at(gone, lo, 1)
+                np.subtract.at(gone, lo + WINDOW, 1)
         keep = np.cumsum(gone[:-1]) == 0
         # The kept words of the chunk, each with a space after it; rows are cut out of these.
         s, e = w.starts[keep], w.ends[keep]
@@ -163,6 +333,8 @@ def _run(docs: DataFrame, id_col: str, text_col: str, with_text: bool) -> DataFr
         return pa.RecordBatch.from_arrays(columns, names)
 
     hot = pk.meet(pk.ask(packed, None, probe, "bucket int, chunk long, hash binary, flags binary"), 1, _hot)
-    seen = pk.meet(pk.ask(packed, hot, extend, "bucket int, chunk long, a binary, b binary, ids binary"), 2, _earlier)
+    known = pk.meet(pk.ask(packed, hot, kinds, "bucket int, chunk long, a binary, b binary, ids binary, places binary"), 2, lambda rows: _kinds_decided(rows) if rows[0]["bucket"] < buckets else grams_decided(rows))
+    both = hot.unionByName(known)
+    found = pk.meet(pk.ask(packed, both, extend, "bucket int, chunk long, gram binary, lens binary, offset binary, ids binary, places binary, words binary"), 3, _extended)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return pk.ask(packed, hot.unionByName(seen), remove, schema)
+    return pk.ask(packed, both.unionByName(found), remove, schema)

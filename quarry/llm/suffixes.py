@@ -92,13 +92,14 @@ def _anchors(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, which, (least != most).astype(np.uint8)
 
 
-def _sum_hashes(data: np.ndarray, lens: np.ndarray, k: int) -> np.ndarray:
+def run_hashes(values: np.ndarray, lens: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each of several runs of values that stand one after another; ``k`` picks one of two bases."""
     if not len(lens):
         return np.zeros(0, np.uint64)
     first = np.cumsum(lens) - lens
     power = np.cumprod(np.concatenate(([U(1)], np.full(int(lens.max()), BASES[k]))))
-    within = np.arange(len(data)) - np.repeat(first, lens)
-    return mixed(np.add.reduceat(_T[data] * power[within], first) + lens.astype(np.uint64) * BASES[1 - k])
+    within = np.arange(len(values)) - np.repeat(first, lens)
+    return mixed(np.add.reduceat(values * power[within], first) + lens.astype(np.uint64) * BASES[1 - k])
 
 
 class Kinds:
@@ -109,8 +110,8 @@ class Kinds:
         at = np.flatnonzero(pk.answered(c.number, h, answers, 1, buckets)[which]) if len(h) else np.zeros(0, np.int64)
         data, lens = runs.texts(c, at)
         # Where the anchor stands in the run is part of what it is.
-        a = mixed(_sum_hashes(data, lens, 0) + (runs.anchor - runs.lo)[at].astype(np.uint64) * U(0x9E3779B97F4A7C15)) if len(at) else np.zeros(0, np.uint64)
-        b = _sum_hashes(data, lens, 1)
+        a = mixed(run_hashes(_T[data], lens, 0) + (runs.anchor - runs.lo)[at].astype(np.uint64) * U(0x9E3779B97F4A7C15)) if len(at) else np.zeros(0, np.uint64)
+        b = run_hashes(_T[data], lens, 1)
         order = np.lexsort((runs.ids[at], b, a, runs.gram[at]))
         self.at, self.a, self.b = at[order], a[order], b[order]
         self.gram, self.ids = runs.gram[self.at], runs.ids[self.at]
@@ -127,23 +128,23 @@ class Kinds:
         self.kinds_here = np.add.reduceat(self.opens.astype(np.int64), self.gram_first) if n else np.zeros(0, np.int64)
 
     def by_kind(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return _dealt((self.a[self.opens] % U(buckets)).astype(np.int64))
+        return pk.dealt_to((self.a[self.opens] % U(buckets)).astype(np.int64))
 
     def by_gram(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return _dealt((self.grams % U(buckets)).astype(np.int64))
+        return pk.dealt_to((self.grams % U(buckets)).astype(np.int64))
 
 
 class Open:
     """The runs that are still open: those whose strings are sorted, and the strings of those in a crowd."""
 
     def __init__(self, c: pk.Chunk, runs: Runs, k: Kinds, answers: dict, buckets: int):
-        self.earlier = _read(k.by_kind(buckets), answers, 2, np.uint8)
-        gram = _read(k.by_gram(buckets), answers, 2, np.uint8, buckets)
+        self.earlier = pk.read_answers(k.by_kind(buckets), answers, 2, np.uint8)
+        gram = pk.read_answers(k.by_gram(buckets), answers, 2, np.uint8, buckets)
         open_ = k.opens & (self.earlier[k.group] == 0) if len(k.at) else np.zeros(0, bool)
         of_gram = gram[k.gram_group] if len(k.at) else np.zeros(0, np.uint8)
         self.some, crowd = np.flatnonzero(open_ & (of_gram == SEVERAL)), np.flatnonzero(open_ & (of_gram == CROWD))
         self.all = np.concatenate((self.some, crowd))
-        self.dealt = _dealt((k.gram[self.some] % U(buckets)).astype(np.int64))
+        self.dealt = pk.dealt_to((k.gram[self.some] % U(buckets)).astype(np.int64))
         lo, n = runs.lo[k.at[crowd]], runs.hi[k.at[crowd]] - runs.lo[k.at[crowd]] + 1
         self.run = np.repeat(np.arange(len(crowd)), n)
         self.within = np.arange(len(self.run)) - np.repeat(np.cumsum(n) - n, n)
@@ -156,14 +157,14 @@ class Open:
         ids, kind = ids[self.order], kind[self.order]
         first = np.concatenate(([True], kind[1:] != kind[:-1])) if len(kind) else np.zeros(0, bool)
         self.strings, self.ids, self.string = strings[self.order[first]], ids[first], np.cumsum(first) - 1
-        self.a = _sum_hashes(self.strings.reshape(-1), np.full(len(self.strings), WINDOW), 0)
+        self.a = run_hashes(_T[self.strings.reshape(-1)], np.full(len(self.strings), WINDOW), 0)
         self.later_here = ids > self.ids[self.string] if len(ids) else first
-        self.strings_dealt = _dealt((self.a % U(buckets)).astype(np.int64))
+        self.strings_dealt = pk.dealt_to((self.a % U(buckets)).astype(np.int64))
 
     def bits(self, answers: dict, buckets: int) -> np.ndarray:
         """A bit for each string of the open runs, in the order of ``all``."""
-        sorted_ = _read(self.dealt, answers, 3, np.uint32)
-        later = self.later_here | (_read(self.strings_dealt, answers, 3, np.uint32, buckets)[self.string] > 0) if len(self.run) else self.later_here
+        sorted_ = pk.read_answers(self.dealt, answers, 3, np.uint32)
+        later = self.later_here | (pk.read_answers(self.strings_dealt, answers, 3, np.uint32, buckets)[self.string] > 0) if len(self.run) else self.later_here
         crowd = np.zeros(len(self.all) - len(self.some), np.uint32)
         np.bitwise_or.at(crowd, self.run[self.order], later.astype(np.uint32) << self.within[self.order].astype(np.uint32))
         return np.concatenate((sorted_, crowd))
@@ -183,34 +184,14 @@ def _kinds_asked(c: pk.Chunk, k: Kinds, buckets: int) -> pa.RecordBatch:
     o = k.opens
     for dealt, base, columns in (
         (k.by_kind(buckets), 0, (k.a[o], (k.b[o] >> U(32)).astype(np.uint32), k.first_id)),
-        (k.by_gram(buckets), buckets, (pk.fingerprint(k.grams, buckets), (k.a[k.gram_first] >> U(32)).astype(np.uint32), np.minimum(k.kinds_here, 65535).astype(np.uint16))),
+        (k.by_gram(buckets), buckets, (pk.fingerprint(k.grams, buckets), k.a[k.gram_first], np.minimum(k.kinds_here, 65535).astype(np.uint16))),
     ):
         order, which, ends = dealt
         arrays[0] += (which + base).tolist()
         for out, v in zip(arrays[1:], columns, strict=True):
             v = v[order]
             out += [v[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
-    return _asked(c.number, arrays, ["a", "b", "ids"])
-
-
-def _asked(chunk: int, arrays: list[list], names: list[str]) -> pa.RecordBatch:
-    n = len(arrays[0])
-    return pa.RecordBatch.from_arrays([pa.array(arrays[0], pa.int32()), pa.array([chunk] * n, pa.int64()), *[pa.array(x, pa.binary()) for x in arrays[1:]]], ["bucket", "chunk", *names])
-
-
-def _dealt(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.argsort(bucket, kind="stable")
-    s = bucket[order]
-    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
-    return order, s[first], np.append(first, len(s))
-
-
-def _read(dealt: tuple[np.ndarray, np.ndarray, np.ndarray], answers: dict, step: int, kind: type, base: int = 0) -> np.ndarray:
-    order, which, ends = dealt
-    out = np.zeros(len(order), kind)
-    for b, i, j in zip(which.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-        out[order[i:j]] = np.frombuffer(answers[step, b + base], kind)
-    return out
+    return pk.asked_blobs(c.number, arrays, ["a", "b", "ids"])
 
 
 #: Answers about a gram: all its runs are of one kind; there are several kinds; more than one task should sort.
@@ -232,23 +213,19 @@ def _earlier(rows: list[dict]) -> tuple[list[int], np.ndarray]:
     return lengths, out
 
 
-def _kinds_decided(buckets: int):
-    def decide(rows: list[dict]) -> tuple[list[int], np.ndarray]:
-        if rows[0]["bucket"] < buckets:
-            return _earlier(rows)
-        marks = [np.frombuffer(r["a"], np.uint32) for r in rows]
-        kind = np.concatenate([np.frombuffer(r["b"], np.uint32) for r in rows])
-        here = np.concatenate([np.frombuffer(r["ids"], np.uint16) for r in rows]).astype(np.int64)
-        _, which = np.unique(np.concatenate(marks), return_inverse=True)
-        n = int(which.max(initial=-1)) + 1
-        least, most = np.full(n, 1 << 32), np.full(n, -1)
-        np.minimum.at(least, which, kind)
-        np.maximum.at(most, which, kind)
-        several = (least != most) | (np.bincount(which, here > 1, n) > 0)
-        crowd = several & (np.bincount(which, here, n) > CROWDED)
-        return [len(x) for x in marks], np.where(crowd, CROWD, np.where(several, SEVERAL, ONE)).astype(np.uint8)[which]
-
-    return decide
+def grams_decided(rows: list[dict]) -> tuple[list[int], np.ndarray]:
+    """For anchors, each with a kind of a chunk's runs and how many it has: if there is one kind, several, or a crowd."""
+    marks = [np.frombuffer(r["a"], np.uint32) for r in rows]
+    kind = np.concatenate([np.frombuffer(r["b"], np.uint64) for r in rows])
+    here = np.concatenate([np.frombuffer(r["ids"], np.uint16) for r in rows]).astype(np.int64)
+    _, which = np.unique(np.concatenate(marks), return_inverse=True)
+    n = int(which.max(initial=-1)) + 1
+    least, most = np.full(n, U((1 << 64) - 1)), np.zeros(n, np.uint64)
+    np.minimum.at(least, which, kind)
+    np.maximum.at(most, which, kind)
+    several = (least != most) | (np.bincount(which, here > 1, n) > 0)
+    crowd = several & (np.bincount(which, here, n) > CROWDED)
+    return [len(x) for x in marks], np.where(crowd, CROWD, np.where(several, SEVERAL, ONE)).astype(np.uint8)[which]
 
 
 # --- the suffix sort ---------------------------------------------------------------------------------------------
@@ -397,7 +374,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             whole, none = np.full(len(at), WINDOW, np.uint8), np.zeros(len(at), np.uint8)
             for column, v in zip(out[1:], (o.a[at], whole, none, o.ids[at], o.strings[at]), strict=True):
                 column.append(v.tobytes())
-        return _asked(c.number, out, ["gram", "lens", "place", "ids", "text"])
+        return pk.asked_blobs(c.number, out, ["gram", "lens", "place", "ids", "text"])
 
     def remove(c: pk.Chunk, answers: dict) -> pa.RecordBatch:
         runs = Runs(c)
@@ -434,7 +411,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.RecordBatch.from_arrays(columns, names)
 
     shared = pk.meet(pk.ask(packed, None, anchors, "bucket int, chunk long, hash binary, flags binary"), 1, _shared)
-    known = pk.meet(pk.ask(packed, shared, kinds, "bucket int, chunk long, a binary, b binary, ids binary"), 2, _kinds_decided(buckets))
+    known = pk.meet(pk.ask(packed, shared, kinds, "bucket int, chunk long, a binary, b binary, ids binary"), 2, lambda rows: _earlier(rows) if rows[0]["bucket"] < buckets else grams_decided(rows))
     both = shared.unionByName(known)
     found = pk.meet(pk.ask(packed, both, texts, "bucket int, chunk long, gram binary, lens binary, place binary, ids binary, text binary"), 3, _open_decided)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_bytes

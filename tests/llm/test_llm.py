@@ -128,9 +128,10 @@ def removed_bytes(rows):
     return out
 
 
-@pytest.mark.parametrize("chunk", [3000, 2 << 20])
-def test_substring_dedup(docs, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "crowded"), [(3000, 4096), (3000, 2), (2 << 20, 4096), (2 << 20, 2)])
+def test_substring_dedup(docs, monkeypatch, chunk, crowded):
     monkeypatch.setattr(packed, "CHUNK", chunk)
+    monkeypatch.setattr(suffixes, "CROWDED", crowded)
     rows, df = docs
     want = removed_words([r[:2] for r in rows])
     assert sum(x[1] for x in want.values()) > 500
@@ -169,6 +170,32 @@ def test_dedup_of_odd_rows(odd, none):
         assert f(none).count() == 0
 
 
+def test_hits_are_extended_word_by_word():
+    """Windows are found equal by their words alone, also where hashes of hits deceive."""
+    r = random.Random(8)
+    runs = []
+    for _ in range(300):
+        w = ["a"] * r.randint(20, 30)
+        for _ in range(r.randint(0, 2)):
+            w[r.randrange(len(w))] = "b"
+        runs.append((w, r.randint(0, min(10, len(w) - 10)), r.randint(0, 40), r.randint(0, 90)))
+    rows = []
+    for i in range(0, 300, 50):
+        part = runs[i : i + 50]
+        column = lambda k, t: np.array([x[k] for x in part], t).tobytes()  # noqa: E731, B023
+        rows.append({"gram": np.ones(50, np.uint64).tobytes(), "lens": bytes(len(x[0]) for x in part), "offset": column(1, np.uint8), "ids": column(2, np.int64), "places": column(3, np.int32), "words": " ".join(" ".join(x[0]) for x in part).encode()})
+    lengths, bits = substring._extended(rows)
+    windows = collections.defaultdict(list)
+    each = [(n, t) for n, (w, off, _, _) in enumerate(runs) for t in range(len(w) - 19) if t <= off <= t + 10]
+    for n, t in each:
+        w, off, d, p = runs[n]
+        windows[off - t, tuple(w[t : t + 20])].append((d, p + t))
+    assert lengths == [50] * 6 and any(len(set(x)) > 1 for x in windows.values())
+    for n, t in each:
+        w, off, d, p = runs[n]
+        assert bool(bits[n] >> t & 1) == ((d, p + t) > min(windows[off - t, tuple(w[t : t + 20])]))
+
+
 def test_suffix_sort():
     r = np.random.default_rng(3)
     text = r.integers(97, 99, 5000, dtype=np.uint8)
