@@ -115,6 +115,39 @@ def read_answers(dealt: tuple[np.ndarray, np.ndarray, np.ndarray], answers: dict
     return out
 
 
+def places(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places that some runs cover, one run after another."""
+    return np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
+
+
+def same_bytes(data: np.ndarray, i: np.ndarray, j: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Whether runs of ``lens`` bytes (one at least) that begin at ``i`` and at ``j`` are equal, byte by byte."""
+    out = np.ones(len(lens), bool)
+    for n in range(0, len(lens), 1 << 14):
+        some = slice(n, n + (1 << 14))
+        differs = data[places(i[some], lens[some])] != data[places(j[some], lens[some])]
+        out[some] = ~np.logical_or.reduceat(differs, np.cumsum(lens[some]) - lens[some]) if len(differs) else True
+    return out
+
+
+def classes(keys: list[np.ndarray], data: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The class of each run of ``data``, which holds them one after another: equal keys, and equal bytes, as is verified."""
+    begin = np.cumsum(lens) - lens
+    order = np.lexsort((lens, *keys))
+    opens = np.ones(len(order), bool)
+    opens[1:] = lens[order][1:] != lens[order][:-1]
+    for k in keys:
+        opens[1:] |= k[order][1:] != k[order][:-1]
+    near = np.flatnonzero(~opens)
+    if not same_bytes(data, begin[order[near - 1]], begin[order[near]], lens[order[near]]).all():  # keys deceived
+        raw, numbers = data.tobytes(), {}
+        whole = zip(begin.tolist(), lens.tolist(), *[k.tolist() for k in keys], strict=True)
+        return np.array([numbers.setdefault((raw[b : b + n], *k), len(numbers)) for b, n, *k in whole], np.int64)
+    out = np.zeros(len(order), np.int64)
+    out[order] = np.cumsum(opens) - 1
+    return out
+
+
 def answer_rows(step: int, bucket: int, chunks: list[int], lengths: list[int], values: np.ndarray) -> pa.RecordBatch:
     """Split ``values`` (bits or numbers for all questions of a bucket) by the chunks that asked."""
     ends = np.cumsum([0, *lengths])

@@ -10,7 +10,7 @@ equal window holds the same words as a rolling window, so both see a hit, and on
 2. The anchor of a window is its hit of smallest hash (the leftmost of equals), so equal windows have equal anchors at
    equal places. Neighbouring windows with the same anchor make a run: the hit with up to 10 words on either side. Of
    runs of the same words (by 96 bits of hashes besides the bucket) all but the earliest are covered whole.
-3. The earliest run of its words is open if its anchor has runs of other words. Open runs meet by anchor, with their
+3. The earliest run of its words is open if its anchor has runs of other words (told by 64 bits of a hash). Open runs meet by anchor, with their
    words, and are extended from the hit word by word, to the left and to the right: runs stay together as long as their
    next words are equal, letter by letter. Windows whose extensions to both sides agree are equal, and each learns
    if it starts earlier elsewhere. Of an anchor with a crowd of runs the single windows meet by their words alone.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import packed as pk
 from .suffixes import CROWD, SEVERAL, grams_decided, run_hashes
-from .textnum import U, mixed, rolled, row_of, tokens, word_hashes
+from .textnum import WORDS, U, mixed, rolled, row_of, tokens, word_hashes
 
 WINDOW = 20
 BLOCK = 10  # a window of 2 * BLOCK - 1 words and more holds a whole block
@@ -47,8 +47,22 @@ class Words:
         self.starts, self.ends, self.first = tokens(c.data, c.offsets)
         self.row = row_of(self.first)
         self.h = word_hashes(c.data, self.starts, self.ends)
+        self.joined(c.data)
         self.place = np.arange(len(self.row)) - self.first[self.row] if len(self.row) else np.zeros(0, np.int64)
 
+    def joined(self, data: np.ndarray) -> None:
+        """Make ``text`` the chunk's words with a space after each, and ``begin`` the place of each word in it and its end."""
+        lens = self.ends - self.starts + 1
+        self.begin = np.concatenate(([0], np.cumsum(lens)))
+        self.text = np.full(int(self.begin[-1]), 32, np.uint8)
+        for i in range(0, len(lens), WORDS):
+            some = slice(i, i + WORDS)
+            self.text[pk.places(self.begin[:-1][some], lens[some] - 1)] = data[pk.places(self.starts[some], lens[some] - 1)]
+
+    def bytes_of(self, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the text of ``n`` words from each place begins, and how many bytes it has with the space at its end."""
+        return self.begin[lo], self.begin[lo + n] - self.begin[lo]
+
     def whole(self, n: int) -> np.ndarray:
         """Places where ``n`` words of one row begin."""
         if len(self.row) < n:
@@ -92,17 +106,12 @@ class Runs:
         self.gram, self.ids, self.place = hash_at[self.anchor], c.ids[w.row[self.lo]], w.place[self.lo]
 
 
-def _within(lo: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """The places of all words of some runs, one run after another."""
-    return np.repeat(lo - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
-
-
 class Kinds:
     """The runs in the order of (anchor, hashes of their words, id, place)."""
 
     def __init__(self, w: Words, r: Runs):
         lens = r.hi - r.lo + WINDOW
-        words = w.h[_within(r.lo, lens)]
+        words = w.h[pk.places(r.lo, lens)]
         a = mixed(run_hashes(words, lens, 0) + (r.anchor - r.lo).astype(np.uint64) * U(0x9E3779B97F4A7C15)) if len(lens) else np.zeros(0, np.uint64)
         b = run_hashes(mixed(words ^ U(0x94D049BB133111EB)), lens, 1)
         self.at = np.lexsort((r.place, r.ids, b, a, r.gram))
@@ -111,6 +120,12 @@ class Kinds:
         new[1:] = self.gram[1:] != self.gram[:-1]
         self.opens = new.copy()
         self.opens[1:] |= (self.a[1:] != self.a[:-1]) | (self.b[1:] != self.b[:-1])
+        # Letters have the last word. Runs that they part are compared again where their kinds meet.
+        self.begin, self.size = (x[self.at] for x in w.bytes_of(r.lo, lens))
+        self.offset, near = (r.anchor - r.lo)[self.at], np.flatnonzero(~self.opens)
+        self.opens[near] = (self.size[near] != self.size[near - 1]) | (self.offset[near] != self.offset[near - 1])
+        near = near[~self.opens[near]]
+        self.opens[near] = ~pk.same_bytes(w.text, self.begin[near - 1], self.begin[near], self.size[near])
         self.group, self.first = np.cumsum(self.opens) - 1, np.flatnonzero(self.opens)
         self.gram_first, self.gram_group = np.flatnonzero(new), np.cumsum(new) - 1
         self.kinds_here = np.add.reduceat(self.opens.astype(np.int64), self.gram_first) if len(new) else np.zeros(0, np.int64)
@@ -124,22 +139,29 @@ class Kinds:
     def by_gram(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return pk.dealt_to((self.gram[self.gram_first] % U(buckets)).astype(np.int64))
 
-    def asked(self, chunk: int, buckets: int) -> pa.RecordBatch:
-        """Two questions: kinds, dealt by their hashes, with the first here; and anchors, with one of their kinds and how
-        many this chunk has. So an anchor that is everywhere costs a few bytes a chunk, and its kinds spread."""
-        arrays: list[list] = [[], [], [], [], []]
+    def asked(self, c: pk.Chunk, w: Words, buckets: int) -> pa.RecordBatch:
+        """Two questions: kinds with their words, dealt by a hash of these, with the first here; and anchors, with one of
+        their kinds and how many this chunk has. So an anchor that is everywhere costs a few bytes a chunk."""
+        arrays: list[list] = [[] for _ in range(8)]
         f, g = self.first, self.gram_first
-        none = np.zeros(len(g), np.dtype([]))
-        for dealt, base, columns in (
-            (self.by_kind(buckets), 0, (self.a[f], (self.b[f] >> U(32)).astype(np.uint32), self.ids[f], self.place[f].astype(np.int32))),
-            (self.by_gram(buckets), buckets, (pk.fingerprint(self.gram[g], buckets), self.a[g], np.minimum(self.kinds_here, 65535).astype(np.uint16), none)),
-        ):
-            order, which, ends = dealt
-            arrays[0] += (which + base).tolist()
-            for out, v in zip(arrays[1:], columns, strict=True):
-                v = v[order]
-                out += [v[i:j].tobytes() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-        return pk.asked_blobs(chunk, arrays, ["a", "b", "ids", "places"])
+        order, which, ends = self.by_kind(buckets)
+        columns = (self.a[f], self.ids[f], self.place[f].astype(np.int32), self.size[f].astype(np.uint32), self.offset[f].astype(np.uint8))
+        arrays[0] += which.tolist()
+        for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            some = order[i:j]
+            for out, v in zip((arrays[1], *arrays[3:7]), columns, strict=True):
+                out.append(v[some].tobytes())
+            arrays[2].append(None)
+            arrays[7].append(w.text[pk.places(self.begin[f[some]], self.size[f[some]])].tobytes())
+        order, which, ends = self.by_gram(buckets)
+        columns = (pk.fingerprint(self.gram[g], buckets), self.a[g] ^ self.b[g], np.minimum(self.kinds_here, 65535).astype(np.uint16))
+        arrays[0] += (which + buckets).tolist()
+        for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            for out, v in zip(arrays[1:4], columns, strict=True):
+                out.append(v[order[i:j]].tobytes())
+            for out in arrays[4:]:
+                out.append(None)
+        return pk.asked_blobs(c.number, arrays, ["a", "b", "ids", "places", "sizes", "offset", "words"])
 
 
 class Open:
@@ -155,9 +177,9 @@ class Open:
         self.dealt = pk.dealt_to((k.gram[self.some] % U(buckets)).astype(np.int64))
         lo, n = r.lo[k.at[crowd]], r.hi[k.at[crowd]] - r.lo[k.at[crowd]] + 1
         self.run = np.repeat(np.arange(len(crowd)), n)
-        self.start = _within(lo, n)
+        self.start = pk.places(lo, n)
         self.shift = self.start - lo[self.run] if len(crowd) else self.start
-        self.key = run_hashes(w.h[_within(self.start, np.full(len(self.start), WINDOW))], np.full(len(self.start), WINDOW), 0)
+        self.key = run_hashes(w.h[pk.places(self.start, np.full(len(self.start), WINDOW))], np.full(len(self.start), WINDOW), 0)
         self.single_dealt = pk.dealt_to((self.key % U(buckets)).astype(np.int64))
         self.ids, self.place = (k.ids[crowd][self.run], k.place[crowd][self.run] + self.shift) if len(crowd) else (self.start, self.start)
 
@@ -168,17 +190,14 @@ class Open:
             (self.dealt, 0, k.gram[self.some], r.lo[at], r.hi[at] - r.lo[at] + WINDOW, r.anchor[at] - r.lo[at], k.ids[self.some], k.place[self.some]),
             (self.single_dealt, buckets, self.key, self.start, np.full(len(self.start), WINDOW), np.zeros(len(self.start), np.int64), self.ids, self.place),
         )
-        raw = c.data.tobytes()
         for (order, which, ends), base, gram, lo, lens, offset, ids, place in groups:
             out[0] += (which + base).tolist()
             for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 some = order[i:j]
-                words = _within(lo[some], lens[some])
-                texts = [raw[a:b] for a, b in zip(w.starts[words].tolist(), w.ends[words].tolist(), strict=True)]
                 columns = (gram[some], lens[some].astype(np.uint8), offset[some].astype(np.uint8), ids[some], place[some].astype(np.int32))
                 for column, v in zip(out[1:], columns, strict=False):
                     column.append(v.tobytes())
-                out[6].append(b" ".join(texts))
+                out[6].append(w.text[pk.places(*w.bytes_of(lo[some], lens[some]))].tobytes())
         return pk.asked_blobs(c.number, out, ["gram", "lens", "offset", "ids", "places", "words"])
 
     def bits(self, answers: dict, buckets: int) -> np.ndarray:
@@ -217,13 +236,9 @@ def _later(kind: np.ndarray, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 def _kinds_decided(rows: list[dict]) -> tuple[list[int], np.ndarray]:
     """For kinds with the first of a chunk: whether another chunk has an earlier one."""
-    a, b, ids, place = _read(rows, a=np.uint64, b=np.uint32, ids=np.int64, places=np.int32)
-    order = np.lexsort((b, a))
-    opens = np.ones(len(order), bool)
-    opens[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    kind = np.zeros(len(order), np.int64)
-    kind[order] = np.cumsum(opens)
-    return [len(r["b"]) // 4 for r in rows], _later(kind, ids, place).astype(np.uint8)
+    a, ids, place, sizes, offset, words = _read(rows, a=np.uint64, ids=np.int64, places=np.int32, sizes=np.uint32, offset=np.uint8, words=np.uint8)
+    kind = pk.classes([a, offset], words, sizes.astype(np.int64))
+    return [len(r["offset"]) for r in rows], _later(kind, ids, place).astype(np.uint8)
 
 
 def _refined(kind: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -238,7 +253,7 @@ def _extended(rows: list[dict]) -> tuple[list[int], np.ndarray]:
     gram, lens, offset, ids, place = _read(rows, gram=np.uint64, lens=np.uint8, offset=np.uint8, ids=np.int64, places=np.int32)
     lens, offset = lens.astype(np.int64), offset.astype(np.int64)
     numbers: dict[bytes, int] = {}
-    words = np.array([numbers.setdefault(x, len(numbers)) for r in rows if r["words"] for x in r["words"].split(b" ")], np.int64)
+    words = np.array([numbers.setdefault(x, len(numbers)) for r in rows if r["words"] for x in r["words"].split(b" ")[:-1]], np.int64)
     begin = np.cumsum(lens) - lens
 
     def word(at: np.ndarray) -> np.ndarray:
@@ -284,7 +299,7 @@ def _run(docs: DataFrame, id_col: str, text_col: str, with_text: bool) -> DataFr
 
     def kinds(c: pk.Chunk, answers: dict) -> pa.RecordBatch:
         w = Words(c)
-        return Kinds(w, Runs(c, w, answers, buckets)).asked(c.number, buckets)
+        return Kinds(w, Runs(c, w, answers, buckets)).asked(c, w, buckets)
 
     def extend(c: pk.Chunk, answers: dict) -> pa.RecordBatch:
         w = Words(c)
@@ -312,18 +327,10 @@ def _run(docs: DataFrame, id_col: str, text_col: str, with_text: bool) -> DataFr
                 np.subtract.at(gone, lo + WINDOW, 1)
         keep = np.cumsum(gone[:-1]) == 0
         # The kept words of the chunk, each with a space after it; rows are cut out of these.
-        s, e = w.starts[keep], w.ends[keep]
-        lens = e - s + 1
-        ends = np.concatenate(([0], np.cumsum(lens)))
-        text = np.full(int(ends[-1]), 32, np.uint8)
-        for i in range(0, len(s), 1 << 17):
-            n, base = lens[i : i + (1 << 17)] - 1, ends[i : i + (1 << 17)]
-            n = n[: len(base)]
-            base = base[: len(n)]
-            within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            text[np.repeat(base, n) + within] = c.data[np.repeat(s[i : i + (1 << 17)], n) + within]
+        w.starts, w.ends = w.starts[keep], w.ends[keep]
+        w.joined(c.data)
+        ends, raw = w.begin, w.text.tobytes()
         upto = np.concatenate(([0], np.cumsum(keep)))[w.first]
-        raw = text.tobytes()
         texts = [raw[ends[i] : max(ends[i], ends[j] - 1)] for i, j in zip(upto[:-1], upto[1:], strict=True)]
         n_words = np.diff(w.first)
         columns = [pa.array(c.raw_ids, pa.int64()), pa.array(n_words), pa.array(n_words - np.diff(upto)), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())]
@@ -333,7 +340,7 @@ def _run(docs: DataFrame, id_col: str, text_col: str, with_text: bool) -> DataFr
         return pa.RecordBatch.from_arrays(columns, names)
 
     hot = pk.meet(pk.ask(packed, None, probe, "bucket int, chunk long, hash binary, flags binary"), 1, _hot)
-    known = pk.meet(pk.ask(packed, hot, kinds, "bucket int, chunk long, a binary, b binary, ids binary, places binary"), 2, lambda rows: _kinds_decided(rows) if rows[0]["bucket"] < buckets else grams_decided(rows))
+    known = pk.meet(pk.ask(packed, hot, kinds, "bucket int, chunk long, a binary, b binary, ids binary, places binary, sizes binary, offset binary, words binary"), 2, lambda rows: _kinds_decided(rows) if rows[0]["bucket"] < buckets else grams_decided(rows))
     both = hot.unionByName(known)
     found = pk.meet(pk.ask(packed, both, extend, "bucket int, chunk long, gram binary, lens binary, offset binary, ids binary, places binary, words binary"), 3, _extended)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text

@@ -5,8 +5,9 @@ can repeat are found first, so that only these are sorted:
 
 1. The anchor of a string is its 24-byte gram of smallest hash (the leftmost of equals). Equal strings have equal
    anchors at equal places. A chunk asks which of its anchors occur in other documents.
-2. Neighbouring strings with the same anchor make a run. Of equal runs all but the one of the smallest id are
-   covered whole. A run that is its kind's first and whose anchor has runs of other kinds is still open.
+2. Neighbouring strings with the same anchor make a run. Equal runs meet by a hash, with their bytes, which are compared:
+   of equal runs all but the one of the smallest id are covered whole. A run that is its kind's first and whose anchor
+   has runs of other kinds (told by 64 bits of a hash) is still open.
 3. The open runs' texts meet by anchor and their suffixes are sorted by a mergesort. Two suffixes are compared by
    binary search for their longest common extension over prefix polynomial hashes, so in a logarithmic number of
    steps. Neighbours that agree over 50 bytes are verified byte by byte; a false match sorts anew under another hash.
@@ -119,6 +120,12 @@ class Kinds:
         self.opens = np.ones(n, bool)
         if n:
             self.opens[1:] = (self.gram[1:] != self.gram[:-1]) | (self.a[1:] != self.a[:-1]) | (self.b[1:] != self.b[:-1])
+            # Bytes have the last word. Runs that they part are compared again where their kinds meet.
+            lo, lens = runs.lo[self.at], runs.hi[self.at] - runs.lo[self.at] + WINDOW
+            offset, near = runs.anchor[self.at] - lo, np.flatnonzero(~self.opens)
+            self.opens[near] = (lens[near] != lens[near - 1]) | (offset[near] != offset[near - 1])
+            near = near[~self.opens[near]]
+            self.opens[near] = ~pk.same_bytes(c.data, lo[near - 1], lo[near], lens[near])
         self.group = np.cumsum(self.opens) - 1
         self.first_id = self.ids[self.opens]
         new = np.concatenate(([True], self.gram[1:] != self.gram[:-1])) if n else np.zeros(0, bool)
@@ -177,40 +184,46 @@ def _shared(rows: list[dict]) -> tuple[list[int], np.ndarray]:
     return [len(x) for x in marks], ((count > 1) | several)[which]
 
 
-def _kinds_asked(c: pk.Chunk, k: Kinds, buckets: int) -> pa.RecordBatch:
+def _kinds_asked(c: pk.Chunk, runs: Runs, k: Kinds, buckets: int) -> pa.RecordBatch:
     """Two questions: kinds, dealt by their hashes, with the smallest id here; and grams, with one of their kinds and
     how many this chunk has. So an anchor that is everywhere costs a few bytes a chunk, and its kinds spread."""
-    arrays: list[list] = [[], [], [], []]
-    o = k.opens
-    for dealt, base, columns in (
-        (k.by_kind(buckets), 0, (k.a[o], (k.b[o] >> U(32)).astype(np.uint32), k.first_id)),
-        (k.by_gram(buckets), buckets, (pk.fingerprint(k.grams, buckets), k.a[k.gram_first], np.minimum(k.kinds_here, 65535).astype(np.uint16))),
-    ):
-        order, which, ends = dealt
-        arrays[0] += (which + base).tolist()
-        for out, v in zip(arrays[1:], columns, strict=True):
-            v = v[order]
-            out += [v[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
-    return pk.asked_blobs(c.number, arrays, ["a", "b", "ids"])
+    arrays: list[list] = [[] for _ in range(7)]
+    o = k.at[k.opens]
+    data, lens = runs.texts(c, o)
+    begin = np.cumsum(lens) - lens
+    order, which, ends = k.by_kind(buckets)
+    columns = (k.a[k.opens], k.first_id, lens.astype(np.uint8), (runs.anchor - runs.lo)[o].astype(np.uint8))
+    arrays[0] += which.tolist()
+    for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        some = order[i:j]
+        for out, v in zip((arrays[1], arrays[3], arrays[4], arrays[5]), columns, strict=True):
+            out.append(v[some].tobytes())
+        arrays[2].append(None)
+        arrays[6].append(data[pk.places(begin[some], lens[some])].tobytes())
+    order, which, ends = k.by_gram(buckets)
+    columns = (pk.fingerprint(k.grams, buckets), k.a[k.gram_first] ^ k.b[k.gram_first], np.minimum(k.kinds_here, 65535).astype(np.uint16))
+    arrays[0] += (which + buckets).tolist()
+    for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        for out, v in zip(arrays[1:4], columns, strict=True):
+            out.append(v[order[i:j]].tobytes())
+        for out in arrays[4:]:
+            out.append(None)
+    return pk.asked_blobs(c.number, arrays, ["a", "b", "ids", "lens", "offset", "text"])
 
 
 #: Answers about a gram: all its runs are of one kind; there are several kinds; more than one task should sort.
 ONE, SEVERAL, CROWD = 0, 1, 2
-#: From so many kinds on, the strings of a gram's open runs are told apart by their hashes, wherever these deal them.
+#: From so many kinds on, the strings of a gram's open runs are dealt by a hash of the whole string.
 CROWDED = 4096
 
 
 def _earlier(rows: list[dict]) -> tuple[list[int], np.ndarray]:
-    """For hashes with the smallest id of a chunk: whether another chunk has a smaller one."""
-    a = [np.frombuffer(r["a"], np.uint64) for r in rows]
-    lengths = [len(x) for x in a]
-    a = np.concatenate(a)
-    b, ids = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in (("b", np.uint32), ("ids", np.int64)))
-    order = np.lexsort((ids, b, a))
-    opens = np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))
-    out = np.zeros(len(a), np.uint8)
-    out[order] = ids[order] > ids[order][opens][np.cumsum(opens) - 1]
-    return lengths, out
+    """For kinds with the smallest id of a chunk: whether another chunk has a smaller one."""
+    a, ids, lens, offset, data = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in (("a", np.uint64), ("ids", np.int64), ("lens", np.uint8), ("offset", np.uint8), ("text", np.uint8)))
+    kind = pk.classes([a, offset], data, lens.astype(np.int64))
+    least = np.full(int(kind.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, kind, ids)
+    return [len(r["lens"]) for r in rows], (ids > least[kind]).astype(np.uint8)
 
 
 def grams_decided(rows: list[dict]) -> tuple[list[int], np.ndarray]:
@@ -350,7 +363,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pk.asked(c.number, h, {"hash": pk.fingerprint(h, buckets), "flags": flags}, buckets)
 
     def kinds(c: pk.Chunk, answers: dict) -> pa.RecordBatch:
-        return _kinds_asked(c, Kinds(c, Runs(c), answers, buckets), buckets)
+        runs = Runs(c)
+        return _kinds_asked(c, runs, Kinds(c, runs, answers, buckets), buckets)
 
     def texts(c: pk.Chunk, answers: dict) -> pa.RecordBatch:
         runs = Runs(c)
@@ -411,7 +425,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.RecordBatch.from_arrays(columns, names)
 
     shared = pk.meet(pk.ask(packed, None, anchors, "bucket int, chunk long, hash binary, flags binary"), 1, _shared)
-    known = pk.meet(pk.ask(packed, shared, kinds, "bucket int, chunk long, a binary, b binary, ids binary"), 2, lambda rows: _earlier(rows) if rows[0]["bucket"] < buckets else grams_decided(rows))
+    known = pk.meet(pk.ask(packed, shared, kinds, "bucket int, chunk long, a binary, b binary, ids binary, lens binary, offset binary, text binary"), 2, lambda rows: _earlier(rows) if rows[0]["bucket"] < buckets else grams_decided(rows))
     both = shared.unionByName(known)
     found = pk.meet(pk.ask(packed, both, texts, "bucket int, chunk long, gram binary, lens binary, place binary, ids binary, text binary"), 3, _open_decided)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_bytes

@@ -183,7 +183,7 @@ def test_hits_are_extended_word_by_word():
     for i in range(0, 300, 50):
         part = runs[i : i + 50]
         column = lambda k, t: np.array([x[k] for x in part], t).tobytes()  # noqa: E731, B023
-        rows.append({"gram": np.ones(50, np.uint64).tobytes(), "lens": bytes(len(x[0]) for x in part), "offset": column(1, np.uint8), "ids": column(2, np.int64), "places": column(3, np.int32), "words": " ".join(" ".join(x[0]) for x in part).encode()})
+        rows.append({"gram": np.ones(50, np.uint64).tobytes(), "lens": bytes(len(x[0]) for x in part), "offset": column(1, np.uint8), "ids": column(2, np.int64), "places": column(3, np.int32), "words": "".join(" ".join(x[0]) + " " for x in part).encode()})
     lengths, bits = substring._extended(rows)
     windows = collections.defaultdict(list)
     each = [(n, t) for n, (w, off, _, _) in enumerate(runs) for t in range(len(w) - 19) if t <= off <= t + 10]
@@ -196,6 +196,29 @@ def test_hits_are_extended_word_by_word():
         assert bool(bits[n] >> t & 1) == ((d, p + t) > min(windows[off - t, tuple(w[t : t + 20])]))
 
 
+def test_classes_of_runs_by_keys_that_deceive():
+    """Runs of one key are told apart by their bytes."""
+    r = random.Random(3)
+    runs = [bytes(r.choice(b"ab") for _ in range(r.randint(1, 4))) for _ in range(300)]
+    keys = np.array([0 if r.random() < 0.5 else 1 for _ in runs], np.uint64)
+    for key in (keys, np.array([hash(x) & 0xFFFF for x in runs], np.uint64)):
+        kind = packed.classes([key], np.frombuffer(b"".join(runs), np.uint8), np.array([len(x) for x in runs]))
+        want = {(k, x): i for k, x, i in zip(key.tolist(), runs, kind.tolist(), strict=True)}
+        assert [want[k, x] for k, x in zip(key.tolist(), runs, strict=True)] == kind.tolist() and len(set(kind.tolist())) == len(want)
+
+
+@pytest.mark.parametrize("bits", [64, 2])
+def test_dedup_where_hashes_deceive(docs, monkeypatch, bits):
+    """With hashes of few bits to meet by, both still give the right rows, as letters and bytes decide."""
+    real = suffixes.run_hashes
+    for module in (suffixes, substring):
+        monkeypatch.setattr(module, "run_hashes", lambda values, lens, k: real(values, lens, k) & np.uint64((1 << bits) - 1) if k == 0 else real(values, lens, k))
+    monkeypatch.setattr(packed, "CHUNK", 3000)
+    rows, df = docs
+    assert by_id(substring.deduplicate(df), "n_words", "n_removed", "kept_sha256") == removed_words([r[:2] for r in rows])
+    assert by_id(suffixes.deduplicate(df), "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed_bytes([r[:2] for r in rows])
+
+
 def test_suffix_sort():
     r = np.random.default_rng(3)
     text = r.integers(97, 99, 5000, dtype=np.uint8)
