@@ -23,6 +23,8 @@ CHUNK = 2 << 20
 #: About so many hashes meet in a bucket.
 BUCKET = 2_000_000
 NO_ID = -(1 << 63)
+#: Texts are compressed well: each step moves the packed table once.
+LEVEL = 3
 SCHEMA = "chunk long, ids array<long>, ends binary, size long, data binary"
 ANSWERS = "chunk long, step int, bucket int, bits binary"
 
@@ -35,7 +37,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for i, j in slices(off, CHUNK):
                 part = data[off[i] : off[j]].tobytes()
                 ids = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(0).slice(i, j - i).combine_chunks() if isinstance(batch.column(0), pa.ChunkedArray) else batch.column(0).slice(i, j - i))
-                blob = pa.compress(part, codec="zstd", asbytes=True) if part else b""
+                blob = pa.Codec("zstd", compression_level=LEVEL).compress(part, asbytes=True) if part else b""
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), ids, pa.array([(off[i + 1 : j + 1] - off[i]).astype(np.int64).tobytes()]), pa.array([len(part)], pa.int64()), pa.array([blob])], ["chunk", "ids", "ends", "size", "data"])
                 number += 1
 
@@ -115,6 +117,16 @@ def read_answers(dealt: tuple[np.ndarray, np.ndarray, np.ndarray], answers: dict
     return out
 
 
+def squeezed(blob: np.ndarray) -> bytes:
+    """Bytes of texts, compressed."""
+    return len(blob).to_bytes(4, "little") + pa.compress(blob, codec="zstd", asbytes=True) if len(blob) else b""
+
+
+def loose(blob: bytes | None) -> bytes:
+    """What ``squeezed`` was given."""
+    return pa.decompress(blob[4:], int.from_bytes(blob[:4], "little"), codec="zstd", asbytes=True) if blob else b""
+
+
 def places(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The places that some runs cover, one run after another."""
     return np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))

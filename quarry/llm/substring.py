@@ -152,7 +152,7 @@ class Kinds:
             for out, v in zip((arrays[1], *arrays[3:7]), columns, strict=True):
                 out.append(v[some].tobytes())
             arrays[2].append(None)
-            arrays[7].append(w.text[pk.places(self.begin[f[some]], self.size[f[some]])].tobytes())
+            arrays[7].append(pk.squeezed(w.text[pk.places(self.begin[f[some]], self.size[f[some]])]))
         order, which, ends = self.by_gram(buckets)
         columns = (pk.fingerprint(self.gram[g], buckets), self.a[g] ^ self.b[g], np.minimum(self.kinds_here, 65535).astype(np.uint16))
         arrays[0] += (which + buckets).tolist()
@@ -197,7 +197,7 @@ class Open:
                 columns = (gram[some], lens[some].astype(np.uint8), offset[some].astype(np.uint8), ids[some], place[some].astype(np.int32))
                 for column, v in zip(out[1:], columns, strict=False):
                     column.append(v.tobytes())
-                out[6].append(w.text[pk.places(*w.bytes_of(lo[some], lens[some]))].tobytes())
+                out[6].append(pk.squeezed(w.text[pk.places(*w.bytes_of(lo[some], lens[some]))]))
         return pk.asked_blobs(c.number, out, ["gram", "lens", "offset", "ids", "places", "words"])
 
     def bits(self, answers: dict, buckets: int) -> np.ndarray:
@@ -236,7 +236,8 @@ def _later(kind: np.ndarray, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 def _kinds_decided(rows: list[dict]) -> tuple[list[int], np.ndarray]:
     """For kinds with the first of a chunk: whether another chunk has an earlier one."""
-    a, ids, place, sizes, offset, words = _read(rows, a=np.uint64, ids=np.int64, places=np.int32, sizes=np.uint32, offset=np.uint8, words=np.uint8)
+    a, ids, place, sizes, offset = _read(rows, a=np.uint64, ids=np.int64, places=np.int32, sizes=np.uint32, offset=np.uint8)
+    words = np.concatenate([np.frombuffer(pk.loose(r["words"]), np.uint8) for r in rows])
     kind = pk.classes([a, offset], words, sizes.astype(np.int64))
     return [len(r["offset"]) for r in rows], _later(kind, ids, place).astype(np.uint8)
 
@@ -253,7 +254,7 @@ def _extended(rows: list[dict]) -> tuple[list[int], np.ndarray]:
     gram, lens, offset, ids, place = _read(rows, gram=np.uint64, lens=np.uint8, offset=np.uint8, ids=np.int64, places=np.int32)
     lens, offset = lens.astype(np.int64), offset.astype(np.int64)
     numbers: dict[bytes, int] = {}
-    words = np.array([numbers.setdefault(x, len(numbers)) for r in rows if r["words"] for x in r["words"].split(b" ")[:-1]], np.int64)
+    words = np.array([numbers.setdefault(x, len(numbers)) for r in rows for x in pk.loose(r["words"]).split(b" ")[:-1]], np.int64)
     begin = np.cumsum(lens) - lens
 
     def word(at: np.ndarray) -> np.ndarray:

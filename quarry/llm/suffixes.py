@@ -199,7 +199,7 @@ def _kinds_asked(c: pk.Chunk, runs: Runs, k: Kinds, buckets: int) -> pa.RecordBa
         for out, v in zip((arrays[1], arrays[3], arrays[4], arrays[5]), columns, strict=True):
             out.append(v[some].tobytes())
         arrays[2].append(None)
-        arrays[6].append(data[pk.places(begin[some], lens[some])].tobytes())
+        arrays[6].append(pk.squeezed(data[pk.places(begin[some], lens[some])]))
     order, which, ends = k.by_gram(buckets)
     columns = (pk.fingerprint(k.grams, buckets), k.a[k.gram_first] ^ k.b[k.gram_first], np.minimum(k.kinds_here, 65535).astype(np.uint16))
     arrays[0] += (which + buckets).tolist()
@@ -219,7 +219,8 @@ CROWDED = 4096
 
 def _earlier(rows: list[dict]) -> tuple[list[int], np.ndarray]:
     """For kinds with the smallest id of a chunk: whether another chunk has a smaller one."""
-    a, ids, lens, offset, data = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in (("a", np.uint64), ("ids", np.int64), ("lens", np.uint8), ("offset", np.uint8), ("text", np.uint8)))
+    a, ids, lens, offset = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in (("a", np.uint64), ("ids", np.int64), ("lens", np.uint8), ("offset", np.uint8)))
+    data = np.concatenate([np.frombuffer(pk.loose(r["text"]), np.uint8) for r in rows])
     kind = pk.classes([a, offset], data, lens.astype(np.int64))
     least = np.full(int(kind.max(initial=-1)) + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, kind, ids)
@@ -328,7 +329,7 @@ def equal_strings(text: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[
 
 def _open_decided(rows: list[dict]) -> tuple[list[int], np.ndarray]:
     """For each open run a bit a string: whether it also starts in an earlier document."""
-    text = np.concatenate([np.frombuffer(r["text"], np.uint8) for r in rows])
+    text = np.concatenate([np.frombuffer(pk.loose(r["text"]), np.uint8) for r in rows])
     gram, lens, place, ids = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in (("gram", np.uint64), ("lens", np.uint8), ("place", np.uint8), ("ids", np.int64)))
     lengths = [len(r["lens"]) for r in rows]
     lens = lens.astype(np.int64)
@@ -375,19 +376,20 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         at = k.at[some]
         data, lens = runs.texts(c, at)
         cut = np.concatenate(([0], np.cumsum(lens)))
-        raw, place = data.tobytes(), (runs.anchor - runs.lo)[at]
+        place = (runs.anchor - runs.lo)[at]
         out: list[list] = [which.tolist(), [], [], [], [], []]
         for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             for column, v in zip(out[1:], (k.gram[some[i:j]], lens[i:j].astype(np.uint8), place[i:j].astype(np.uint8), k.ids[some[i:j]]), strict=False):
                 column.append(v.tobytes())
-            out[5].append(raw[cut[i] : cut[j]])
+            out[5].append(pk.squeezed(data[cut[i] : cut[j]]))
         order, which, ends = o.strings_dealt
         out[0] += (which + buckets).tolist()
         for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             at = order[i:j]
             whole, none = np.full(len(at), WINDOW, np.uint8), np.zeros(len(at), np.uint8)
-            for column, v in zip(out[1:], (o.a[at], whole, none, o.ids[at], o.strings[at]), strict=True):
+            for column, v in zip(out[1:], (o.a[at], whole, none, o.ids[at]), strict=False):
                 column.append(v.tobytes())
+            out[5].append(pk.squeezed(o.strings[at].reshape(-1)))
         return pk.asked_blobs(c.number, out, ["gram", "lens", "place", "ids", "text"])
 
     def remove(c: pk.Chunk, answers: dict) -> pa.RecordBatch:

@@ -183,7 +183,7 @@ def test_hits_are_extended_word_by_word():
     for i in range(0, 300, 50):
         part = runs[i : i + 50]
         column = lambda k, t: np.array([x[k] for x in part], t).tobytes()  # noqa: E731, B023
-        rows.append({"gram": np.ones(50, np.uint64).tobytes(), "lens": bytes(len(x[0]) for x in part), "offset": column(1, np.uint8), "ids": column(2, np.int64), "places": column(3, np.int32), "words": "".join(" ".join(x[0]) + " " for x in part).encode()})
+        rows.append({"gram": np.ones(50, np.uint64).tobytes(), "lens": bytes(len(x[0]) for x in part), "offset": column(1, np.uint8), "ids": column(2, np.int64), "places": column(3, np.int32), "words": packed.squeezed(np.frombuffer("".join(" ".join(x[0]) + " " for x in part).encode(), np.uint8))})
     lengths, bits = substring._extended(rows)
     windows = collections.defaultdict(list)
     each = [(n, t) for n, (w, off, _, _) in enumerate(runs) for t in range(len(w) - 19) if t <= off <= t + 10]
