@@ -49,3 +49,29 @@ v AS (SELECT *, CASE WHEN p > 0 THEN u * (1 - p) / (u * (1 - p) + (1 - u) * p) E
 o AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source, v IS NULL ORDER BY v, draw, doc_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) - size / 2.0::DOUBLE AS middle FROM v)
 SELECT doc_id, size, source_size, target, CAST(size * (whole + (v IS NOT NULL AND middle <= rest)::INT) AS BIGINT) AS taken, CAST(whole + (v IS NOT NULL AND middle <= rest)::INT AS INTEGER) AS copies, p AS inclusion, v / (1 - v) AS q FROM o
 """
+
+SUFFIX_DEDUP = r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS i FROM b WHERE length(x) >= 100),
+h AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS k FROM p),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS first FROM h) WHERE doc_id > first),
+o AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS opens FROM f)),
+r AS (SELECT doc_id, min(i) AS s, max(i) + 50 AS e FROM o GROUP BY doc_id, run),
+g AS (SELECT r.doc_id, s, e, x, coalesce(lag(e) OVER (PARTITION BY r.doc_id ORDER BY s), 0) AS before FROM r JOIN b ON r.doc_id = b.doc_id),
+k AS (SELECT doc_id, sum(e - s) AS n, count(*) AS spans, string_agg(substr(x, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) || substr(any_value(x), 2 * max(e) + 1) AS kept FROM g GROUP BY doc_id)
+SELECT b.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM b LEFT JOIN k ON b.doc_id = k.doc_id
+"""
+
+DECONTAMINATION = r"""
+WITH d AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+') IF x <> ''] AS h FROM documents),
+i AS (SELECT g, min(item_id) AS item_id, CAST(count(*) AS BIGINT) AS n_items FROM (SELECT item_id, [x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+') IF x <> ''] AS g FROM benchmark) GROUP BY g),
+s AS (SELECT *, g[q + 1] AS a, g[q + 4] AS b, g[q + 7] AS c, g[q + 10] AS e FROM (SELECT *, unnest(range(0, len(g) - 9)) AS q FROM i WHERE len(g) >= 13)),
+t AS (SELECT *, h[p + 1] AS a, h[p + 4] AS b, h[p + 7] AS c, h[p + 10] AS e FROM (SELECT *, unnest(range(0, len(h) - 9)) AS p FROM d WHERE len(h) >= 10)),
+m AS (SELECT doc_id, item_id, n_items, g, p, list_max([list_sum([CASE WHEN p + o >= 0 AND q + o >= 0 AND h[p + o + 1] = g[q + o + 1] THEN 1 ELSE 0 END FOR o IN range(z, z + 13)]) FOR z IN [-3, -2, -1, 0]]) AS best
+  FROM t JOIN s USING (a, b, c, e)),
+w AS (SELECT doc_id, unnest(h) AS x, unnest(range(0, len(h))) AS spot FROM d),
+v AS (SELECT item_id, n_items, g, len(g) AS n, unnest(g) AS x, unnest(range(0, len(g))) AS q FROM i WHERE len(g) BETWEEN 1 AND 12),
+u AS (SELECT doc_id, item_id, n_items, g, spot - q AS p, count(*) AS best, any_value(n) AS n FROM w JOIN v USING (x) GROUP BY doc_id, item_id, n_items, g, spot - q),
+z AS (SELECT doc_id, item_id, n_items, g, p, best FROM m WHERE best >= 11 UNION ALL SELECT doc_id, item_id, n_items, g, p, best FROM u WHERE best >= n - n * 2 // 13)
+SELECT doc_id, item_id, n_items, CAST(count(DISTINCT p) AS BIGINT) AS n_hits, CAST(max(best) AS BIGINT) AS best FROM z GROUP BY doc_id, item_id, n_items, g
+"""

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import html
+import math
 import random
 import re
 import time
@@ -78,6 +79,31 @@ def test_permutation(spark, n):
     assert sorted(r.p for r in back) == list(range(n)) and all(r.id == r.q for r in back)
 
 
+def walked(x, n, seed):
+    """The place of a row number by plain integers: a Feistel network over a * b numbers, walked until it ends below n."""
+    a = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    b = max(1, -(-n // a))
+    p = sharding.PRIME
+    while True:
+        left, right = x % a, x // a
+        for k in range(6):
+            y = ((left if k % 2 else right) + (sharding.ADDENDS[k] + seed * 7919) % p) % p
+            m = ((y * y % p * sharding.FACTORS[k] % p + y) % p * 48271 % p) >> 3
+            if k % 2:
+                right = (right + m) % b
+            else:
+                left = (left + m) % a
+        x = right * a + left
+        if x < n:
+            return x
+
+
+def test_sharding_by_brute_force(spark, docs):
+    rows = sorted((r.doc_id, zlib.crc32((r.text or "").encode()), len((r.text or "").encode()) + 8) for r in docs[1].collect())
+    want = {d: (walked(i, len(rows), 3) % 7, walked(i, len(rows), 3) // 7) for i, (d, _, _) in enumerate(rows)}
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.shard(docs[1], 7, seed=3).collect()} == want
+
+
 def test_sharding(spark, docs, odd, none):
     for df in (docs[1], odd):
         rows = sharding.shard(df, 7).collect()

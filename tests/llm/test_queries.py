@@ -26,7 +26,7 @@ def test_query(spark, name):
         assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id").collect())
     if name in queries.oracle_sql():
         con = duckdb.connect()
-        for t in ("documents", "embeddings"):
+        for t in ("documents", "embeddings", "benchmark"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
         found = con.execute(queries.oracle_sql()[name])
         names = [d[0] for d in found.description]
