@@ -1,7 +1,9 @@
 """The pipeline's stages against brute force, each on its own input."""
 
+import collections
+
 import corpus_pipeline
-from tests.llm.test_llm import agreeing, linked
+from tests.llm.test_llm import WORD, agreeing, linked, pareto, water
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -24,11 +26,23 @@ def test_stages(spark):
         elif name == "decontamination":
             assert after == {r.doc_id for r in before if not any(agreeing(r.text.lower().split(), i) for i in items)} and len(after) < len(before)
         elif name == "mixing":
-            assert after <= {r.doc_id for r in before} and 1.2 < sum(len(r.text) for r in out.collect()) / sum(len(r.text) for r in before) < 1.8
+            sizes = collections.Counter()
+            for r in before:
+                sizes[r.source] += len(WORD.findall(r.text))
+            copies, _ = pareto(before, water(sizes, {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(sizes))}))
+            assert collections.Counter(r.doc_id for r in out.collect()) == collections.Counter({d: c for (d, _), (c,) in copies.items() if c})
         else:
             assert out.count() == len(before)
 
 
+def test_run_over_whole_tables(spark):
+    """``run`` gives what its stages give one after another."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, FOLDER).cache()
+    assert sorted(map(str, corpus_pipeline.run(spark, FOLDER).collect())) == sorted(map(str, docs.collect()))
+
+
 def test_stages_on_odd_rows(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long, copies int, _id long"
     rows = [(1, None, None, None, None, 1, 1), (2, "", "en", "a", 0, 1, 1), (None, "the of and to a word here", "en", "a", 9, 1, 1), (3, "the of and to a word here", "en", "a", 9, 1, 1), (3, "the of and to a word here", "en", "a", 9, 1, 1)]
