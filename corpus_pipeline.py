@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontamination, language, minhash, mixing, sharding
-from quarry.llm.common import ranked, staged, table, without
+from quarry.llm.common import ranked, scratch, staged, table, without
 
 #: A document whose best language has less than this share of the evidence is rejected.
 SURE = 0.5
@@ -78,5 +78,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as keep:  # what a stage staged on its way goes when its result is written
+            docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
