@@ -508,6 +508,11 @@ def order_key(ref: Ref) -> Column:
     return _json_key(F.try_parse_json(ref.expr), DEPTH) if ref.kind == "json" else ref.expr
 
 
+def is_object(ref: Ref) -> Column:
+    """Whether a JSON value is an object."""
+    return kind_of(ref.expr if ref.kind == "variant" else F.try_parse_json(ref.expr)) == "object"
+
+
 def _json_key(v: Column, depth: int) -> Column:
     def key(x: Column, k: Column) -> Column:
         plain = _plain(x, k, depth)

@@ -24,14 +24,14 @@ FUNCTIONS = ("count", "sum", "avg", "min", "max")
 
 def extreme(function: str, ref: Ref, keys: list[Column]) -> Column:
     """The least or greatest JSON value in the order of ``order_by``. Objects tie: the first row's stands for them."""
-    present = ~predicate.absent(ref)
-    out, key = F.when(present, output(ref)), F.when(present, predicate.order_key(ref))
-    best = (F.min_by if function == "min" else F.max_by)(out, key)
+    present, out = ~predicate.absent(ref), output(ref)
+    pairs = F.when(present, F.struct(predicate.order_key(ref).alias("key"), out.alias("value")))
+    best = (F.min if function == "min" else F.max)(pairs)
     if not keys:
-        return best
-    is_object = key["rank"] == predicate.OBJECT
+        return best["value"]
+    is_object = present & predicate.is_object(ref)
     first = F.min_by(F.when(is_object, out), F.when(is_object, F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])))
-    return F.when((F.min if function == "min" else F.max)(key["rank"]) == predicate.OBJECT, first).otherwise(best)
+    return F.when(best["key"]["rank"] == predicate.OBJECT, first).otherwise(best["value"])
 
 
 def aggregate(function: str, ref: Ref | None, distinct: bool = False, keys: list[Column] | None = None) -> Column:
