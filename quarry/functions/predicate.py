@@ -264,8 +264,7 @@ def columns(a: Ref, operator: str, b: Ref) -> Column:
     if a.kind == b.kind == "json" and operator not in ("<", ">", "<=", ">="):
         text = lambda r: F.when(~absent(r), F.coalesce(F.to_json(F.try_parse_json(r.expr)), r.expr))
         return applied(text(a), operator, text(b))
-    group = lambda r: "number" if r.kind in NUMBERS else "instant" if r.kind in INSTANTS else r.kind
-    if group(a) == group(b) and a.kind not in ("variant",):
+    if _family(a) == _family(b) and a.kind not in ("variant",):
         if a.kind == "boolean" and operator in ("<", ">", "<=", ">="):
             return applied(a.expr.cast("int"), operator, b.expr.cast("int"))
         return applied(a.expr, operator, b.expr)
@@ -280,6 +279,35 @@ def columns(a: Ref, operator: str, b: Ref) -> Column:
     return F.when(absent(a) | absent(b), unknown()).otherwise(F.coalesce(applied(as_number(a), operator, as_number(b)), F.lit(is_unequal(operator))))
 
 
+def _family(ref: Ref) -> str:
+    return "number" if ref.kind in NUMBERS else "instant" if ref.kind in INSTANTS else ref.kind
+
+
+def joined(a: Ref, operator: str, b: Ref) -> Column:
+    """Two columns as a condition of a join. It keeps unknown pairs no more than false ones, so an equality has the form
+    that Spark joins by: an expression of each side."""
+    kinds = (a.kind, b.kind)
+    if operator not in ("=", "==", "==="):
+        return columns(a, operator, b)
+    if "variant" in kinds and (a.kind == b.kind or "string" in kinds):
+        return (_meeting(a) == _meeting(b)) & columns(a, operator, b)
+    if _family(a) == _family(b):
+        return columns(a, operator, b)
+    if operator == "===" and "variant" not in kinds:
+        return F.lit(False)
+    return as_number(a) == as_number(b)
+
+
+def _meeting(ref: Ref) -> Column:
+    """A text that values inside JSON, or one and a text, have in common if they are equal: the number that a value stands
+    for, else the value."""
+    named = lambda n, text: F.coalesce(F.concat(F.lit("n"), F.when(n == 0, F.lit(0.0)).otherwise(n).cast("string")), F.concat(F.lit("t"), text))
+    if ref.kind == "string":
+        return named(js_number(ref.expr), ref.expr)
+    text = lambda v, k: F.when(k == "string", F.try_variant_get(v, "$", "string")).when(k.isin("array", "object"), F.to_json(v))
+    return let(ref.expr, lambda v: let(kind_of(v), lambda k: let(_number_of(v, k), lambda n: named(n, text(v, k)))))
+
+
 def _two_variants(a: Ref, j: Column, operator: str, b: Ref, k: Column) -> Column:
     """Two values inside JSON of kinds ``j`` and ``k``. Arrays and objects are equal by content; only plain arrays have an
     order, above numbers and texts."""

@@ -170,7 +170,7 @@ class Compiled:
         for on in j.conditions:
             if on.conjunction == "or" and groups[-1]:
                 groups.append([])
-            groups[-1].append(predicate.columns(self._operand(on.first), on.operator, self._operand(on.second)))
+            groups[-1].append(predicate.joined(self._operand(on.first), on.operator, self._operand(on.second)))
         condition = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, g) for g in groups])
         return df.join(other, condition, {"inner": "inner", "left": "left", "right": "right"}[j.kind])
 

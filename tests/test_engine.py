@@ -303,6 +303,30 @@ def test_plans_push_down(spark):
     assert "HashJoin" in joined and "NestedLoop" not in joined
 
 
+def test_joins_of_two_kinds_are_by_keys(spark):
+    """Numbers, texts and values inside JSON are joined by keys, and match as they do pair by pair."""
+    from quarry.database.manager import DatabaseManager
+
+    inside = ["1", "1.0", "0", "-0.0", '"1"', '"1.0"', '" 1 "', '"0x1"', '"x"', '""', "true", "null", "[1]", '"[1]"', '{"a":1,"b":2}', '{"b":2,"a":1}']
+    texts = ["1", "1.0", " 1 ", "0x1", "1e0", "", "-0", "x", "[1]", "n1.0", "null", None]
+    rows = [(i, (None, 0, 1, 2)[i % 4], texts[i % len(texts)], (True, False, None)[i % 3], '{"v":%s}' % inside[i] if i < len(inside) else ("{}", None, "1", '"1"')[i % 4]) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, n long, t string, b boolean, j string").selectExpr("*", "timestamp_ntz '1970-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, n / 1000) AS at")
+    c = DatabaseManager().configure({"connections": {"files": {}}}).connection()
+    for t in ("a", "b"):
+        c.register(t, df, ("id",), ("j",))
+    pairs = [("n", "t"), ("t", "n"), ("n", "b"), ("at", "t"), ("j", "n"), ("j->v", "n"), ("j->v", "t"), ("t", "j->v"), ("j->v", "j->v"), ("j->v", "j")]
+    for first, operator, second in [(x, "=", y) for x, y in pairs] + [(x, "===", y) for x, y in pairs[5:9]] + [("n", "===", "t")]:
+        found = c.table("a").join("b", f"a.{first}", operator, f"b.{second}").select("a.id as x", "b.id as y").to_df()
+        plain = c.table("a").cross_join("b").where_column(f"a.{first}", operator, f"b.{second}").select("a.id as x", "b.id as y").to_df()
+        want = sorted(tuple(r) for r in plain.collect())
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan, (first, operator, second)
+        assert sorted(tuple(r) for r in found.collect()) == want and bool(want) == (operator + second != "===t" or first != "n"), (first, operator, second)
+        left = c.table("a").left_join("b", f"a.{first}", operator, f"b.{second}").select("a.id as x", "b.id as y").to_df()
+        lone = set(range(20)) - {x for x, _ in want}
+        assert sorted(map(repr, map(tuple, left.collect()))) == sorted(map(repr, want + [(x, None) for x in lone])), (first, operator, second)
+
+
 def files(c, table):
     entry = c._catalog()["tables"][table]
     return {f for s in entry["segments"] for f in c._store.files(s)} - set(entry.get("without", ()))
