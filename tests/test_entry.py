@@ -40,3 +40,15 @@ def test_query(spark, duck, name):
 def test_features_over_whole_tables(spark, duck, name, table):
     n = duck.execute(f"SELECT count(*) FROM {table}").fetchone()[0]
     assert contract.QUERIES[f"{name}_whole"](spark, FOLDER).count() > 0.99 * n
+
+
+@pytest.mark.parametrize("name", ["join_loose_keys", "join_loose_keys_whole"])
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_loose_joins_are_by_keys(spark, name, broadcast):
+    """Whatever the tables' sizes, no plan meets all pairs."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        plan = contract.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and ("HashJoin" in plan or "SortMergeJoin" in plan)
