@@ -31,10 +31,12 @@ class Ref:
     """A resolved column: its expression and the kind of its values.
 
     Kinds are the declared types, and ``variant`` for a value inside JSON, ``array`` and ``other`` for native columns.
+    ``once`` says that the expression is a value computed before, which may be used freely.
     """
 
     expr: Column
     kind: str
+    once: bool = False
 
 
 Resolver = Callable[[str], Ref]
@@ -47,7 +49,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def read_once(ref: Ref, body: Callable[[Ref], Column]) -> Column:
     """``body`` over a column; a value inside JSON is parsed and reached once."""
-    return let(ref.expr, lambda v: body(Ref(v, "variant"))) if ref.kind == "variant" else body(ref)
+    return let(ref.expr, lambda v: body(Ref(v, "variant", True))) if ref.kind == "variant" and not ref.once else body(ref)
+
+
+def let_all(values: list[Column], body: Callable[..., Column]) -> Column:
+    """``let`` for several values, which ``body`` takes in their order."""
+    return let(values[0], lambda v: let_all(values[1:], lambda *more: body(v, *more))) if values else body()
 
 
 def unknown() -> Column:
@@ -68,6 +75,16 @@ def compile_all(constraints: Iterable[ir.Constraint], resolve: Resolver, tz: str
     return reduce(lambda a, b: a | b, ands) if ands else None
 
 
+def reads(c: ir.Constraint) -> list[str]:
+    """The columns that a constraint reads, each as often as it's named."""
+    match c:
+        case ir.Nested():
+            return [x for one in c.constraints for x in reads(one)]
+        case ir.Compared():
+            return [c.first, c.second]
+    return [c.column]
+
+
 def compile_one(c: ir.Constraint, resolve: Resolver, tz: str) -> Column | None:
     out = _lowered(c, resolve, tz)
     return out if out is None or not c.negated else ~out

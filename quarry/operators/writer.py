@@ -381,7 +381,7 @@ class Writer:
             return frame.join(keys, F.col(names.quoted(key)) == F.col("__match"), "left"), F.coalesce(F.col("__hit"), F.lit(False))
         plain = self.builder.clone()
         compiled = plain._compiled(bare=True)
-        condition = predicate.compile_all(q.constraints, compiled.scope.resolve, self.builder._tz)
+        condition = compiled.condition()
         return frame, F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))
 
     def _own_columns(self, values: dict[str, Any], schema: ir.TableSchema) -> dict[str, Any]:

@@ -6,9 +6,12 @@ and AQE splits skew; predicates stay sargable; columns that nobody reads are pru
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections import Counter
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from types import MappingProxyType
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -107,7 +110,20 @@ class Scope:
             raise SchemaException(f"No table of this query has a column [{name.column}].")
         return owners[0]
 
-    def resolve(self, text: str) -> Ref:
+    def inside(self, text: str) -> tuple[str, tuple[str, ...]] | None:
+        """The column and the steps of a path into JSON."""
+        name = names.parse(text)
+        table = self.owner(name)
+        return (self.physical(table, name.column), name.steps) if name.steps and self.kinds[table][name.column] != "other" else None
+
+    def document(self, column: str) -> Column:
+        """A column of JSON, parsed."""
+        kind = next(k[c] for t, k in self.kinds.items() for c in k if self.physical(t, c) == column)
+        c = F.col(names.quoted(column))
+        return F.try_parse_json(c) if kind in ("json", "string") else c
+
+    def resolve(self, text: str, read: Mapping[tuple[str, tuple[str, ...]], Column] = MappingProxyType({})) -> Ref:
+        """A column by its name; ``read`` has documents (under no steps) and paths that were read before."""
         name = names.parse(text)
         table = self.owner(name)
         kind = self.kinds[table][name.column]
@@ -118,7 +134,10 @@ class Scope:
             for s in name.steps:
                 c = c.getField(s)
             return Ref(c, "string")
-        v = F.try_parse_json(c) if kind in ("json", "string") else c
+        column = self.physical(table, name.column)
+        if (column, name.steps) in read:
+            return Ref(read[column, name.steps], "variant", True)
+        v = read[column, ()] if (column, ()) in read else self.document(column)
         return Ref(F.try_variant_get(v, names.json_path(name.steps), "variant"), "variant")
 
     def keys(self) -> list[Column]:
@@ -156,10 +175,37 @@ class Compiled:
             df = self.scope.frames[self.query.table]
             for j in self.query.joins:
                 df = self._joined(df, j)
-            condition = predicate.compile_all(self.query.constraints, self.scope.resolve, self.tz)
+            condition = self.condition()
             self._matched = df if condition is None else df.where(condition)
         return self._matched
 
+    def condition(self) -> Column | None:
+        """All constraints. Those that read the same JSON read it together; the others stay apart, to be pushed down."""
+        every = self.query.constraints
+        if any(c.conjunction == "or" for c in every[1:]):
+            return self._reading_once(every)
+        alike: dict[Any, list[ir.Constraint]] = {}
+        for i, c in enumerate(every):
+            documents = frozenset(p[0] for x in predicate.reads(c) if (p := self.scope.inside(x)))
+            tables = frozenset(self.scope.owner(names.parse(x)) for x in predicate.reads(c))
+            alike.setdefault((documents, tables) if documents else i, []).append(c)
+        parts = [one for group in alike.values() if (one := self._reading_once(group)) is not None]
+        return reduce(lambda a, b: a & b, parts) if parts else None
+
+    def _reading_once(self, constraints: Sequence[ir.Constraint]) -> Column | None:
+        """Constraints as a condition. A JSON column, which may stand for a long expression, is parsed once a row, however
+        many paths lead into it, and a path is reached once."""
+        paths = Counter(p for c in constraints for x in predicate.reads(c) if (p := self.scope.inside(x)))
+        documents = [d for d, n in Counter(d for d, _ in paths.elements()).items() if n > 1]
+        shared = [p for p, n in paths.items() if n > 1]
+
+        def over(*parsed: Column) -> Column | None:
+            read = {(d, ()): v for d, v in zip(documents, parsed, strict=True)}
+            values = [F.try_variant_get(read[d, ()], names.json_path(steps), "variant") for d, steps in shared]
+            return predicate.let_all(values, lambda *found: predicate.compile_all(constraints, lambda x: self.scope.resolve(x, read | dict(zip(shared, found, strict=True))), self.tz))
+
+        return predicate.let_all([self.scope.document(d) for d in documents], over)
+
     def _joined(self, df: DataFrame, j: ir.JoinClause) -> DataFrame:
         other = self.scope.frames[j.table]
         if j.kind == "cross":

@@ -14,6 +14,7 @@ from ..database.manager import DatabaseManager
 from ..database.migrations import Migration, Seeder
 from ..exceptions import DatabaseBlockedException, MultipleRecordsFoundException, RecordsNotFoundException, SchemaException, UniqueConstraintViolationException
 from ..functions import literals
+from ..functions.predicate import let
 from ..operators.builder import Builder
 from ..schema.schema import SchemaBuilder
 from ..sources.external import gappy_orders, opened
@@ -147,12 +148,18 @@ def _mixed(c: Any) -> Any:
     """Events with JSON of every kind: by k modulo 7 a number, a text, a boolean, a plain array, another array, an object, nothing."""
     df = c._frames["events"].frame()
     k = F.get_json_object("props", "$.k").cast("int")
-    held = F.when(k % 7 == 0, (k - 50).cast("string")).when(k % 7 == 1, F.concat(F.lit('"'), k, F.lit('"'))).when(k % 7 == 2, F.when(k % 2 == 0, F.lit("true")).otherwise("false"))
-    held = held.when(k % 7 == 3, F.concat(F.lit("["), k, F.lit(',"x"]'))).when(k % 7 == 4, F.concat(F.lit("[true,"), k, F.lit("]"))).when(k % 7 == 5, F.when(k % 2 == 0, F.lit('{"a":1,"b":2}')).otherwise('{"b":2,"a":1}'))
-    swapped = F.when(held.startswith('{"a"'), F.lit('{"b":2,"a":1}')).when(held.startswith("{"), F.lit('{"a":1,"b":2}')).otherwise(held)
-    other = F.when(F.col("event_id") % 2 == 0, swapped).otherwise(F.concat(F.lit("["), k + 1, F.lit(',"x"]')))
-    doc = F.coalesce(F.concat(F.lit('{"v":'), held, F.lit(',"w":'), other, F.lit("}")), F.lit("{}"))
-    return c.register("mixed", df.select("event_id", "event_type", (k % 7).alias("m"), doc.alias("doc"), held.alias("held")), "event_id", ("doc", "held")).table("mixed")
+
+    def held(k: Any) -> Any:
+        out = F.when(k % 7 == 0, (k - 50).cast("string")).when(k % 7 == 1, F.concat(F.lit('"'), k, F.lit('"'))).when(k % 7 == 2, F.when(k % 2 == 0, F.lit("true")).otherwise("false"))
+        return out.when(k % 7 == 3, F.concat(F.lit("["), k, F.lit(',"x"]'))).when(k % 7 == 4, F.concat(F.lit("[true,"), k, F.lit("]"))).when(k % 7 == 5, F.when(k % 2 == 0, F.lit('{"a":1,"b":2}')).otherwise('{"b":2,"a":1}'))
+
+    def doc(k: Any, held: Any) -> Any:
+        swapped = F.when(held.startswith('{"a"'), F.lit('{"b":2,"a":1}')).when(held.startswith("{"), F.lit('{"a":1,"b":2}')).otherwise(held)
+        other = F.when(F.col("event_id") % 2 == 0, swapped).otherwise(F.concat(F.lit("["), k + 1, F.lit(',"x"]')))
+        return F.coalesce(F.concat(F.lit('{"v":'), held, F.lit(',"w":'), other, F.lit("}")), F.lit("{}"))
+
+    docs = let(k, lambda k: let(held(k), lambda h: doc(k, h)))
+    return c.register("mixed", df.select("event_id", "event_type", (k % 7).alias("m"), docs.alias("doc"), let(k, held).alias("held")), "event_id", ("doc", "held")).table("mixed")
 
 
 _MIXED = """WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events), x AS (SELECT event_id, event_type, k, k % 7 AS m,

@@ -327,6 +327,47 @@ def test_joins_of_two_kinds_are_by_keys(spark):
         assert sorted(map(repr, map(tuple, left.collect()))) == sorted(map(repr, want + [(x, None) for x in lone])), (first, operator, second)
 
 
+def test_json_is_parsed_once_a_row_and_condition(spark, tmp_path):
+    """Constraints on one JSON column parse it once, beside others that are pushed down, and keep their three values."""
+    from quarry.database.manager import DatabaseManager
+    from quarry.functions import predicate
+    from quarry.plans import contract
+
+    plan = contract.QUERIES["json_structural"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson") + plan.lower().count("parse_json") == 1 and plan.count("get_json_object") <= 1
+    inside = ["1", "5", '"5"', '"x"', "true", "null", "[1]", '[1,"x"]', '{"a":1}', "[true]"]
+    docs = ['{"v":%s,"w":%s}' % (v, w) for v in inside for w in inside] + ["{}", '{"v":1}', '{"w":"5"}', "broken", None]
+    spark.createDataFrame([(i, d, d, i % 3) for i, d in enumerate(docs)], "id long, doc string, other string, n long").coalesce(1).write.parquet(str(tmp_path / "t"))
+    c = DatabaseManager().configure({"connections": {"files": {}}}).connection()
+    c.register("t", spark.read.parquet(str(tmp_path / "t")), ("id",), ("doc", "other"))
+    t = lambda: c.table("t")
+    either, neither = lambda q: q.where("doc->v", ">", 3).or_where("n", 1), lambda q: q.where("doc->w", "x").where_column("doc->v", "doc->w")
+    queries = [
+        t().where("doc->v", ">", 3).where_not("doc->w", "x").where("id", "<", 90),
+        t().where_column("doc->v", "doc->w").or_where_column("t.doc->v", "<", "t.doc->w").or_where("n", 2),
+        t().where(either).where_not(neither).where_not_null("doc->w"),
+        t().where_not(neither).or_where_in("doc->v", [1, "x"]).or_where_null("doc->w"),
+        t().where_column("doc->v", "other->w").where("other->w", "!=", 5).where("doc->w", "!=", 5).where_not_in("doc->v", [1, "x"]),
+        t().where_json_contains("doc->v", 1).where_json_length("doc->v", ">", 1).or_where_between("doc->w", [2, 6]),
+    ]
+    for q in queries:
+        compiled = q._compiled()
+        each = compiled.query.constraints
+        alone = compiled.scope.frames["t"].select("id", *[predicate.compile_one(x, compiled.scope.resolve, "UTC").alias(f"c{i}") for i, x in enumerate(each)])
+        want = []
+        for row in alone.collect():
+            groups: list = [[]]
+            for i, x in enumerate(each):
+                if i and x.conjunction == "or":
+                    groups.append([])
+                groups[-1].append(row[f"c{i}"])
+            want += [row["id"]] if any(all(g) for g in groups) else []
+        assert sorted(q.pluck("id")) == sorted(want) and 0 < len(want) < len(docs)
+    assert "LessThan(id,90)" in queries[0].to_df()._jdf.queryExecution().executedPlan().toString()
+    both = queries[4].to_df()._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert both.count("parsejson") + both.count("parse_json") <= 4
+
+
 def files(c, table):
     entry = c._catalog()["tables"][table]
     return {f for s in entry["segments"] for f in c._store.files(s)} - set(entry.get("without", ()))
