@@ -44,6 +44,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """What is written within leaves no shuffle files: Spark deletes them when a write ends, not when garbage is collected."""
+    before = spark.conf.get(FREES, "false")
+    spark.conf.set(FREES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREES, before)
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
     """Delete the tables staged within, but for those that the function given keeps: they pass to the block around."""

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, staged
+from .common import freed, partitions, staged
 from .textnum import U, column_bytes, slices
 
 CHUNK = 2 << 20
@@ -61,12 +61,8 @@ def bucket_count(spark: SparkSession, hashes: int) -> int:
 
 
 def questions(chunk: int, hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For distinct hashes: the order in which they are asked, the buckets that have any, and where each begins."""
-    bucket = (hashes % U(buckets)).astype(np.int64)
-    order = np.lexsort((hashes, bucket))
-    sorted_ = bucket[order]
-    first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1]))) if len(order) else np.zeros(0, np.int64)
-    return order, sorted_[first], np.append(first, len(order))
+    """For distinct hashes in order: the order in which they are asked, the buckets that have any, and where each begins."""
+    return dealt_to((hashes % U(buckets)).astype(np.int64))
 
 
 def fingerprint(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -102,7 +98,8 @@ def asked_blobs(chunk: int, arrays: list[list], names: list[str]) -> pa.RecordBa
 
 def dealt_to(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order of things by their bucket, the buckets that have any, and where each begins."""
-    order = np.argsort(bucket, kind="stable")
+    few = bucket.max(initial=0) < 1 << 16
+    order = np.argsort(bucket.astype(np.uint16) if few else bucket, kind="stable")  # numbers of 16 bits by radix
     s = bucket[order]
     first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
     return order, s[first], np.append(first, len(s))
@@ -203,4 +200,5 @@ def meet(asked_rows: DataFrame, step: int, decide: Callable[[list[dict]], tuple[
         lengths, values = decide(rows)
         return pa.Table.from_batches([answer_rows(step, rows[0]["bucket"], [r["chunk"] for r in rows], lengths, values)])
 
-    return staged(asked_rows.groupBy("bucket").applyInArrow(bucket, ANSWERS), f"answers-{step}")
+    with freed(asked_rows.sparkSession):
+        return staged(asked_rows.groupBy("bucket").applyInArrow(bucket, ANSWERS), f"answers-{step}")

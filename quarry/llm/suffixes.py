@@ -29,10 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed as pk
-from .textnum import BASES, U, mixed, rolled
+from .textnum import BASES, U, mixed, polynomials
 
 WINDOW, GRAM = 50, 24
 WITHIN = WINDOW - GRAM + 1  # grams in a string
+SLICE = 1 << 16  # bytes of text whose runs are found at a time
 _T = np.random.default_rng(77).integers(1, 1 << 63, size=256, dtype=np.uint64) * U(2) + U(1)
 
 
@@ -43,8 +44,8 @@ class Runs:
         parts = []
         lengths = np.diff(c.offsets)
         i = 0
-        while i < len(lengths):  # some rows at a time, a long row alone
-            j = max(i + 1, int(np.searchsorted(c.offsets, c.offsets[i] + (1 << 19), "right")) - 1)
+        while i < len(lengths):  # some rows at a time, which a core's cache holds, a long row alone
+            j = max(i + 1, int(np.searchsorted(c.offsets, c.offsets[i] + SLICE, "right")) - 1)
             parts.append(self._some(c, i, j))
             i = j
         self.lo, self.hi, self.anchor, self.gram, self.row = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
@@ -57,25 +58,33 @@ class Runs:
         if len(data) < WINDOW:
             none = np.zeros(0, np.int64)
             return none, none, none, none.astype(np.uint64), none
-        grams = rolled(_T[data], GRAM)
-        key = (grams >> U(32) << U(32)) | np.arange(len(grams), dtype=np.uint64)
-        low, width = key, 1
+        grams = polynomials(_T.take(data), GRAM)
+        # An order needs half a mix; anchors alone are mixed wholly.
+        low = grams >> U(32)
+        low ^= grams
+        low *= BASES[1]
+        low &= U(0xFFFFFFFF00000000)
+        low |= np.arange(len(low), dtype=np.uint64)
+        width = 1
         while width * 2 <= WITHIN:
             low = np.minimum(low[:-width], low[width:])
             width *= 2
-        low = np.minimum(low[: len(data) - WINDOW + 1], low[WITHIN - width :][: len(data) - WINDOW + 1])
-        anchor = (low & U(0xFFFFFFFF)).astype(np.int64)
+        n = len(data) - WINDOW + 1
+        low = np.minimum(low[:n], low[WITHIN - width :][:n])
+        # A run ends where its anchor does, where its row does, and where strings would leave the row.
         ends = c.offsets[i + 1 : j + 1] - base
-        row = np.repeat(np.arange(i, j), np.diff(c.offsets[i : j + 1]))[: len(anchor)]
-        good = np.arange(len(anchor)) + WINDOW <= ends[row - i]
-        at = np.flatnonzero(good)
-        if not len(at):
-            none = np.zeros(0, np.int64)
-            return none, none, none, none.astype(np.uint64), none
-        a, r = anchor[at], row[at]
-        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (r[1:] != r[:-1]) | (at[1:] != at[:-1] + 1))))
-        last = np.append(first[1:], len(at)) - 1
-        return at[first] + base, at[last] + base, a[first] + base, grams[a[first]], r[first]
+        cut = np.ones(n, bool)
+        np.not_equal(low[1:], low[:-1], out=cut[1:])
+        cut[ends[ends < n]] = True
+        out = ends - WINDOW + 1
+        cut[out[(out > 0) & (out < n)]] = True
+        first = np.flatnonzero(cut)
+        last = np.append(first[1:], n) - 1
+        row = np.searchsorted(ends, first, "right")
+        good = first + WINDOW <= ends[row]
+        first, last, row = first[good], last[good], row[good] + i
+        anchor = (low[first] & U(0xFFFFFFFF)).astype(np.int64)
+        return first + base, last + base, anchor + base, mixed(grams[anchor]), row
 
     def texts(self, c: pk.Chunk, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of some runs, one after another, and their lengths."""
@@ -86,11 +95,14 @@ class Runs:
 
 def _anchors(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct grams, which of them each run has, and whether two documents of the chunk have it."""
-    h, which = np.unique(runs.gram, return_inverse=True)
-    least, most = np.full(len(h), np.iinfo(np.int64).max), np.full(len(h), np.iinfo(np.int64).min)
-    np.minimum.at(least, which, runs.ids)
-    np.maximum.at(most, which, runs.ids)
-    return h, which, (least != most).astype(np.uint8)
+    order = np.argsort(runs.gram)
+    gram = runs.gram[order]
+    first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))) if len(gram) else np.zeros(0, np.int64)
+    which = np.zeros(len(gram), np.int64)
+    which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(gram))))
+    ids = runs.ids[order]
+    several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first) if len(first) else np.zeros(0, bool)
+    return gram[first], which, several.astype(np.uint8)
 
 
 def run_hashes(values: np.ndarray, lens: np.ndarray, k: int) -> np.ndarray:

@@ -89,23 +89,34 @@ def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool,
 
 
 def rolled(h: np.ndarray, n: int, k: int = 0) -> np.ndarray:
-    """Hashes of all runs of ``n`` consecutive values, by doubling; shorter than ``h`` by n - 1."""
+    """Hashes of all runs of ``n`` consecutive values; shorter than ``h`` by n - 1."""
+    return mixed(polynomials(h, n, k))
+
+
+def polynomials(h: np.ndarray, n: int, k: int = 0) -> np.ndarray:
+    """What ``rolled`` mixes, by doubling."""
     if len(h) < n:
         return np.zeros(0, np.uint64)
     powers, width = {1: h}, 1
     base = {1: int(BASES[k])}
     while width * 2 <= n:
         p = powers[width]
-        powers[width * 2] = p[:-width] * U(base[width]) + p[width:]
+        powers[width * 2] = p[:-width] * U(base[width])
+        powers[width * 2] += p[width:]
         base[width * 2] = base[width] * base[width] % (1 << 64)
         width *= 2
     out, done = None, 0
     for w in sorted(powers, reverse=True):
         while done + w <= n:
             part = powers[w][done:]
-            out = part.copy() if out is None else out[: len(part)] * U(base[w]) + part[: len(out)]
+            if out is None:
+                out = part.copy()
+            else:
+                out = out[: len(part)]
+                out *= U(base[w])
+                out += part[: len(out)]
             done += w
-    return mixed(out[: len(h) - n + 1])
+    return out[: len(h) - n + 1]
 
 
 def row_of(first: np.ndarray) -> np.ndarray:

@@ -245,6 +245,47 @@ def test_dedup_where_hashes_deceive(docs, monkeypatch, bits):
     assert by_id(suffixes.deduplicate(df), "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed_bytes([r[:2] for r in rows])
 
 
+def test_exchanges_leave_no_shuffle_files(spark, docs):
+    """What an exchange has shuffled goes when its answers are written, whenever garbage is collected."""
+
+    def shuffles():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return set(re.findall(r"shuffle_(\d+)_\d+_\d+\.data", files))
+
+    for f in (substring.deduplicate, suffixes.deduplicate):
+        before, setting = shuffles(), spark.conf.get(common.FREES, None)
+        out = f(docs[1])
+        until = time.time() + 20
+        while len(left := shuffles() - before) > 1 and time.time() < until:
+            time.sleep(0.2)
+        assert len(left) <= 1  # that of the texts' total size
+        assert spark.conf.get(common.FREES, None) == setting
+        assert out.count() == docs[1].count()
+
+
+@pytest.mark.parametrize("size", [1, 300, 1 << 16])
+def test_runs_are_found_slice_by_slice(monkeypatch, size):
+    """Runs hold every string once, equal strings have equal anchors, and no more than a slice or a row is hashed at a time."""
+    r = random.Random(11)
+    shared = bytes(r.choice(b"abc ") for _ in range(160))
+    rows = [b"", b"a" * 49, b"b" * 50, b"", b"ab" * 60, shared, b"x" + shared + b"y", shared[20:], b"z" * 51, bytes(r.choice(b"ab") for _ in range(700)), b"a" * 30, b"c" * 20]
+    chunk = packed.Chunk({"chunk": 0, "ids": list(range(len(rows))), "ends": np.cumsum([len(x) for x in rows]).tobytes(), "size": 0, "data": b""})
+    chunk.data = np.frombuffer(b"".join(rows), np.uint8)
+    seen, real = [], suffixes.polynomials
+    monkeypatch.setattr(suffixes, "SLICE", size)
+    monkeypatch.setattr(suffixes, "polynomials", lambda h, n: seen.append(len(h)) or real(h, n))
+    runs = suffixes.Runs(chunk)
+    assert max(seen) <= max(size, 700)
+    anchors, places = {}, []
+    for lo, hi, anchor, gram, row in zip(runs.lo, runs.hi, runs.anchor, runs.gram, runs.row, strict=True):
+        for i in range(lo, hi + 1):
+            places.append(i)
+            assert chunk.offsets[row] <= i <= anchor <= i + 26 and i + 50 <= chunk.offsets[row + 1]
+            assert anchors.setdefault(chunk.data[i : i + 50].tobytes(), (anchor - i, gram)) == (anchor - i, gram)
+    assert places == [int(b) + i for b, x in zip(chunk.offsets, rows, strict=False) for i in range(len(x) - 49)]
+    assert all(a[1] < b[0] for a, b in zip(zip(runs.lo, runs.hi, strict=True), list(zip(runs.lo, runs.hi, strict=True))[1:], strict=False))
+
+
 def test_suffix_sort():
     r = np.random.default_rng(3)
     text = r.integers(97, 99, 5000, dtype=np.uint8)
