@@ -33,9 +33,19 @@ def scratch_root(spark: SparkSession) -> str:
 _made: list[list[tuple[str, DataFrame]]] = []
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it again: cuts lineage and survives lost executors."""
+#: Rows of a file of a scratch table whose number of rows is known to be small.
+FILE_ROWS = 100_000
+
+
+def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read it again: cuts lineage and survives lost executors.
+
+    ``rows``: so many at most. They are written as so few files that each costs little beside its rows: on a local file
+    system each file starts processes (Hadoop sets its mode by a command), which takes longer than some 1,000 rows.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

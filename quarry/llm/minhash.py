@@ -38,6 +38,8 @@ SMALL = 8
 COUNTERS = 1 << 18
 #: Members of one shingle that meet another so many in one task.
 BLOCK = 2048
+#: Links whose components are found in one task; more take rounds of joins.
+FEW_LINKS = 500_000
 SHINGLE = 5
 
 
@@ -121,19 +123,43 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(hashes)))], ["id", "set"])
 
 
-def components(links: DataFrame) -> DataFrame:
-    """A table of (u, v) for links (a, b): node u and the smallest node reachable. Rounds of joins; each node's links are never gathered."""
+def _least_reachable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For links (u, v) the nodes with the smallest node reachable, where that is another."""
+    links = np.concatenate([np.zeros((2, 0), np.int64), *(np.stack([c.to_numpy() for c in batch.columns]) for batch in batches)], axis=1)
+    nodes, at = np.unique(links, return_inverse=True)
+    u, v = at.reshape(links.shape)
+    least, before = np.arange(len(nodes)), None
+    while before is None or (least != before).any():
+        before, a, b = least.copy(), least[u], least[v]
+        np.minimum.at(least, a, b)
+        np.minimum.at(least, b, a)
+        while ((nearer := least[least]) != least).any():
+            least = nearer
+    moved = np.flatnonzero(least != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[least[moved]])], ["u", "v"])
+
+
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
+    """A table of (u, v) for links (a, b): node u and the smallest node reachable.
+
+    Up to ``FEW_LINKS`` links go through one task; more take rounds of joins, which gather no node's links.
+    ``rows``: so many links at most.
+    """
     with scratch(links.sparkSession) as keep:
-        e = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
+        e = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc", rows)
         n = e.count()
+        if n <= FEW_LINKS:
+            e = staged(e.coalesce(1).mapInArrow(_least_reachable, "u long, v long"), "cc")
+            keep(e)
+            return e
         while True:
             both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
             least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-            large = staged(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc")
+            large = staged(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc", n)
             least = large.groupBy("u").agg(F.min("v").alias("m"))
             joined = large.join(least, "u")
             small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
-            before, e, n_before = e, staged(small.distinct(), "cc"), n
+            before, e, n_before = e, staged(small.distinct(), "cc", 2 * n), n
             n = e.count()
             if n == n_before and e.join(before, ["u", "v"], "left_anti").isEmpty():  # the same links as before
                 keep(e)
@@ -145,9 +171,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     A member of many pairs (a hub) has its set copied for each block of them, so its pairs spread over the tasks.
     """
-    limit = hot_limit(pairs.count())
+    rows = pairs.count()
+    limit = hot_limit(rows)
     degrees = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count()
-    hubs = staged(degrees.where(F.col("count") > limit).select("id", F.ceil(F.col("count") / limit).alias("blocks")), "mh-hubs")
+    hubs = staged(degrees.where(F.col("count") > limit).select("id", F.ceil(F.col("count") / limit).alias("blocks")), "mh-hubs", 2 * rows // limit)
     blocks = F.coalesce("blocks", F.lit(1).cast("long"))
     copies = sets.join(F.broadcast(hubs), "id", "left").select("id", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "set")
     for end, other in (("a", "b"), ("b", "a")):
@@ -157,28 +184,28 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         pairs = pairs.join(copies.toDF(end, f"block_{end}", f"s{end}"), [end, f"block_{end}"])
     both = F.size(F.array_intersect("sa", "sb"))
     found = pairs.select("a", "b", (100 * both >= percent * (F.size("sa") + F.size("sb") - both)).alias("linked"))
-    return staged(found.groupBy("a", "b").agg(F.max("linked").alias("linked")), "mh-checked")
+    return staged(found.groupBy("a", "b").agg(F.max("linked").alias("linked")), "mh-checked", rows)
 
 
 def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _central_stars(buckets: DataFrame, limit: int) -> DataFrame:
+def _central_stars(buckets: DataFrame, limit: int, rows: int) -> DataFrame:
     """Pairs of each bucket's members with the one that shares most buckets with others."""
     central = buckets.groupBy("rep").agg(F.sum("n").alias("shares"))
     hubs = buckets.join(central, "rep").groupBy("key").agg(F.max_by("rep", F.struct("shares", -F.col("rep"))).alias("hub"), F.first("n").alias("size"))
-    return spread_join(buckets, staged(hubs, "mh-centres"), "key", "size", limit).where("rep <> hub").select(*_ordered("hub", "rep")).distinct()
+    return spread_join(buckets, staged(hubs, "mh-centres", rows // 2), "key", "size", limit).where("rep <> hub").select(*_ordered("hub", "rep")).distinct()
 
 
-def _open_pairs(buckets: DataFrame, comps: DataFrame, turn: int, limit: int) -> tuple[DataFrame, DataFrame]:
+def _open_pairs(buckets: DataFrame, comps: DataFrame, turn: int, limit: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """Pairs between components of buckets, and the members of large buckets that hold several components."""
     labelled = buckets.join(comps.toDF("node", "component"), F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    labelled = staged(labelled, "mh-labelled")
+    labelled = staged(labelled, "mh-labelled", rows)
     drawn = F.xxhash64("rep", "key", F.lit(turn))
     by_comp = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min_by("rep", drawn).alias("rep"))
     by_key = by_comp.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("size"), F.max_by(F.struct("rep", "comp"), F.struct("n", F.xxhash64("comp", "key", F.lit(turn)))).alias("hub"))
-    open_ = staged(spread_join(labelled, staged(by_key.where("comps > 1"), "mh-open-keys"), "key", "size", limit), "mh-open")
+    open_ = staged(spread_join(labelled, staged(by_key.where("comps > 1"), "mh-open-keys", rows // 2), "key", "size", limit), "mh-open", rows)
     small, large = open_.where(F.col("size") <= SMALL), open_.where(F.col("size") > SMALL)
     other = small.select("key", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"))
     pairs = small.join(other, "key").where("rep < rep2 and comp <> comp2").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
@@ -281,28 +308,32 @@ def _near_duplicates(docs: DataFrame, percent: int, id_col: str, text_col: str,
     sig = staged(texts.mapInArrow(_sign, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "mh-signatures")
     key = ["n_shingles", "k1", "k2"]
     sets_of = sig.where("n_shingles > 0 and doc_id is not null").groupBy(*key)
-    classes = staged(sets_of.agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "mh-classes")
+    classes = staged(sets_of.agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "mh-classes", sig.count())
     members = classes.select("rep", F.explode("bands").alias("key"))
-    shared = staged(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "mh-shared")
-    limit = hot_limit(classes.count() * (BINS // ROWS))
-    buckets = staged(spread_join(members, shared, "key", "n", limit).select("key", "rep", "n"), "mh-buckets")  # of two and more
+    rows = classes.count() * (BINS // ROWS)
+    limit = hot_limit(rows)
+    shared = staged(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "mh-shared", rows // 2)
+    buckets = staged(spread_join(members, shared, "key", "n", limit).select("key", "rep", "n"), "mh-buckets", rows)  # of two and more
+    rows = buckets.count()
     nodes = buckets.select(F.col("rep").alias("doc_id")).distinct()
     sets = staged(texts.join(nodes, "doc_id", "left_semi").mapInArrow(_set_rows, "id long, set array<long>"), "mh-sets")
 
-    checked = _confirmed(staged(_central_stars(buckets, limit), "mh-pairs"), sets, percent)
-    comps, turn, more = components(checked.where("linked").select("a", "b")), 0, True
+    checked = _confirmed(staged(_central_stars(buckets, limit, rows), "mh-pairs", rows), sets, percent)
+    n_checked = checked.count()
+    comps, turn, more = components(checked.where("linked").select("a", "b"), n_checked), 0, True
     while more:
         turn += 1
-        pairs, large = _open_pairs(buckets, comps, turn, limit)
-        pairs = staged(pairs.join(checked, ["a", "b"], "left_anti"), "mh-pairs")
+        pairs, large = _open_pairs(buckets, comps, turn, limit, rows)
+        pairs = staged(pairs.join(checked, ["a", "b"], "left_anti"), "mh-pairs", SMALL // 2 * rows)  # fewer for a member
         found = _confirmed(pairs, sets, percent)
         more = not found.where("linked").isEmpty()
         if not more and not large.isEmpty():
             pairs = staged(_exact_pairs(large, sets, percent).join(checked, ["a", "b"], "left_anti"), "mh-pairs")
             found = found.unionByName(_confirmed(pairs, sets, percent))
-        checked = staged(checked.unionByName(found), "mh-checked")
+        n_checked += found.count()
+        checked = staged(checked.unionByName(found), "mh-checked", n_checked)
         if more or not large.isEmpty():
-            comps = components(checked.where("linked").select("a", "b"))
+            comps = components(checked.where("linked").select("a", "b"), n_checked)
     keep(sig, classes, comps)
     comps = classes.select(*key, "rep").join(comps.toDF("node", "component"), F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component"))
     out = sig.select("doc_id", *key).join(comps, key, "left")

@@ -826,3 +826,44 @@ def test_near_duplicates_recall_among_strangers_with_a_passage(spark):
     assert 100 * len(s[0] & s[1]) >= 75 * len(s[0] | s[1]) and 100 * len(s[0] & s[2]) < 75 * len(s[0] | s[2])
     found = by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), "component_id")
     assert found == {d: (d - d % 2,) for d, _ in rows}
+
+
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_components_by_rounds_and_in_one_task(spark, monkeypatch, few):
+    monkeypatch.setattr(minhash, "FEW_LINKS", few)
+    rng = random.Random(6)
+    links = [(i, i + 1) for i in range(-40, 20)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(120)] + [(1 << 60, 7), (900, 900), (950, 951), (951, 950)]
+    least = {x: x for link in links for x in link}
+    while any(least[a] != least[b] for a, b in links):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    df = spark.createDataFrame(links, "a long, b long")
+    assert {tuple(r) for r in minhash.components(df).collect()} == {(x, v) for x, v in least.items() if x != v}
+    assert minhash.components(df.where("a = 0 and b = 0")).count() == 0
+
+
+def test_near_duplicates_leave_no_crowd_of_tiny_files(spark, monkeypatch):
+    """With partitions that nothing merges, a scratch table of few rows is of few files."""
+    files = {}
+    real = minhash.staged
+
+    def counted(df, name, *rest):
+        out = real(df, name, *rest)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(minhash, "staged", counted)
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(90)) for _ in range(60)) for _ in range(60)]
+    rows = [(3 * i + c, t + " more" * c) for i, t in enumerate(texts) for c in range(3)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "97")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "component_id")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert all(v in (k - k % 3, (k - k % 3,)) for k, v in found.items()) and len(found) == len(rows)
+    few = 2 * spark.sparkContext.defaultParallelism
+    assert {n: k for n, k in files.items() if k > few and n not in ("mh-signatures", "mh-sets")} == {}
