@@ -34,21 +34,29 @@ _made: list[list[tuple[str, DataFrame]]] = []
 
 
 #: Rows of a file of a scratch table whose number of rows is known to be small.
-FILE_ROWS = 100_000
+FILE_ROWS = 250_000
+#: Hadoop's local files have a file of checksums each, which starts a process of its own. Scratch tables have theirs in Parquet's pages.
+PAGE_SUMS = {"parquet.page.write-checksum.enabled": "true", "parquet.page.verify-checksum.enabled": "true"}
+BARE_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
-def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str, rows: int | None = None, file_rows: int = FILE_ROWS) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it again: cuts lineage and survives lost executors.
 
-    ``rows``: so many at most. They are written as so few files that each costs little beside its rows: on a local file
-    system each file starts processes (Hadoop sets its mode by a command), which takes longer than some 1,000 rows.
+    ``rows``: so many at most. They are made by up to twice as many tasks as there are cores and written as one file for each
+    ``file_rows``: on a local file system each file starts processes (Hadoop sets modes by a command), which takes longer
+    than some 1,000 rows, and until such a process runs its program it counts as a second copy of the executor.
     """
     spark = df.sparkSession
     if rows is not None:
-        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+        files, tasks = max(1, -(-rows // file_rows)), 2 * spark.sparkContext.defaultParallelism
+        df = df.coalesce(max(tasks, files))
+        if files < tasks:
+            df = df.repartition(files)
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    bare = BARE_FILES if spark.sparkContext._jsc.hadoopConfiguration().get("fs.file.impl") is None else {}  # else the cluster's own
+    df.write.options(**PAGE_SUMS, **bare).parquet(path)
+    out = spark.read.options(**PAGE_SUMS).schema(df.schema).parquet(path)
     if _made:
         _made[-1].append((path, out))
     return out

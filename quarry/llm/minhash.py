@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_limit, scratch, spread_join, staged
+from .common import FILE_ROWS, hot_limit, scratch, spread_join, staged
 from .textnum import U, column_bytes, mixed, rolled, row_of, slices, tokens, word_hashes
 
 BINS, ROWS = 128, 4
@@ -143,11 +143,13 @@ def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """A table of (u, v) for links (a, b): node u and the smallest node reachable.
 
     Up to ``FEW_LINKS`` links go through one task; more take rounds of joins, which gather no node's links.
-    ``rows``: so many links at most.
+    ``rows``: so many links at most; up to ``FEW_LINKS`` that task reads ``links`` themselves, which should be a table.
     """
     with scratch(links.sparkSession) as keep:
-        e = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc", rows)
-        n = e.count()
+        e, n = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), rows
+        if n is None or n > FEW_LINKS:
+            e = staged(e.distinct(), "cc", rows)
+            n = e.count()
         if n <= FEW_LINKS:
             e = staged(e.coalesce(1).mapInArrow(_least_reachable, "u long, v long"), "cc")
             keep(e)
@@ -173,15 +175,19 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     rows = pairs.count()
     limit = hot_limit(rows)
-    degrees = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count()
-    hubs = staged(degrees.where(F.col("count") > limit).select("id", F.ceil(F.col("count") / limit).alias("blocks")), "mh-hubs", 2 * rows // limit)
-    blocks = F.coalesce("blocks", F.lit(1).cast("long"))
-    copies = sets.join(F.broadcast(hubs), "id", "left").select("id", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "set")
-    for end, other in (("a", "b"), ("b", "a")):
-        dealt = F.pmod(F.xxhash64(other), blocks)
-        pairs = pairs.join(F.broadcast(hubs.withColumnRenamed("id", end)), end, "left").withColumn(f"block_{end}", dealt).drop("blocks")
-    for end in ("b", "a"):
-        pairs = pairs.join(copies.toDF(end, f"block_{end}", f"s{end}"), [end, f"block_{end}"])
+    if rows <= limit:  # no member is of so many
+        for end in ("b", "a"):
+            pairs = pairs.join(sets.toDF(end, f"s{end}"), end)
+    else:
+        degrees = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count()
+        hubs = staged(degrees.where(F.col("count") > limit).select("id", F.ceil(F.col("count") / limit).alias("blocks")), "mh-hubs", 2 * rows // limit)
+        blocks = F.coalesce("blocks", F.lit(1).cast("long"))
+        copies = sets.join(F.broadcast(hubs), "id", "left").select("id", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "set")
+        for end, other in (("a", "b"), ("b", "a")):
+            dealt = F.pmod(F.xxhash64(other), blocks)
+            pairs = pairs.join(F.broadcast(hubs.withColumnRenamed("id", end)), end, "left").withColumn(f"block_{end}", dealt).drop("blocks")
+        for end in ("b", "a"):
+            pairs = pairs.join(copies.toDF(end, f"block_{end}", f"s{end}"), [end, f"block_{end}"])
     both = F.size(F.array_intersect("sa", "sb"))
     found = pairs.select("a", "b", (100 * both >= percent * (F.size("sa") + F.size("sb") - both)).alias("linked"))
     return staged(found.groupBy("a", "b").agg(F.max("linked").alias("linked")), "mh-checked", rows)
@@ -286,9 +292,10 @@ def _exact_pairs(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     group = ["shingle", "low", "high"]
     rows = staged(mine.mapInArrow(prefixes, "rep long, comp long, size long, shingle long, low long, high long, side long, place long"), "mh-prefixes")
+    n = rows.count()
     blocks = rows.groupBy(*group).agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select(*group, "n", "blocks")
-    rows = spread_join(rows, staged(blocks, "mh-blocks"), group, "n", hot_limit(rows.count()))
-    rows = staged(rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))), "mh-grouped")
+    rows = spread_join(rows, staged(blocks, "mh-blocks", n // 2), group, "n", hot_limit(n))
+    rows = staged(rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))), "mh-grouped", n)
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     a = rows.where("side >= 0").select(*group, F.col("block").alias("i"), every.alias("j"), *[F.col(c).alias(f"{c}_a") for c in ("rep", "comp", "size", "place")])
     b = rows.where("side <= 0").select(*group, every.alias("i"), F.col("block").alias("j"), *[F.col(c).alias(f"{c}_b") for c in ("rep", "comp", "size", "place")])
@@ -308,13 +315,13 @@ def _near_duplicates(docs: DataFrame, percent: int, id_col: str, text_col: str,
     sig = staged(texts.mapInArrow(_sign, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "mh-signatures")
     key = ["n_shingles", "k1", "k2"]
     sets_of = sig.where("n_shingles > 0 and doc_id is not null").groupBy(*key)
-    classes = staged(sets_of.agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "mh-classes", sig.count())
+    classes = staged(sets_of.agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "mh-classes", sig.count(), FILE_ROWS * ROWS // BINS)
     members = classes.select("rep", F.explode("bands").alias("key"))
     rows = classes.count() * (BINS // ROWS)
     limit = hot_limit(rows)
     shared = staged(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "mh-shared", rows // 2)
+    rows = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = staged(spread_join(members, shared, "key", "n", limit).select("key", "rep", "n"), "mh-buckets", rows)  # of two and more
-    rows = buckets.count()
     nodes = buckets.select(F.col("rep").alias("doc_id")).distinct()
     sets = staged(texts.join(nodes, "doc_id", "left_semi").mapInArrow(_set_rows, "id long, set array<long>"), "mh-sets")
 
@@ -331,7 +338,7 @@ def _near_duplicates(docs: DataFrame, percent: int, id_col: str, text_col: str,
             pairs = staged(_exact_pairs(large, sets, percent).join(checked, ["a", "b"], "left_anti"), "mh-pairs")
             found = found.unionByName(_confirmed(pairs, sets, percent))
         n_checked += found.count()
-        checked = staged(checked.unionByName(found), "mh-checked", n_checked)
+        checked = checked.unionByName(found)
         if more or not large.isEmpty():
             comps = components(checked.where("linked").select("a", "b"), n_checked)
     keep(sig, classes, comps)

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import html
 import math
+import pathlib
 import random
 import re
 import time
@@ -867,3 +868,32 @@ def test_near_duplicates_leave_no_crowd_of_tiny_files(spark, monkeypatch):
     assert all(v in (k - k % 3, (k - k % 3,)) for k, v in found.items()) and len(found) == len(rows)
     few = 2 * spark.sparkContext.defaultParallelism
     assert {n: k for n, k in files.items() if k > few and n not in ("mh-signatures", "mh-sets")} == {}
+
+
+def test_scratch_tables_are_few_plain_files(spark):
+    """Few rows are one file without another of checksums beside it, whatever the partitions; a changed page is still refused."""
+    with common.scratch(spark):
+        out = common.staged(spark.range(0, 5000, 1, 97).withColumn("x", common.F.xxhash64("id")), "test-files", 5000)
+        (path,) = [pathlib.Path(f.removeprefix("file://")) for f in out.inputFiles()]
+        assert sorted(x.name for x in path.parent.iterdir()) == ["_SUCCESS", path.name]
+        assert out.agg(common.F.count("x")).first()[0] == 5000
+        data = bytearray(path.read_bytes())
+        data[len(data) // 2] ^= 1
+        path.write_bytes(data)
+        with pytest.raises(Exception, match="(?i)checksum|crc"):
+            out.agg(common.F.sum(common.F.hash("id", "x"))).collect()
+
+
+def test_near_duplicates_write_few_tables(spark, monkeypatch):
+    """What needs no table, as hubs of few links and the links of one task, is not written."""
+    made = []
+    real = minhash.staged
+    monkeypatch.setattr(minhash, "staged", lambda df, name, *rest: made.append((name, out := real(df, name, *rest), len(out.inputFiles()))) or out)
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(90)) for _ in range(60)) for _ in range(40)]
+    rows = [(3 * i + c, t + " more" * c) for i, t in enumerate(texts) for c in range(3)]
+    found = by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "component_id")
+    assert all(v in (k - k % 3, (k - k % 3,)) for k, v in found.items()) and len(found) == len(rows)
+    names = [n for n, _, _ in made]
+    assert "mh-hubs" not in names and names.count("cc") == 1
+    assert sum(n for name, _, n in made if name not in ("mh-signatures", "mh-sets")) <= len(names)
